@@ -3,11 +3,11 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lineglass.functions.text import count_substrings
+from lineglass.functions.text import count_substrings, java_regex
 from lineglass.functions.vocabulary import JS_DECISION_MARKERS
 from lineglass.operators.corpus import with_language
 from lineglass.operators.lines import line_counts
-from lineglass.operators.syntax import python_file_metrics
+from lineglass.operators.syntax import counted_nodes, python_metrics
 
 METRIC_COLUMNS = [
     "project", "filepath", "lines_total", "lines_code", "lines_comment", "lines_blank",
@@ -20,8 +20,7 @@ JS_CLASS_PATTERN = r"class\s+\w+"
 
 
 def _count_matches(content: Column, pattern: str) -> Column:
-    from lineglass.functions.text import java_regex
-
+    # Java wants a literal opening brace escaped.
     closed = java_regex(pattern).removesuffix("{")
     if pattern.endswith("{"):
         closed += r"\{"
@@ -85,6 +84,6 @@ def file_metrics(files: DataFrame) -> DataFrame:
     tagged = files if "family" in files.columns else with_language(files)
     python = tagged.filter(F.col("family") == "python")
     other = tagged.filter(F.col("family") != "python")
-    counted = python_file_metrics(line_counts(python, keep=("content",)))
+    counted = python_metrics(counted_nodes(line_counts(python, keep=("content",))))
     texts = text_file_metrics(line_counts(other, keep=("content",)))
     return counted.unionByName(texts).select(*METRIC_COLUMNS)

@@ -38,7 +38,7 @@ def _parser(keep: tuple):
         except SyntaxError as e:
             return [("error", 0, 0, 0, [], "", e.lineno or 1, e.offset or 0, 0, 0, False, str(e.msg))]
         except Exception:
-            return []
+            return [("skipped", 0, 0, 0, [], "", 0, 0, 0, 0, False, None)]
         order = {id(n): i for i, n in enumerate(ast.walk(tree))}
         rows = [["module", 0, 0, 0, [], "", 0, 0, 0, 0, False, None]]
         slots, counter = {}, 0
@@ -92,14 +92,13 @@ def _parser(keep: tuple):
 
 def python_nodes(files: DataFrame, keep: tuple = ()) -> DataFrame:
     """Node rows of Python files: one ``module`` row per parsed file, its functions, classes and
-    decision points; one ``error`` row when the file does not parse.
+    decision points; one ``error`` row when the file does not parse, one ``skipped`` row when the
+    parser gives up for another reason.
 
     ``keep`` names integer input columns repeated on every row of the file.
     """
     schema = NODE_SCHEMA.format(keep="".join(f"{k} int, " for k in keep))
-    columns = files.select("project", "path", *keep, "content")
-    out = columns.mapInPandas(_parser(keep), schema)
-    return out
+    return files.select("project", "path", *keep, "content").mapInPandas(_parser(keep), schema)
 
 
 def function_contains(nodes: DataFrame) -> DataFrame:
@@ -155,17 +154,22 @@ def maintainability(lines_code: Column, complexity: Column) -> Column:
     return F.when(lines_code == 0, F.lit(100.0)).otherwise(F.round(bounded, 1))
 
 
-def python_file_metrics(counted: DataFrame) -> DataFrame:
-    """File metrics of Python files that carry ``content`` and their line counts.
+COUNT_COLUMNS = ("lines_total", "lines_code", "lines_comment", "lines_blank")
 
-    The counts ride along on the node rows, so one grouping by file gives
-    everything; files that do not parse keep zero tree metrics.
+
+def counted_nodes(counted: DataFrame) -> DataFrame:
+    """Node rows that also carry the line counts of their file."""
+    return python_nodes(counted, keep=COUNT_COLUMNS)
+
+
+def python_metrics(nodes: DataFrame) -> DataFrame:
+    """File metrics from ``counted_nodes``: one grouping by file, combined map-side.
+
+    Files that do not parse keep their line counts and zero tree metrics.
     """
-    counts = ("lines_total", "lines_code", "lines_comment", "lines_blank")
-    nodes = python_nodes(counted, keep=counts)
     parsed = F.max(F.when(F.col("kind") == "module", 1).otherwise(0)) == 1
     grouped = nodes.groupBy("project", "path").agg(
-        *[F.max(c).alias(c) for c in counts],
+        *[F.max(c).alias(c) for c in COUNT_COLUMNS],
         F.count_if(F.col("kind") == "function").cast("int").alias("functions"),
         F.count_if(F.col("kind") == "class").cast("int").alias("classes"),
         _mean_complexity().alias("complexity"),
@@ -173,21 +177,11 @@ def python_file_metrics(counted: DataFrame) -> DataFrame:
     )
     index = maintainability(F.col("lines_code"), F.col("complexity"))
     return grouped.select(
-        "project", F.col("path").alias("filepath"), *counts, "functions", "classes", "complexity",
+        "project", F.col("path").alias("filepath"), *COUNT_COLUMNS, "functions", "classes", "complexity",
         F.when(F.col("_parsed"), index).otherwise(F.lit(0.0)).alias("maintainability"),
     )
 
 
-def _tree_finding(functions: DataFrame, slot: int, rule: str, severity: str, category: str,
-                  message: Column, suggestion: str) -> DataFrame:
-    return functions.select(
-        "project", F.col("path").alias("file"), "line", F.col("col").alias("column"),
-        F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.lit(rule).alias("rule"),
-        message.alias("message"), F.lit(suggestion).alias("suggestion"), F.lit("").alias("code_snippet"),
-        finding_order("tree", F.col("bfs"), slot).alias("ord"),
-    )
-
-
 def tree_findings(nodes: DataFrame) -> DataFrame:
     """Function checks and syntax errors as findings, from one pass over the function rows."""
     f = function_complexity(nodes)
@@ -219,8 +213,11 @@ def tree_findings(nodes: DataFrame) -> DataFrame:
         "c.severity", "c.category", "c.rule", "c.message", "c.suggestion", F.lit("").alias("code_snippet"),
         finding_order("tree", F.col("bfs"), F.col("c.slot")).alias("ord"),
     )
-    errors = _tree_finding(
-        nodes.filter(F.col("kind") == "error"), 4, "E001", "critical", "syntax",
-        F.concat(F.lit("Syntax error: "), F.col("parse_error_msg")), "",
+    errors = nodes.filter(F.col("kind") == "error").select(
+        "project", F.col("path").alias("file"), "line", F.col("col").alias("column"),
+        F.lit("critical").alias("severity"), F.lit("syntax").alias("category"), F.lit("E001").alias("rule"),
+        F.concat(F.lit("Syntax error: "), F.col("parse_error_msg")).alias("message"),
+        F.lit("").alias("suggestion"), F.lit("").alias("code_snippet"),
+        finding_order("tree", F.col("bfs"), 4).alias("ord"),
     )
     return functions.unionByName(errors).select(*FINDING_COLUMNS)

@@ -19,22 +19,17 @@ def read_linter_text(spark: SparkSession, path: str) -> DataFrame:
     name = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
     text = spark.read.option("wholetext", "true").text(path).select(name.alias("path"), "value")
     return text.select(
-        F.lit(path).alias("project"), "path", F.posexplode(F.split("value", "\n")).alias("position", "value")
+        F.lit(path).alias("project"), "path",
+        F.posexplode(F.split(strip(F.col("value")), "\n")).alias("position", "value"),
     )
 
 
 def text_findings(output: DataFrame) -> DataFrame:
-    """``(project, path, position, value)`` -> findings; lines in another layout are skipped.
-
-    Only the ends of the whole output are stripped, so a line with leading blanks
-    does not match unless it comes first.
-    """
-    value = F.when(F.col("position") == 0, F.ltrim(F.col("value"))).otherwise(F.col("value"))
-    part = lambda i: F.regexp_extract(F.col("v"), TEXT_LINE, i)
+    """``(project, path, position, value)`` -> findings; lines in another layout are skipped."""
+    part = lambda i: F.regexp_extract(F.col("value"), TEXT_LINE, i)
     code = part(3)
     return (
-        output.withColumn("v", value)
-        .filter(F.col("v").rlike(TEXT_LINE))
+        output.filter(F.col("value").rlike(TEXT_LINE))
         .select(
             "project", F.col("path").alias("file"),
             part(1).cast("int").alias("line"), part(2).cast("int").alias("column"),
