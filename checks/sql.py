@@ -105,7 +105,7 @@ def family_of(lang: str) -> str:
 
 def python_source(text: str, n: str) -> str:
     return f"""'# ' || replace({text}, {NL}, {NL} || '# ') || {NL} || '# ' || {pick(snippets('python'), n)} || {NL} ||
-      'def f' || {n} || '(' || array_to_string(list_concat(list_transform(range({n} % 10), i -> 'a' || i),
+      'def f' || {n} || '(' || array_to_string(list_concat(['a' || i FOR i IN range({n} % 10)],
         CASE WHEN {n} % 4 = 0 THEN ['z=[]'] ELSE [] END), ', ') || '):' || {NL} || '    print(0)' || {NL} ||
       repeat('    if x: pass' || {NL}, {n} % 13) ||
       CASE WHEN {n} % 3 = 0 THEN '    def g(y=[]):' || {NL} || '        for i in y: pass' || {NL} ELSE '' END ||

@@ -58,23 +58,24 @@ def classify(family: Column, line: Column, in_block: Column, closes: Column) ->
     )
 
 
-def explode_lines(files: DataFrame) -> DataFrame:
+def explode_lines(files: DataFrame, keep: tuple = ()) -> DataFrame:
     """``files`` -> one row per line.
 
-    Columns: project, path, language, family, line_no, line, skipped.  ``skipped``
-    lines (JavaScript block comments) are not looked at by any rule.
+    Columns: project, path, language, family, line_no, line, skipped, and those
+    named in ``keep``.  ``skipped`` lines (JavaScript block comments) are not
+    looked at by any rule.
     """
     if "family" not in files.columns:
         files = with_language(files)
     family, raw = F.col("family"), F.col("raw")
     js = family == "javascript"
     pieces = files.filter((family != "generic") | (F.col("content") != "")).select(
-        "project", "path", "language", "family",
+        "project", "path", "language", "family", *keep,
         F.posexplode(F.split(_body(family, F.col("content")), "\n")).alias("pos", "raw"),
     )
     inside = js & _in_block(raw)
     return pieces.select(
-        "project", "path", "language", "family",
+        "project", "path", "language", "family", *keep,
         (F.col("pos") + 1).alias("line_no"),
         F.when(inside, F.substring(raw, F.lit(4), F.length(raw))).otherwise(raw).alias("line"),
         (js & (inside | F.contains(raw, F.lit(CLOSE)))).alias("skipped"),

@@ -80,7 +80,7 @@ def _rule_literal(rules: list[Rule]) -> Column:
     )
 
 
-def _rendered(lines: DataFrame) -> DataFrame:
+def _rendered(lines: DataFrame, keep: tuple = ()) -> DataFrame:
     """Attach a matched rule ``r`` to its line and shape the finding; secrets never leave."""
     line = F.col("line")
     return lines.select(
@@ -100,14 +100,18 @@ def _rendered(lines: DataFrame) -> DataFrame:
         .when(F.col("r.snippet_len") > 0, F.substring(strip(line), F.lit(1), F.col("r.snippet_len")))
         .otherwise("").alias("code_snippet"),
         finding_order("lines", F.col("line_no"), F.col("r.number")).alias("ord"),
+        *keep,
     )
 
 
-def scan_rules(lines: DataFrame, rules: list[Rule] = ALL_RULES) -> DataFrame:
-    """All findings of the line rules.  ``lines`` as made by ``explode_lines``."""
+def scan_rules(lines: DataFrame, rules: list[Rule] = ALL_RULES, keep: tuple = ()) -> DataFrame:
+    """All findings of the line rules.  ``lines`` as made by ``explode_lines``.
+
+    Works on streams too; ``keep`` names further columns to pass on.
+    """
     gates = _gates(rules)
     prepared = lines.filter(~F.col("skipped")).select(
-        "project", "path", "family", "line_no", "line",
+        "project", "path", "family", "line_no", "line", *keep,
         fold_case(F.col("line")).alias("_folded"),
         *[F.contains(F.col("line"), F.lit(c)).alias(name) for c, name in gates.items()],
     )
@@ -121,8 +125,8 @@ def scan_rules(lines: DataFrame, rules: list[Rule] = ALL_RULES) -> DataFrame:
         found = F.array_remove(F.array(*slots), 0)
         mine = F.col("family") == family
         hits = F.when(mine, found) if hits is None else hits.when(mine, found)
-    matched = prepared.select("project", "path", "line_no", "line", F.explode(hits).alias("slot"))
-    return _rendered(matched.withColumn("r", F.element_at(_rule_literal(rules), F.col("slot"))))
+    matched = prepared.select("project", "path", "line_no", "line", *keep, F.explode(hits).alias("slot"))
+    return _rendered(matched.withColumn("r", F.element_at(_rule_literal(rules), F.col("slot"))), keep)
 
 
 # A rule table up to this many rows becomes literal predicates of the scan.
