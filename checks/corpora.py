@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from checks.probes import snippets
 from lineglass.functions.vocabulary import LANGUAGES
+from lineglass.operators.scan import sql_text
 from lineglass.session import spread
 
 # Extensions dealt out by document number: all supported ones, two in capitals.
@@ -30,7 +31,8 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def pick(values: list[str], number: Column) -> Column:
     """The value dealt to a row by its number."""
-    return F.element_at(F.array(*[F.lit(x) for x in values]), (number % len(values) + 1).cast("int"))
+    constants = F.expr(f"array({', '.join(sql_text(x) for x in values)})")
+    return F.element_at(constants, (number % len(values) + 1).cast("int"))
 
 
 def snippet(family: str, number: Column | None = None) -> Column:

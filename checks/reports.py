@@ -36,18 +36,14 @@ OVER = "SELECT project, count(*) AS warnings, greatest(count(*) - 20, 0) AS unli
 FILES = f"""SELECT *, left({s.base_name('filepath')}, 30) AS name, row_number() OVER (PARTITION BY project ORDER BY complexity DESC, filepath) AS rank
     FROM metrics QUALIFY rank <= 15"""
 
-LAST = {  # the final line of a listed section
-    "cat": "SELECT project, max(rank) AS last FROM ranked GROUP BY project",
-}
 empty = "''"
 SECTIONS = {
     "report_header": f"""SELECT project, 1 AS section, 0 AS position, {block(s.q('# Code Review Report'), empty, "'**Project:** `' || project || '`'",
         s.q('**Date:** ' + STAMP), "'**Files Analyzed:** ' || files", "'**Total Lines:** ' || format('{:,}', total)", empty, "'---'", empty)} AS text FROM totals""",
     "report_severity_table": f"""SELECT project, 2 AS section, 0 AS position, {block("'## Summary'", empty, "'| Severity | Count |'", "'|----------|-------|'",
         *[f"'| {v.SEVERITY_MARKERS[x]} {x.title()} | ' || {x} || ' |'" for x in v.SEVERITIES], empty)} AS text FROM sev""",
-    "report_category_list": f"""SELECT project, 3 AS section, 0 AS position, {block("'### By Category'", empty)} AS text FROM ranked WHERE rank = 1
-        UNION ALL SELECT project, 3, rank, '- **' || category || '**: ' || n FROM ranked
-        UNION ALL SELECT project, 3, max(rank) + 1, '' FROM ranked GROUP BY project""",
+    "report_category_list": f"""SELECT project, 3 AS section, 0 AS position, {block("'### By Category'", empty)} || {NL}
+        || string_agg('- **' || category || '**: ' || n, {NL} ORDER BY rank) || {NL} AS text FROM ranked GROUP BY project""",
     "report_ai": f"""SELECT project, 4 AS section, 0 AS position, {block("'## AI Review'", empty, "project || ' is fine.'", empty, "'### Suggestions'",
         *[s.q('- ' + x) for x in NOTES], empty)} AS text FROM totals""",
     "report_critical": f"""SELECT project, 5 AS section, 0 AS position, {block("'## Critical & Error Issues'", empty)} AS text FROM crit WHERE rank = 1
@@ -56,10 +52,10 @@ SECTIONS = {
           || CASE WHEN suggestion <> '' THEN '> 💡 ' || suggestion || {NL} ELSE '' END FROM crit""",
     "report_warnings": f"""SELECT project, 6 AS section, 0 AS position, {block("'## Warnings'", empty, "'Found ' || warnings || ' warnings:'", empty)} AS text FROM overs
         UNION ALL SELECT project, 6, rank, '- **' || {s.base_name('file')} || ':' || line || '** - ' || message FROM warn
-        UNION ALL SELECT project, 6, 21, CASE WHEN unlisted > 0 THEN '- ... and ' || unlisted || ' more' || {NL} ELSE '' END FROM overs""",
+        UNION ALL SELECT project, 6, 1000, CASE WHEN unlisted > 0 THEN '- ... and ' || unlisted || ' more' || {NL} ELSE '' END FROM overs""",
     "report_metrics": f"""SELECT project, 7 AS section, 0 AS position, {block("'## Code Metrics'", empty, "'| File | Lines | Complexity | Maintainability |'", "'|------|-------|------------|-----------------|'")} AS text FROM totals
         UNION ALL SELECT project, 7, rank, '| ' || name || ' | ' || lines_code || ' | ' || format('{{:.1f}}', complexity) || ' | ' || format('{{:.0f}}', maintainability) || '% |' FROM tops
-        UNION ALL SELECT project, 7, max(rank) + 1, '' FROM tops GROUP BY project""",
+        UNION ALL SELECT project, 7, 1000, '' FROM totals""",
     "report_footer": f"""SELECT project, 8 AS section, 0 AS position, {block("'---'", "'*Generated by lineglass*'")} AS text FROM totals""",
 }
 STEPS = dict(totals=TOTALS, sev=SEV, ranked=RANKED, crit=CRIT, warn=WARN, overs=OVER, tops=FILES)
@@ -75,17 +71,21 @@ def with_answers(spark, sf):
     return x
 
 
-BUILDERS = {
-    "report_header": lambda x: report.header_section(x.totals, STAMP),
-    "report_severity_table": lambda x: report.severity_section(x.totals, x.findings),
-    "report_category_list": lambda x: report.category_section(x.findings),
-    "report_ai": lambda x: report.answer_section(x.answers),
-    "report_critical": lambda x: report.critical_section(x.findings),
-    "report_warnings": lambda x: report.warning_section(x.findings),
-    "report_metrics": lambda x: report.metric_section(x.metrics),
+PARTS = {
+    "report_header": report.HEADER, "report_severity_table": report.SEVERITIES, "report_category_list": report.CATEGORIES,
+    "report_ai": report.ANSWER, "report_critical": report.CRITICAL, "report_warnings": report.WARNINGS, "report_metrics": report.METRICS,
 }
-for _name, _build in BUILDERS.items():
-    QUERIES[_name] = lambda spark, sf, build=_build: build(with_answers(spark, sf)).select("project", *bigint("section", "position"), "text")
+for _name, _section in PARTS.items():
+    def _part(spark, sf, section=_section):
+        x = with_answers(spark, sf)
+        parts = report.overview_sections(report.project_summary(x.totals, x.findings, x.answers), STAMP)
+        if section in (report.CRITICAL, report.WARNINGS):
+            parts = parts.unionByName(report.finding_lists(x.findings))
+        if section == report.METRICS:
+            parts = parts.unionByName(report.file_list(x.metrics))
+        return parts.filter(F.col("section") == section).select("project", *bigint("section", "position"), "text")
+
+    QUERIES[_name] = _part
     ORACLES[_name] = s.review(
         f"SELECT project, CAST(section AS BIGINT) AS section, CAST(position AS BIGINT) AS position, text FROM ({SECTIONS[_name]})",
         **{k: q for k, q in STEPS.items() if k != "sections"})

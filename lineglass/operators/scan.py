@@ -6,8 +6,6 @@ collected in an array and exploded.  No join, no shuffle, and patterns compile
 once per task.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,12 +30,9 @@ def finding_order(stage: str, position: Column, slot) -> Column:
     return F.lit(STAGES[stage] * STAGE) + position.cast("bigint") * SLOT + slot.cast("bigint")
 
 
-def _all(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
-
-
-def _any(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def sql_text(value: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _gates(rules: list[Rule]) -> dict[str, str]:
@@ -46,38 +41,46 @@ def _gates(rules: list[Rule]) -> dict[str, str]:
     return {c: f"_has_{ord(c)}" for c in singles}
 
 
-def rule_matches(rule: Rule, gates: dict[str, str]) -> Column:
-    """Does the rule hold on ``line``?  Cheap necessary literals first, then the pattern."""
-    line, folded = F.col("line"), F.col("_folded")
+def rule_condition(rule: Rule, gates: dict[str, str]) -> str:
+    """Does the rule hold on ``line``?  Cheap necessary literals first, then the pattern.
+
+    Conditions are SQL text: a catalogue is hundreds of expressions, and one parse
+    is far quicker than as many calls into the JVM.
+    """
     if rule.key == LONG_LINE.key and not rule.pattern:
-        return F.length(line) > v.MAX_LINE_LENGTH
+        return f"length(line) > {v.MAX_LINE_LENGTH}"
 
-    def has(literal: str) -> Column:
+    def has(literal: str) -> str:
         if literal in gates:
-            return F.col(gates[literal])
-        text, needle = (folded, literal.lower()) if rule.ignore_case else (line, literal)
-        return F.contains(text, F.lit(needle))
+            return gates[literal]
+        text, needle = ("_folded", literal.lower()) if rule.ignore_case else ("line", literal)
+        return f"contains({text}, {sql_text(needle)})"
 
-    needed = [_any([has(x) for x in need.split("|")]) for need in rule.needs]
-    return _all([*needed, line.rlike(java_regex(rule.pattern, rule.ignore_case))])
+    needed = ["(" + " OR ".join(has(x) for x in need.split("|")) + ")" for need in rule.needs]
+    pattern = sql_text(java_regex(rule.pattern, rule.ignore_case))
+    return " AND ".join([*needed, f"line RLIKE {pattern}"])
 
 
-def _rule_literal(rules: list[Rule]) -> Column:
-    """The catalogue as one constant array, looked up by slot."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(r.number).alias("number"),
-                F.lit(r.severity).alias("severity"),
-                F.lit(r.category).alias("category"),
-                F.lit(r.rule).alias("rule"),
-                F.lit(r.message).alias("message"),
-                F.lit(r.suggestion).alias("suggestion"),
-                F.lit(r.snippet_len).alias("snippet_len"),
-            )
-            for r in rules
+def _rule_hits(rules: list[Rule], gates: dict[str, str]) -> str:
+    """The slots (places in ``rules``) of the rules that hold on a line of their family."""
+    families = []
+    for family in dict.fromkeys(r.family for r in rules):
+        slots = [
+            f"IF({rule_condition(r, gates)}, {slot}, 0)" for slot, r in enumerate(rules, 1) if r.family == family
         ]
-    )
+        families.append(f"WHEN {sql_text(family)} THEN array_remove(array({', '.join(slots)}), 0)")
+    return f"CASE family {' '.join(families)} END"
+
+
+def _rule_rows(rules: list[Rule]) -> str:
+    """The catalogue as one constant array, looked up by slot."""
+    rows = [
+        f"named_struct('number', {r.number}, 'severity', {sql_text(r.severity)}, 'category', {sql_text(r.category)}, "
+        f"'rule', {sql_text(r.rule)}, 'message', {sql_text(r.message)}, 'suggestion', {sql_text(r.suggestion)}, "
+        f"'snippet_len', {r.snippet_len})"
+        for r in rules
+    ]
+    return f"array({', '.join(rows)})"
 
 
 def _rendered(lines: DataFrame, keep: tuple = ()) -> DataFrame:
@@ -115,18 +118,9 @@ def scan_rules(lines: DataFrame, rules: list[Rule] = ALL_RULES, keep: tuple = ()
         fold_case(F.col("line")).alias("_folded"),
         *[F.contains(F.col("line"), F.lit(c)).alias(name) for c, name in gates.items()],
     )
-    hits = None
-    for family in dict.fromkeys(r.family for r in rules):
-        slots = [
-            F.when(rule_matches(r, gates), F.lit(slot)).otherwise(F.lit(0))
-            for slot, r in enumerate(rules, 1)
-            if r.family == family
-        ]
-        found = F.array_remove(F.array(*slots), 0)
-        mine = F.col("family") == family
-        hits = F.when(mine, found) if hits is None else hits.when(mine, found)
+    hits = F.expr(_rule_hits(rules, gates))
     matched = prepared.select("project", "path", "line_no", "line", *keep, F.explode(hits).alias("slot"))
-    return _rendered(matched.withColumn("r", F.element_at(_rule_literal(rules), F.col("slot"))), keep)
+    return _rendered(matched.withColumn("r", F.expr(f"element_at({_rule_rows(rules)}, slot)")), keep)
 
 
 # A rule table up to this many rows becomes literal predicates of the scan.

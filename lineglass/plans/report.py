@@ -6,9 +6,7 @@ ever collected per project.  The JSON form holds every finding, so it is made as
 ordered fragments instead of one value.
 """
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineglass.functions import vocabulary as v
@@ -16,131 +14,140 @@ from lineglass.functions.text import base_name, fixed_decimals, thousands
 from lineglass.operators import rollups
 
 HEADER, SEVERITIES, CATEGORIES, ANSWER, CRITICAL, WARNINGS, METRICS, FOOTER = range(1, 9)
+LAST = 1000
+
 
+def project_summary(totals: DataFrame, findings: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """One row per project with everything a report says outside its lists.
 
-def _block(df: DataFrame, section: int, position, *lines) -> DataFrame:
-    position = F.lit(position) if isinstance(position, int) else position
-    text = F.concat_ws("\n", *[F.lit(x) if isinstance(x, str) else x for x in lines])
-    return df.select(
-        "project", F.lit(section).alias("section"), position.cast("int").alias("position"), text.alias("text")
+    Findings are read once: counted per category first, then folded per project,
+    so the second step only sees a handful of rows for each.
+    """
+    by_category = findings.groupBy("project", "category").agg(
+        F.count("*").alias("n"),
+        F.min(F.struct("file", "ord")).alias("first"),
+        *[F.count_if(F.col("severity") == s).alias(s) for s in v.SEVERITIES],
+    )
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), "first", "category", "n")))
+    counts = by_category.groupBy("project").agg(
+        *[F.sum(s).alias(s) for s in v.SEVERITIES], ranked.alias("categories")
     )
+    joined = totals.join(counts, "project", "left")
+    if answers is not None:
+        joined = joined.join(answers.select("project", "ai_summary", "ai_suggestions"), "project", "left")
+    else:
+        joined = joined.selectExpr("*", "'' AS ai_summary", "cast(array() AS array<string>) AS ai_suggestions")
+    return joined.fillna(0, v.SEVERITIES)
+
+
+def _text(*lines) -> Column:
+    return F.concat_ws("\n", *[F.lit(x) if isinstance(x, str) else x for x in lines])
 
 
-def header_section(totals: DataFrame, timestamp: str) -> DataFrame:
-    return _block(
-        totals, HEADER, 0,
+def _count(name: str) -> Column:
+    return F.col(name).cast("string")
+
+
+def header_text(timestamp: str) -> Column:
+    return _text(
         "# Code Review Report", "",
         F.concat(F.lit("**Project:** `"), F.col("project"), F.lit("`")),
         f"**Date:** {timestamp}",
-        F.concat(F.lit("**Files Analyzed:** "), F.col("files_analyzed").cast("string")),
+        F.concat(F.lit("**Files Analyzed:** "), _count("files_analyzed")),
         F.concat(F.lit("**Total Lines:** "), thousands(F.col("total_lines"))),
         "", "---", "",
     )
 
 
-def severity_section(totals: DataFrame, findings: DataFrame) -> DataFrame:
-    wide = rollups.severity_counts(totals.select("project"), findings)
-    rows = [
-        F.concat(F.lit(f"| {v.SEVERITY_MARKERS[s]} {s.title()} | "), F.col(s).cast("string"), F.lit(" |"))
-        for s in v.SEVERITIES
-    ]
-    return _block(
-        wide, SEVERITIES, 0, "## Summary", "", "| Severity | Count |", "|----------|-------|", *rows, ""
+def severity_text() -> Column:
+    rows = [F.concat(F.lit(f"| {v.SEVERITY_MARKERS[s]} {s.title()} | "), _count(s), F.lit(" |")) for s in v.SEVERITIES]
+    return _text("## Summary", "", "| Severity | Count |", "|----------|-------|", *rows, "")
+
+
+def category_text() -> Column:
+    items = F.transform(
+        "categories", lambda x: F.concat(F.lit("- **"), x["category"], F.lit("**: "), x["n"].cast("string"))
     )
+    return F.when(F.size("categories") > 0, _text("### By Category", "", F.array_join(items, "\n"), ""))
 
 
-def _listed(rows: DataFrame, title: list[str], closing: list[str], section: int) -> DataFrame:
-    """Title, the rows' ``text`` in ``rank`` order, closing; nothing for projects without rows."""
-    projects = rows.groupBy("project").agg(F.max("rank").alias("last"))
-    first = _block(projects, section, 0, *title)
-    body = rows.select("project", F.lit(section).alias("section"), F.col("rank").cast("int").alias("position"), "text")
-    parts = [first, body]
-    if closing:
-        parts.append(_block(projects, section, F.col("last") + 1, *closing))
-    return reduce(DataFrame.unionByName, parts)
+def answer_text() -> Column:
+    items = F.array_join(F.transform("ai_suggestions", lambda x: F.concat(F.lit("- "), x)), "\n")
+    listed = F.when(F.size("ai_suggestions") > 0, _text("### Suggestions", items, ""))
+    return F.when(F.col("ai_summary") != "", _text("## AI Review", "", F.col("ai_summary"), "", listed))
 
 
-def category_section(findings: DataFrame) -> DataFrame:
-    text = F.concat(F.lit("- **"), F.col("category"), F.lit("**: "), F.col("n").cast("string"))
-    ranked = rollups.categories_ranked(findings).withColumn("text", text)
-    return _listed(ranked, ["### By Category", ""], [""], CATEGORIES)
+def warning_head() -> Column:
+    found = F.concat(F.lit("Found "), _count("warning"), F.lit(" warnings:"))
+    return F.when(F.col("warning") > 0, _text("## Warnings", "", found, ""))
 
 
-def answer_section(answers: DataFrame) -> DataFrame:
-    items = F.concat(
-        F.lit("### Suggestions\n"),
-        F.array_join(F.transform("ai_suggestions", lambda x: F.concat(F.lit("- "), x)), "\n"),
-        F.lit("\n"),
-    )
-    return _block(
-        answers.filter(F.col("ai_summary") != ""), ANSWER, 0,
-        "## AI Review", "", F.col("ai_summary"), "", F.when(F.size("ai_suggestions") > 0, items),
+def warning_tail() -> Column:
+    more = F.concat(F.lit("- ... and "), (F.col("warning") - v.TOP_WARNINGS).cast("string"), F.lit(" more"))
+    return F.when(F.col("warning") > 0, _text(F.when(F.col("warning") > v.TOP_WARNINGS, more), ""))
+
+
+def overview_sections(summary: DataFrame, timestamp: str) -> DataFrame:
+    """Everything but the lists, from one pass over the project rows."""
+    pieces = [
+        (HEADER, 0, header_text(timestamp)),
+        (SEVERITIES, 0, severity_text()),
+        (CATEGORIES, 0, category_text()),
+        (ANSWER, 0, answer_text()),
+        (CRITICAL, 0, F.when(F.col("critical") + F.col("error") > 0, _text("## Critical & Error Issues", ""))),
+        (WARNINGS, 0, warning_head()),
+        (WARNINGS, LAST, warning_tail()),
+        (METRICS, 0, _text(
+            "## Code Metrics", "", "| File | Lines | Complexity | Maintainability |",
+            "|------|-------|------------|-----------------|")),
+        (METRICS, LAST, F.lit("")),
+        (FOOTER, 0, _text("---", "*Generated by lineglass*")),
+    ]
+    rows = F.array(
+        *[F.struct(F.lit(n).alias("section"), F.lit(at).alias("position"), t.alias("text")) for n, at, t in pieces]
     )
+    return summary.select("project", F.inline(rows)).filter(F.col("text").isNotNull())
 
 
-def critical_section(findings: DataFrame) -> DataFrame:
+def finding_lists(findings: DataFrame) -> DataFrame:
+    """The first critical/error findings and the first warnings, ranked in one pass."""
+    severe = F.col("severity").isin("critical", "error")
+    listed = findings.filter(severe | (F.col("severity") == "warning")).withColumn(
+        "section", F.when(severe, CRITICAL).otherwise(WARNINGS)
+    )
+    order = Window.partitionBy("project", "section").orderBy("file", "ord")
+    top = listed.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= v.TOP_CRITICAL)
     shown = (F.col("code_snippet") != "") & (F.col("code_snippet") != v.REDACTED)
-    text = F.concat_ws(
-        "\n",
-        F.concat(F.lit("### `"), base_name(F.col("file")), F.lit("` line "), F.col("line").cast("string")),
+    name, line = base_name(F.col("file")), _count("line")
+    long = _text(
+        F.concat(F.lit("### `"), name, F.lit("` line "), line),
         F.concat(F.lit("**["), F.upper("severity"), F.lit("]** "), F.col("rule"), F.lit(": "), F.col("message")),
         F.when(shown, F.concat(F.lit("```\n"), F.col("code_snippet"), F.lit("\n```"))),
         F.when(F.col("suggestion") != "", F.concat(F.lit("> 💡 "), F.col("suggestion"))),
-        F.lit(""),
+        "",
     )
-    return _listed(
-        rollups.top_critical(findings).withColumn("text", text), ["## Critical & Error Issues", ""], [], CRITICAL
+    short = F.concat(F.lit("- **"), name, F.lit(":"), line, F.lit("** - "), F.col("message"))
+    return top.filter((F.col("section") == CRITICAL) | (F.col("position") <= v.TOP_WARNINGS)).select(
+        "project", "section", "position", F.when(F.col("section") == CRITICAL, long).otherwise(short).alias("text")
     )
 
 
-def warning_section(findings: DataFrame) -> DataFrame:
+def file_list(metrics: DataFrame) -> DataFrame:
+    """The most complex files as table rows."""
     text = F.concat(
-        F.lit("- **"), base_name(F.col("file")), F.lit(":"), F.col("line").cast("string"),
-        F.lit("** - "), F.col("message"),
-    )
-    listed = rollups.top_warnings(findings).select(
-        "project", F.lit(WARNINGS).alias("section"), F.col("rank").cast("int").alias("position"), text.alias("text")
-    )
-    counts = rollups.warning_overflow(findings)
-    first = _block(
-        counts, WARNINGS, 0, "## Warnings", "",
-        F.concat(F.lit("Found "), F.col("warnings").cast("string"), F.lit(" warnings:")), "",
-    )
-    more = F.concat(F.lit("- ... and "), F.col("unlisted").cast("string"), F.lit(" more"))
-    last = _block(counts, WARNINGS, v.TOP_WARNINGS + 1, F.when(F.col("unlisted") > 0, more), "")
-    return first.unionByName(listed).unionByName(last)
-
-
-def metric_section(metrics: DataFrame) -> DataFrame:
-    text = F.concat(
-        F.lit("| "), F.col("name"), F.lit(" | "), F.col("lines_code").cast("string"),
+        F.lit("| "), F.col("name"), F.lit(" | "), _count("lines_code"),
         F.lit(" | "), fixed_decimals(F.col("complexity"), 1),
         F.lit(" | "), fixed_decimals(F.col("maintainability"), 0), F.lit("% |"),
     )
-    title = [
-        "## Code Metrics", "", "| File | Lines | Complexity | Maintainability |",
-        "|------|-------|------------|-----------------|",
-    ]
-    return _listed(rollups.top_complex_files(metrics).withColumn("text", text), title, [""], METRICS)
-
-
-def footer_section(totals: DataFrame) -> DataFrame:
-    return _block(totals, FOOTER, 0, "---", "*Generated by lineglass*")
+    return rollups.top_complex_files(metrics).select(
+        "project", F.lit(METRICS).alias("section"), F.col("rank").alias("position"), text.alias("text")
+    )
 
 
 def report_sections(totals, findings, metrics, timestamp: str, answers=None) -> DataFrame:
-    parts = [
-        header_section(totals, timestamp),
-        severity_section(totals, findings),
-        category_section(findings),
-        critical_section(findings),
-        warning_section(findings),
-        metric_section(metrics),
-        footer_section(totals),
-    ]
-    if answers is not None:
-        parts.append(answer_section(answers))
-    return reduce(DataFrame.unionByName, parts)
+    summary = project_summary(totals, findings, answers)
+    lists = finding_lists(findings).unionByName(file_list(metrics))
+    return overview_sections(summary, timestamp).unionByName(lists)
 
 
 def markdown_reports(totals, findings, metrics, timestamp: str, answers=None) -> DataFrame:
@@ -204,7 +211,7 @@ _METRIC = [
 ]
 
 
-def _json(*columns) -> F.Column:
+def _json(*columns) -> Column:
     return F.to_json(F.struct(*columns), JSON_OPTIONS)
 
 

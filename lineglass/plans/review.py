@@ -24,10 +24,12 @@ class Review:
     findings: DataFrame
     metrics: DataFrame
     answers: DataFrame | None = None
+    counts: DataFrame | None = None
 
     @property
     def totals(self) -> DataFrame:
-        return rollups.project_totals(self.metrics)
+        """From line counts where they are at hand, which need no Python; else from the metrics."""
+        return rollups.project_totals(self.metrics if self.counts is None else self.counts)
 
     def markdown(self, timestamp: str) -> DataFrame:
         return report.markdown_reports(self.totals, self.findings, self.metrics, timestamp, self.answers)
@@ -57,7 +59,7 @@ def review(files: DataFrame, linters: tuple = (), answers: DataFrame | None = No
     findings = union_findings(scan_rules(explode_lines(tagged)), tree_findings(nodes), *linters)
     texts = text_file_metrics(line_counts(tagged.filter(F.col("family") != "python"), keep=("content",)))
     metrics = python_metrics(nodes).unionByName(texts).select(*METRIC_COLUMNS)
-    return Review(findings, metrics, answers)
+    return Review(findings, metrics, answers, line_counts(tagged))
 
 
 def run_review(files: DataFrame, out: str, timestamp: str | None = None, linters: tuple = (),
