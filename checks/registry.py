@@ -13,11 +13,10 @@ from lineglass.functions.text import base_name, extension, strip
 from lineglass.operators import answers as a
 from lineglass.operators import corpus, findings, lines, metrics, rollups, scan, syntax
 from lineglass.operators.corpus import with_language
-from lineglass.plans import report
-from lineglass.plans.review import Review, review
+from lineglass.plans.review import Review, review, store_review
 from lineglass.session import fresh_path
 from lineglass.sources import answers as answer_source
-from lineglass.sources import linters, sinks
+from lineglass.sources import linters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,6 +45,11 @@ def reviewed(spark: SparkSession, sf: str) -> Review:
     return review(c.review_files(spark, sf))
 
 
+def stored(spark: SparkSession, sf: str) -> Review:
+    """The same review with its tables stored, as a job would run it."""
+    return store_review(c.review_files(spark, sf), fresh_path(spark, "review"))
+
+
 def tagged(files: DataFrame) -> DataFrame:
     return with_language(files)
 
@@ -524,7 +528,7 @@ def total_findings(spark, sf):
 @query("finding_ordinal", s.review(
     f"SELECT {FIELDS}, row_number() OVER (PARTITION BY project ORDER BY file, ord) AS ordinal FROM findings"))
 def finding_ordinal(spark, sf):
-    return findings.finding_ordinal(reviewed(spark, sf).findings).select(*FIELD_COLUMNS, *bigint("ordinal"))
+    return findings.finding_ordinal(stored(spark, sf).findings).select(*FIELD_COLUMNS, *bigint("ordinal"))
 
 
 @query("first_ai_summary", """SELECT 'c' || conv_id AS project, arg_min(left(text, 500), turn) AS ai_summary

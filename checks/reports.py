@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 from checks import corpora as c
 from checks import sql as s
 from checks.registry import (
-    FIELD_COLUMNS, FIELDS, ORACLES, QUERIES, STAMP, bigint, query, reviewed, rounded, tagged,
+    FIELD_COLUMNS, FIELDS, ORACLES, QUERIES, STAMP, bigint, query, reviewed, stored,
 )
 from lineglass.functions import rules as r
 from lineglass.functions import vocabulary as v
-from lineglass.operators import corpus, lines, rollups, scan
+from lineglass.operators import lines, rollups, scan
 from lineglass.plans import followup, report
 from lineglass.session import fresh_path
 from lineglass.sources import sinks
@@ -63,8 +63,8 @@ STEPS["sections"] = "\nUNION ALL\n".join(f"SELECT * FROM ({x})" for x in SECTION
 MARKDOWN = s.review("SELECT project, string_agg(text, chr(10) ORDER BY section, position, text) AS report FROM sections GROUP BY project", **STEPS)
 
 
-def with_answers(spark, sf):
-    x = reviewed(spark, sf)
+def with_answers(x):
+    """Add an answer for every project to a review."""
     x.answers = x.totals.select(
         "project", F.concat("project", F.lit(" is fine.")).alias("ai_summary"),
         F.array(*[F.lit(n) for n in NOTES]).alias("ai_suggestions"))
@@ -77,7 +77,7 @@ PARTS = {
 }
 for _name, _section in PARTS.items():
     def _part(spark, sf, section=_section):
-        x = with_answers(spark, sf)
+        x = with_answers(reviewed(spark, sf))
         parts = report.overview_sections(report.project_summary(x.totals, x.findings, x.answers), STAMP)
         if section in (report.CRITICAL, report.WARNINGS):
             parts = parts.unionByName(report.finding_lists(x.findings))
@@ -93,7 +93,7 @@ for _name, _section in PARTS.items():
 
 @query("report_markdown", MARKDOWN)
 def report_markdown(spark, sf):
-    return with_answers(spark, sf).markdown(STAMP)
+    return with_answers(stored(spark, sf)).markdown(STAMP)
 
 
 def html_sql() -> str:
@@ -107,7 +107,7 @@ def html_sql() -> str:
 
 @query("report_html", s.with_(f"SELECT project, {html_sql()} AS report FROM md", md=MARKDOWN))
 def report_html(spark, sf):
-    return with_answers(spark, sf).html(STAMP)
+    return with_answers(stored(spark, sf)).html(STAMP)
 
 
 @query("report_json", s.review(
@@ -115,7 +115,7 @@ def report_html(spark, sf):
     UNION ALL SELECT project, filepath, -1, -1, '', '', '', '', '', '', CAST(lines_code AS INTEGER), round(complexity, 6) FROM metrics"""))
 def report_json(spark, sf):
     """The JSON fragments, parsed again: one row per finding and per file."""
-    rows = reviewed(spark, sf).json(STAMP).filter(F.col("section").isin(2, 4))
+    rows = stored(spark, sf).json(STAMP).filter(F.col("section").isin(2, 4))
     schema = ("file string, filepath string, line int, `column` int, severity string, category string, rule string, message string, "
               "suggestion string, code_snippet string, lines_code int, complexity double")
     x = rows.select("project", F.from_json(F.regexp_replace("text", "^,", ""), schema).alias("x")).select("project", "x.*")
@@ -129,7 +129,7 @@ def report_json(spark, sf):
     """SELECT project, CAST(files AS BIGINT) AS files_analyzed, total AS total_lines, project || ' is fine.' AS ai_summary, 2 AS suggestions FROM totals""", totals=TOTALS))
 def report_json_frame(spark, sf):
     """The opening and closing fragments of each document, joined to an empty document and parsed."""
-    rows = with_answers(spark, sf).json(STAMP).filter(F.col("section").isin(1, 3, 5))
+    rows = with_answers(stored(spark, sf)).json(STAMP).filter(F.col("section").isin(1, 3, 5))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("section", "text"))), lambda x: x["text"]), "")
     doc = F.from_json("text", "project_path string, files_analyzed bigint, total_lines bigint, ai_summary string, ai_suggestions array<string>")
     return rows.groupBy("project").agg(text.alias("text")).select(doc.alias("d")).select(
@@ -140,7 +140,7 @@ for _name, _kind in (("sink_markdown", "markdown"), ("sink_html", "html")):
     def _sink(spark, sf, kind=_kind):
         """Written as text, one folder per project, and read back line by line."""
         path = fresh_path(spark, kind)
-        x = with_answers(spark, sf)
+        x = with_answers(stored(spark, sf))
         sinks.write_reports(x.markdown(STAMP) if kind == "markdown" else x.html(STAMP), path)
         back = spark.read.text(path)
         return back.groupBy("project", F.col("value").alias("line")).agg(F.count("*").alias("n"))
@@ -155,7 +155,7 @@ for _name, _kind in (("sink_markdown", "markdown"), ("sink_html", "html")):
 def sink_json(spark, sf):
     """Fragments written in order; the stored rows counted by kind."""
     path = fresh_path(spark, "json")
-    sinks.write_json_fragments(reviewed(spark, sf).json(STAMP), path)
+    sinks.write_json_fragments(stored(spark, sf).json(STAMP), path)
     back = spark.read.text(path)
     return back.groupBy("project").agg(
         F.count_if(F.col("value").rlike('^,?\\{"file":')).alias("issues"), F.count_if(F.col("value").rlike('^,?\\{"filepath":')).alias("files"))
@@ -175,7 +175,7 @@ def changed_files(spark, sf):
     """The previous run saw another text wherever the length is a multiple of three."""
     files = c.plain_files(spark, sf, "python")
     old = F.when(F.length("content") % 3 == 0, F.concat("content", F.lit("old"))).otherwise(F.col("content"))
-    before = files.select("project", "path", F.sha2(old, 256).alias("content_hash"))
+    before = followup.content_hashes(files.withColumn("content", old))
     return followup.changed_files(files, before).select("project", "path")
 
 
@@ -227,8 +227,14 @@ def stream_findings(spark, sf):
     return arrivals.drain(found, fresh_path(spark, "stream"), fresh_path(spark, "stream-state")).select(*FIELD_COLUMNS)
 
 
-@query("stream_severity_windows")
+@query("stream_severity_windows", s.with_(
+    """SELECT w * 3600 AS window_start, w * 3600 + 3600 AS window_end, severity, n FROM (
+      SELECT CAST(regexp_extract(file, 'd([0-9]+)[.]', 1) AS BIGINT) // 60 AS w, severity, count(*) AS n FROM findings GROUP BY ALL)
+    WHERE w * 3600 + 3600 <= (SELECT max(CAST(regexp_extract(file, 'd([0-9]+)[.]', 1) AS BIGINT)) * 60 - 600 FROM findings)""",
+    files=s.family_files("python"), lines=s.lines(), findings=s.rule_findings(r.PYTHON_RULES + [r.LONG_LINE])))
 def stream_severity_windows(spark, sf):
     found = arrivals.stream_findings(arriving(spark, sf), keep=("arrived",))
     counts = arrivals.severity_windows(found)
-    return arrivals.drain(counts, fresh_path(spark, "windows"), fresh_path(spark, "windows-state"))
+    closed = arrivals.drain(counts, fresh_path(spark, "windows"), fresh_path(spark, "windows-state"))
+    seconds = [F.unix_seconds(x).alias(x) for x in ("window_start", "window_end")]
+    return closed.select(*seconds, "severity", "n")

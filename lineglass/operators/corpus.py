@@ -48,7 +48,12 @@ def select_single(files: DataFrame, path: str) -> DataFrame:
 
 
 def with_language(files: DataFrame) -> DataFrame:
-    """Add ``language`` and ``family`` to ``(project, path, content)``."""
+    """Add ``language`` and ``family`` to ``(project, path, content)`` unless they are there.
+
+    A corpus stored with them as partition columns keeps its pruning.
+    """
+    if {"language", "family"} <= set(files.columns):
+        return files
     return files.withColumn("language", language_of(F.col("path"))).withColumn(
         "family", family_of(F.col("language"))
     )

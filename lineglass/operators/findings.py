@@ -72,7 +72,8 @@ def number_rows(df: DataFrame, group: str, order: list[str], name: str = "ordina
 
     Rows are range-partitioned and sorted; the sorted slices are stored, since a
     rerun of a lost task must not number them differently.  Each slice then only
-    needs the number of rows of its group in earlier slices.
+    needs the number of rows of its group in earlier slices.  Range partitioning
+    samples its input first, so pass a stored table.
     """
     shared_dir(df.sparkSession)
     placed = (

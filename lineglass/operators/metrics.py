@@ -17,22 +17,17 @@ METRIC_COLUMNS = [
 # What counts as a function and as a class in JavaScript/TypeScript text.
 JS_FUNCTION_PATTERN = r"function\s+\w+|=>\s*[{(]|\w+\s*\([^)]*\)\s*{"
 JS_CLASS_PATTERN = r"class\s+\w+"
-
-
-def _count_matches(content: Column, pattern: str) -> Column:
-    # Java wants a literal opening brace escaped.
-    closed = java_regex(pattern).removesuffix("{")
-    if pattern.endswith("{"):
-        closed += r"\{"
-    return F.regexp_count(content, F.lit(closed))
+# The first of them as it is searched: a call-like match starts at a word start,
+# and no part of it can match in another way, so nothing needs to be tried again.
+_JS_FUNCTION_SEARCH = r"function\s+\w|=>\s*[{(]|(?<!\w)\w++\s*+\([^)]*+\)\s*+\{"
 
 
 def js_functions(content: Column) -> Column:
-    return _count_matches(content, JS_FUNCTION_PATTERN)
+    return F.regexp_count(content, F.lit(java_regex(_JS_FUNCTION_SEARCH)))
 
 
 def js_classes(content: Column) -> Column:
-    return _count_matches(content, JS_CLASS_PATTERN)
+    return F.regexp_count(content, F.lit(java_regex(JS_CLASS_PATTERN)))
 
 
 def js_decisions(content: Column) -> Column:
@@ -81,7 +76,7 @@ def file_metrics(files: DataFrame) -> DataFrame:
     Only Python contents go through the Python workers; their node rows are the
     only thing shuffled.
     """
-    tagged = files if "family" in files.columns else with_language(files)
+    tagged = with_language(files)
     python = tagged.filter(F.col("family") == "python")
     other = tagged.filter(F.col("family") != "python")
     counted = python_metrics(counted_nodes(line_counts(python, keep=("content",))))

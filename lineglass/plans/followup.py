@@ -4,14 +4,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def content_hashes(files: DataFrame) -> DataFrame:
+    """What a review has to remember of a file to notice a change."""
+    return files.select("project", "path", F.sha2("content", 256).alias("content_hash"))
+
+
 def changed_files(files: DataFrame, reviewed: DataFrame) -> DataFrame:
-    """Files whose content differs from the last review.
+    """Keys of the files whose content differs from the last review, or is new.
 
-    ``reviewed`` has (project, path, content_hash).  Only keys and hashes meet in
-    the join; contents stay on the left side.
+    ``reviewed`` is the ``content_hashes`` of that review.  Hashes are taken where
+    the files are read, so only keys and hashes are shuffled, never contents.
     """
-    hashed = files.withColumn("content_hash", F.sha2("content", 256))
-    return hashed.join(reviewed.select("project", "path", "content_hash"), ["project", "path", "content_hash"], "left_anti")
+    return content_hashes(files).join(reviewed, ["project", "path", "content_hash"], "left_anti")
 
 
 def release_gate(projects: DataFrame, findings: DataFrame) -> DataFrame:

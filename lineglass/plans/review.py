@@ -62,18 +62,23 @@ def review(files: DataFrame, linters: tuple = (), answers: DataFrame | None = No
     return Review(findings, metrics, answers, line_counts(tagged))
 
 
-def run_review(files: DataFrame, out: str, timestamp: str | None = None, linters: tuple = (),
-               answers: DataFrame | None = None) -> Review:
-    """Run a review and store everything under ``out``.
+def store_review(files: DataFrame, out: str, linters: tuple = (), answers: DataFrame | None = None) -> Review:
+    """Review and store syntax rows, findings and metrics under ``out``.
 
-    Syntax rows, findings and metrics are written once and read back, so no text is
-    scanned or parsed twice and a lost executor costs at most one stage.
+    Everything later reads the stored tables: no text is scanned or parsed twice,
+    and a lost executor costs at most the tasks of one stage.
     """
-    timestamp = timestamp or now()
     lazy = review(files, linters, answers, keep_nodes=lambda n: write_table(n, f"{out}/nodes"))
-    stored = Review(
+    return Review(
         write_table(lazy.findings, f"{out}/findings"), write_table(lazy.metrics, f"{out}/metrics"), answers
     )
+
+
+def run_review(files: DataFrame, out: str, timestamp: str | None = None, linters: tuple = (),
+               answers: DataFrame | None = None) -> Review:
+    """A stored review with its Markdown, HTML and JSON reports."""
+    timestamp = timestamp or now()
+    stored = store_review(files, out, linters, answers)
     write_reports(stored.markdown(timestamp), f"{out}/markdown")
     write_reports(stored.html(timestamp), f"{out}/html")
     write_json_fragments(stored.json(timestamp), f"{out}/json")

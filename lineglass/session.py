@@ -55,11 +55,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+# Beyond this many splits a scan keeps enough tasks busy, and moving its text
+# would cost more than the idle cores.
+SPREAD_MAX_SPLITS = 64
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when the input has fewer splits than the cluster has cores.
+    """Give every core work when a small input has fewer splits than there are cores.
 
-    An input with enough splits is returned as it is, so a large scan is never
-    shuffled; a smaller one is at most a few splits' worth of data.
+    A large input is returned as it is: its text is never shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores) if splits < min(cores, SPREAD_MAX_SPLITS) else df

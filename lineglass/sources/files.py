@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineglass.functions.vocabulary import LANGUAGES
-from lineglass.operators.corpus import decode_text, select_tree
+from lineglass.operators.corpus import decode_text, select_tree, with_language
 
 
 def source_glob() -> str:
@@ -79,3 +79,14 @@ def from_table(table: DataFrame, project: Column, path: Column, content: Column)
     return table.select(
         project.alias("project"), path.alias("path"), F.coalesce(content, F.lit("")).alias("content")
     )
+
+
+def store_corpus(files: DataFrame, path: str) -> DataFrame:
+    """Pack a corpus into Parquet by family and language, and return the stored table.
+
+    Reviews read texts more than once; packed files are split evenly, and the
+    Python-only steps skip the other partitions.
+    """
+    with_language(files).write.mode("overwrite").partitionBy("family", "language").parquet(path)
+    schema = "project string, path string, content string, family string, language string"
+    return files.sparkSession.read.schema(schema).parquet(path)
