@@ -19,7 +19,7 @@ JS_FUNCTION_PATTERN = r"function\s+\w+|=>\s*[{(]|\w+\s*\([^)]*\)\s*{"
 JS_CLASS_PATTERN = r"class\s+\w+"
 # The first of them as it is searched: a call-like match starts at a word start,
 # and no part of it can match in another way, so nothing needs to be tried again.
-_JS_FUNCTION_SEARCH = r"function\s+\w|=>\s*[{(]|(?<!\w)\w++\s*+\([^)]*+\)\s*+\{"
+_JS_FUNCTION_SEARCH = r"function\s++\w++|=>\s*[{(]|(?<!\w)\w++\s*+\([^)]*+\)\s*+\{"
 
 
 def js_functions(content: Column) -> Column:
