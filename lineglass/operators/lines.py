@@ -95,7 +95,8 @@ def line_counts(files: DataFrame, keep: tuple = ()) -> DataFrame:
     """
     files = with_language(files)
     family, content = F.col("family"), F.col("content")
-    empty = (family == "generic") & (content == "")
+    # Empty generic files and files that could not be read have no lines.
+    empty = content.isNull() | ((family == "generic") & (content == ""))
     kinds = F.transform(
         F.split(_body(family, content), "\n"),
         lambda x: classify(family, x, _in_block(x), F.contains(x, F.lit(CLOSE))),

@@ -55,7 +55,8 @@ def js_file_facts(files: DataFrame) -> DataFrame:
 
 def text_file_metrics(counted: DataFrame) -> DataFrame:
     """Metrics of JavaScript/TypeScript and generic files: a projection, no shuffle."""
-    js, content = F.col("family") == "javascript", F.col("content")
+    content = F.col("content")
+    js = (F.col("family") == "javascript") & content.isNotNull()
     facts = counted.select(
         "*",
         F.when(js, js_functions(content)).otherwise(0).alias("functions"),

@@ -17,7 +17,7 @@ REPORT_SEVERITIES = {"LOW": "info", "MEDIUM": "warning", "HIGH": "error"}
 def read_linter_text(spark: SparkSession, path: str) -> DataFrame:
     """Linter text files as ``(project, path, position, value)``: one output file per source file."""
     name = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
-    text = spark.read.option("wholetext", "true").text(path).select(name.alias("path"), "value")
+    text = spark.read.text(path, wholetext=True).select(name.alias("path"), "value")
     return text.select(
         F.lit(path).alias("project"), "path",
         F.posexplode(F.split(strip(F.col("value")), "\n")).alias("position", "value"),
