@@ -202,9 +202,9 @@ def bandit_severity(spark, sf):
 PROVIDERS = ["anthropic", "openai", "ollama"]
 
 
-@query("answer_envelope", """SELECT conv_id * 1000 + turn AS response_id, (['anthropic', 'openai', 'ollama'])[1 + turn % 3] AS provider,
+@query("llm_envelope", """SELECT conv_id * 1000 + turn AS response_id, (['anthropic', 'openai', 'ollama'])[1 + turn % 3] AS provider,
     CASE WHEN turn % 6 = 5 THEN '' ELSE text END AS text FROM conversations""")
-def answer_envelope(spark, sf):
+def llm_envelope(spark, sf):
     """Every turn wrapped as a response body, and unwrapped; some local answers lack the field."""
     text = F.col("text")
     body = (
@@ -327,10 +327,12 @@ def summary_line(spark, sf):
 
 # ---- rule packs and single rules -----------------------------------------
 
+SHORT = {"python": "py", "javascript": "js", "generic": "gen"}
+
 for _family, _all in (("python", r.PYTHON_RULES), ("javascript", r.JS_RULES), ("generic", r.GENERIC_RULES)):
     _packs = {p: [x for x in _all if x.pack == p] for p in dict.fromkeys(x.pack for x in _all)}
     _sets = {f"rules_{_family}_{p}": rules for p, rules in _packs.items()} | {
-        f"rule_{_family}_{x.key}": [x] for x in _all
+        f"{SHORT[_family]}_{x.key}": [x] for x in _all
     }
     for _name, _rules in _sets.items():
         def _scan(spark, sf, family=_family, rules=_rules):
@@ -348,9 +350,9 @@ def rules_on_pages(spark, sf):
 
 
 for _rule, _slot in (("C001", 1), ("C002", 2), ("B012", 3), ("E001", 4)):
-    QUERIES[f"rule_python_{_rule}"] = lambda spark, sf, rule=_rule: syntax.tree_findings(
+    QUERIES[f"py_{_rule}"] = lambda spark, sf, rule=_rule: syntax.tree_findings(
         syntax.python_nodes(c.python_files(spark, sf))).filter(F.col("rule") == rule).select(*FIELD_COLUMNS)
-    ORACLES[f"rule_python_{_rule}"] = s.with_(f"SELECT {FIELDS} FROM found WHERE rule = '{_rule}'", files=s.python_files(),
+    ORACLES[f"py_{_rule}"] = s.with_(f"SELECT {FIELDS} FROM found WHERE rule = '{_rule}'", files=s.python_files(),
                                               functions=s.functions(), found=s.tree_findings())
 
 # ---- joins ---------------------------------------------------------------
@@ -443,6 +445,18 @@ def project_totals(spark, sf):
     return rollups.project_totals(lines.line_counts(c.review_files(spark, sf)))
 
 
+@query("python_ast_nodes", s.with_(
+    """SELECT project, path, kind, CAST(sum(n) AS BIGINT) AS nodes, CAST(sum(w) AS BIGINT) AS weight FROM (
+      SELECT project, path, CASE WHEN n % 17 = 0 THEN 'error' ELSE 'module' END AS kind, 1 AS n, 0 AS w FROM files
+      UNION ALL SELECT project, path, 'function', 1, 0 FROM functions
+      UNION ALL SELECT project, path, 'class', 1, 0 FROM files WHERE n % 5 = 0 AND n % 17 <> 0
+      UNION ALL SELECT project, path, 'decision', complexity - 1, complexity - 1 FROM functions WHERE name LIKE 'f%') GROUP BY ALL HAVING sum(n) > 0""",
+    files=s.python_files(), functions=s.functions()))
+def python_ast_nodes(spark, sf):
+    nodes = syntax.python_nodes(c.python_files(spark, sf))
+    return nodes.groupBy("project", "path", "kind").agg(F.count("*").alias("nodes"), F.sum("weight").alias("weight"))
+
+
 @query("py_def_counts", s.with_(
     "SELECT project, path, CASE WHEN n % 17 = 0 THEN 0 WHEN n % 3 = 0 THEN 2 ELSE 1 END AS functions, CASE WHEN n % 17 <> 0 AND n % 5 = 0 THEN 1 ELSE 0 END AS classes FROM files",
     files=s.python_files()))
@@ -531,14 +545,6 @@ def finding_ordinal(spark, sf):
     return findings.finding_ordinal(stored(spark, sf).findings).select(*FIELD_COLUMNS, *bigint("ordinal"))
 
 
-@query("first_ai_summary", """SELECT 'c' || conv_id AS project, arg_min(left(text, 500), turn) AS ai_summary
-    FROM conversations WHERE role = 'assistant' AND text <> '' AND NOT contains(text, 'SUMMARY:') GROUP BY conv_id""")
-def first_ai_summary(spark, sf):
-    turns = c.table(spark, sf, "conversations").filter((F.col("role") == "assistant") & ~F.contains("text", F.lit("SUMMARY:")))
-    rows = turns.select(F.concat(F.lit("c"), "conv_id").alias("project"), F.col("turn").alias("ord"), "text")
-    return a.first_summary(a.parse_answers(rows)).select("project", "ai_summary")
-
-
 @query("categories_ranked", s.review(
     """SELECT project, category, n, row_number() OVER (PARTITION BY project ORDER BY n DESC, file, ord) AS rank FROM (
       SELECT project, category, file, ord, count(*) OVER (PARTITION BY project, category) AS n,
@@ -614,14 +620,24 @@ def review_request_rows(spark, sf):
                        field("$.model").alias("model"), F.coalesce(field("$.max_tokens"), F.lit("")).alias("max_tokens"))
 
 
-@query("parse_summary", s.with_(
-    f"""SELECT conv_id, turn, left(CASE WHEN NOT contains(text, 'SUMMARY:') THEN text ELSE {s.strip('''substr(text, strpos(text, 'SUMMARY:') + 8,
-      greatest(CASE WHEN contains(text, 'ISSUES:') THEN strpos(text, 'ISSUES:') - 1 ELSE length(text) END - strpos(text, 'SUMMARY:') - 7, 0))''')} END, 500) AS summary FROM answers""",
-    answers=s.answers()))
+SUMMARY_SQL = f"""SELECT conv_id, turn, left(CASE WHEN NOT contains(text, 'SUMMARY:') THEN text ELSE {s.strip('''substr(text, strpos(text, 'SUMMARY:') + 8,
+      greatest(CASE WHEN contains(text, 'ISSUES:') THEN strpos(text, 'ISSUES:') - 1 ELSE length(text) END - strpos(text, 'SUMMARY:') - 7, 0))''')} END, 500) AS summary FROM answers"""
+
+
+@query("parse_summary", s.with_(SUMMARY_SQL, answers=s.answers()))
 def parse_summary(spark, sf):
     return c.answers(spark, sf).select("conv_id", "turn", a.answer_summary(F.col("text")).alias("summary"))
 
 
+@query("first_ai_summary", s.with_(
+    f"SELECT 'c' || conv_id AS project, arg_min(summary, turn) AS ai_summary FROM ({SUMMARY_SQL}) WHERE summary <> '' GROUP BY conv_id",
+    answers=s.answers()))
+def first_ai_summary(spark, sf):
+    """A conversation as a project, its assistant turns as the answers for its files."""
+    rows = c.answers(spark, sf).select(F.concat(F.lit("c"), "conv_id").alias("project"), F.col("turn").alias("ord"), "text")
+    return a.first_summary(a.parse_answers(rows)).select("project", "ai_summary")
+
+
 SUGGESTIONS_SQL = f"""SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS position,
       CASE WHEN starts_with(x, '- ') THEN substr(x, 3) ELSE x END AS suggestion FROM (
       SELECT conv_id, turn, {s.strip('unnest(p)')} AS x, generate_subscripts(p, 1) AS i FROM (

@@ -36,7 +36,7 @@ def _parser(keep: tuple):
                 warnings.simplefilter("ignore")
                 tree = ast.parse(source)
         except SyntaxError as e:
-            return [("error", 0, 0, 0, [], "", e.lineno or 1, e.offset or 0, 0, 0, False, str(e.msg))]
+            return [("error", 0, 0, 0, [0], "", e.lineno or 1, e.offset or 0, 0, 0, False, str(e.msg))]
         except Exception:
             return [("skipped", 0, 0, 0, [], "", 0, 0, 0, 0, False, None)]
         order = {id(n): i for i, n in enumerate(ast.walk(tree))}
@@ -101,25 +101,29 @@ def python_nodes(files: DataFrame, keep: tuple = ()) -> DataFrame:
     return files.select("project", "path", *keep, "content").mapInPandas(_parser(keep), schema)
 
 
+def _owned(nodes: DataFrame, *kinds: str) -> DataFrame:
+    return nodes.filter(F.col("kind").isin(*kinds)).select(
+        "project", "path", F.explode("owners").alias("function_pre"), "kind", "pre", "weight",
+        "bfs", "name", "line", "col", "n_args", "mutable_default", "parse_error_msg",
+    )
+
+
 def function_contains(nodes: DataFrame) -> DataFrame:
     """One row per (function, node inside it); nested functions' nodes count for every outer one."""
-    return nodes.filter(F.col("kind").isin("function", "decision")).select(
-        "project", "path", F.explode("owners").alias("function_pre"), "kind", "pre", "weight",
-        "bfs", "name", "line", "col", "n_args", "mutable_default",
+    return _owned(nodes, "function", "decision").drop("parse_error_msg")
+
+
+def _per_function(owned: DataFrame, *more: Column) -> DataFrame:
+    own = lambda c: F.max(F.when(F.col("pre") == F.col("function_pre"), F.col(c))).alias(c)
+    return owned.groupBy("project", "path", "function_pre").agg(
+        (F.sum("weight") + 1).alias("complexity"),
+        own("bfs"), own("line"), own("col"), own("n_args"), own("name"), own("mutable_default"), *more,
     )
 
 
 def function_complexity(nodes: DataFrame) -> DataFrame:
     """Per function: complexity and the attributes the function checks need."""
-    own = lambda c: F.max(F.when(F.col("pre") == F.col("function_pre"), F.col(c))).alias(c)
-    return (
-        function_contains(nodes)
-        .groupBy("project", "path", "function_pre")
-        .agg(
-            (F.sum("weight") + 1).alias("complexity"),
-            own("bfs"), own("line"), own("col"), own("n_args"), own("name"), own("mutable_default"),
-        )
-    )
+    return _per_function(function_contains(nodes))
 
 
 def definition_counts(nodes: DataFrame) -> DataFrame:
@@ -183,41 +187,41 @@ def python_metrics(nodes: DataFrame) -> DataFrame:
 
 
 def tree_findings(nodes: DataFrame) -> DataFrame:
-    """Function checks and syntax errors as findings, from one pass over the function rows."""
-    f = function_complexity(nodes)
-    quoted = lambda before, after: F.concat(F.lit(before + ' "'), F.col("name"), F.lit('"'), *after)
-    number = lambda text, c: [F.lit(text + " ("), F.col(c).cast("string"), F.lit(")")]
-    check = lambda hit, slot, rule, severity, category, message, suggestion: F.when(
-        hit,
-        F.struct(
-            F.lit(slot).alias("slot"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"),
-            F.lit(category).alias("category"), message.alias("message"), F.lit(suggestion).alias("suggestion"),
-        ),
-    )
-    # Messages of the function checks.
-    checks = F.array_compact(
-        F.array(
-            check(F.col("complexity") > v.MAX_FUNCTION_COMPLEXITY, 1, "C001", "warning", "complexity",
-                  quoted("Function", number(" has high complexity", "complexity")),
-                  "Consider breaking into smaller functions"),
-            check(F.col("n_args") > v.MAX_FUNCTION_ARGUMENTS, 2, "C002", "warning", "complexity",
-                  quoted("Function", number(" has too many arguments", "n_args")),
-                  "Consider using a config object or dataclass"),
-            check(F.col("mutable_default"), 3, "B012", "error", "bug",
-                  quoted("Mutable default argument in function", []),
-                  "Use None as default and initialize inside function"),
+    """Function checks and syntax errors as findings, from one pass over the node rows.
+
+    A file that does not parse has a single row that owns itself, so it comes
+    through the same grouping as a function would.
+    """
+    f = _per_function(_owned(nodes, "function", "decision", "error"), F.max("parse_error_msg").alias("error"))
+    name = F.concat(F.lit('"'), F.col("name"), F.lit('"'))
+    number = lambda c: F.concat(F.lit("("), F.col(c).cast("string"), F.lit(")"))
+    # Rule, severity, category, message and suggestion of each check.
+    checks = [
+        ("C001", F.col("complexity") > v.MAX_FUNCTION_COMPLEXITY, "warning", "complexity",
+         F.concat_ws(" ", F.lit("Function"), name, F.lit("has high complexity"), number("complexity")),
+         "Consider breaking into smaller functions"),
+        ("C002", F.col("n_args") > v.MAX_FUNCTION_ARGUMENTS, "warning", "complexity",
+         F.concat_ws(" ", F.lit("Function"), name, F.lit("has too many arguments"), number("n_args")),
+         "Consider using a config object or dataclass"),
+        ("B012", F.col("mutable_default"), "error", "bug",
+         F.concat_ws(" ", F.lit("Mutable default argument in function"), name),
+         "Use None as default and initialize inside function"),
+        ("E001", F.col("error").isNotNull(), "critical", "syntax",
+         F.concat(F.lit("Syntax error: "), F.col("error")), ""),
+    ]
+    rows = [
+        F.when(
+            hit,
+            F.struct(
+                F.lit(slot).alias("slot"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"),
+                F.lit(category).alias("category"), message.alias("message"), F.lit(suggestion).alias("suggestion"),
+            ),
         )
-    )
-    functions = f.select("project", "path", "line", "col", "bfs", F.explode(checks).alias("c")).select(
+        for slot, (rule, hit, severity, category, message, suggestion) in enumerate(checks, 1)
+    ]
+    found = f.select("project", "path", "line", "col", "bfs", F.explode(F.array_compact(F.array(*rows))).alias("c"))
+    return found.select(
         "project", F.col("path").alias("file"), "line", F.col("col").alias("column"),
         "c.severity", "c.category", "c.rule", "c.message", "c.suggestion", F.lit("").alias("code_snippet"),
         finding_order("tree", F.col("bfs"), F.col("c.slot")).alias("ord"),
-    )
-    errors = nodes.filter(F.col("kind") == "error").select(
-        "project", F.col("path").alias("file"), "line", F.col("col").alias("column"),
-        F.lit("critical").alias("severity"), F.lit("syntax").alias("category"), F.lit("E001").alias("rule"),
-        F.concat(F.lit("Syntax error: "), F.col("parse_error_msg")).alias("message"),
-        F.lit("").alias("suggestion"), F.lit("").alias("code_snippet"),
-        finding_order("tree", F.col("bfs"), 4).alias("ord"),
-    )
-    return functions.unionByName(errors).select(*FINDING_COLUMNS)
+    ).select(*FINDING_COLUMNS)
