@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lineglass.functions import vocabulary as v
 from lineglass.functions.text import base_name
 from lineglass.operators.scan import FINDING_COLUMNS
-from lineglass.session import shared_dir
+from lineglass.session import broadcast_if_small, shared_dir
 
 
 def union_findings(*parts: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def number_rows(df: DataFrame, group: str, order: list[str], name: str = "ordina
     earlier = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slices.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     return (
-        placed.join(offsets, [group, "_slice"])
+        placed.join(broadcast_if_small(offsets), [group, "_slice"])
         .withColumn(name, F.col("_before") + F.col("_place") - F.col("_start") + 1)
         .drop("_slice", "_place", "_n", "_start", "_before")
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lineglass.functions import vocabulary as v
 from lineglass.functions.text import base_name, fixed_decimals, thousands
 from lineglass.operators import rollups
+from lineglass.session import broadcast_if_small
 
 HEADER, SEVERITIES, CATEGORIES, ANSWER, CRITICAL, WARNINGS, METRICS, FOOTER = range(1, 9)
 LAST = 1000
@@ -217,7 +218,7 @@ def _json(*columns) -> Column:
 
 def _elements(rows: DataFrame, section: int, key: list[str], fields: list[str]) -> DataFrame:
     """Array elements of one project; every one but the first starts with a comma."""
-    first = rows.groupBy("project").agg(F.min(F.struct(*key)).alias("_first"))
+    first = broadcast_if_small(rows.groupBy("project").agg(F.min(F.struct(*key)).alias("_first")))
     comma = F.when(F.struct(*key) == F.col("_first"), "").otherwise(",")
     order = key[1] if len(key) > 1 else F.lit(0).cast("bigint").alias("ord")
     return rows.join(first, "project").select(
@@ -230,6 +231,7 @@ def json_fragments(totals, findings, metrics, timestamp: str, answers=None) -> D
     """The JSON reports as rows ``(project, section, file, ord, text)``.
 
     A project's texts in the order of (section, file, ord) are its JSON document.
+    Meant for stored findings and metrics, which are read more than once.
     """
     if answers is not None:
         joined = totals.join(answers, "project", "left")

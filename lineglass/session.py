@@ -4,6 +4,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings a cluster deployment should carry; sizes are left to the cluster.
 RECOMMENDED = {
@@ -12,8 +13,6 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Python syntax trees are built from whole files: keep Arrow batches small.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
 }
 
 
@@ -38,16 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local session may go without the setting; it gets a temporary folder.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        current = tempfile.mkdtemp(prefix="lineglass-")
-        spark.conf.set("spark.checkpoint.dir", current)
+    named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(current)
-    return current
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lineglass-"))
+    return named or context.getCheckpointDir()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -68,3 +64,17 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     splits = df.rdd.getNumPartitions()
     return df.repartition(cores) if splits < min(cores, SPREAD_MAX_SPLITS) else df
+
+
+# Rows of a few short columns; up to this many, a table is tens of megabytes.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a narrow table for broadcasting once it has been counted.
+
+    A larger one is returned unmarked and joined by shuffling.  For tables that are
+    cheap to compute: counting runs them.
+    """
+    kept = df.persist()
+    return F.broadcast(kept) if kept.count() <= rows else kept

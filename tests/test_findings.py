@@ -33,6 +33,25 @@ def test_numbering_is_exact_with_a_hot_project(spark):
         assert [x[1:] for x in found] == sorted(x[1:] for x in found)
 
 
+def test_numbering_does_not_need_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(f, "broadcast_if_small", lambda df: df)
+    rows = [finding("hot" if i % 3 else "cold", f"f{i % 7}.py", i) for i in range(300)]
+    got = f.finding_ordinal(table(spark, rows)).groupBy("project").agg(F.max("ordinal").alias("n"), F.countDistinct("ordinal").alias("d"))
+    assert {(r.project, r.n, r.d) for r in got.collect()} == {("hot", 200, 200), ("cold", 100, 100)}
+
+
+def test_small_tables_are_marked_and_large_ones_are_not(spark):
+    from lineglass.session import broadcast_if_small
+
+    big = spark.range(1000).withColumnRenamed("id", "k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lambda rows: big.join(broadcast_if_small(spark.range(50).withColumnRenamed("id", "k"), rows), "k")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan(50) and "BroadcastHashJoin" not in plan(49)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_a_hot_project_is_numbered_on_several_tasks(spark):
     rows = spark.range(20000).select(F.lit("hot").alias("project"), F.col("id").cast("string").alias("file"), F.lit(1).alias("ord"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")

@@ -7,46 +7,51 @@ from lineglass.operators import syntax
 from lineglass.operators.metrics import file_metrics
 
 
-def facts(spark, files, code):
-    nodes = syntax.python_nodes(files([("p", "a.py", code)])).persist()
-    found = [(f.rule, f.line, f.column, f.message) for f in syntax.tree_findings(nodes).orderBy("ord").collect()]
-    functions = {f.name: f.complexity for f in syntax.function_complexity(nodes).collect()}
+def facts(spark, files, codes):
+    """Complexities and findings of several modules from one run."""
+    nodes = syntax.python_nodes(files([("p", str(i), code) for i, code in enumerate(codes)])).persist()
+    found, functions = [[] for _ in codes], [{} for _ in codes]
+    for f in syntax.tree_findings(nodes).orderBy("file", "ord").collect():
+        found[int(f.file)].append((f.rule, f.line, f.column, f.message))
+    for f in syntax.function_complexity(nodes).collect():
+        functions[int(f.path)][f.name] = f.complexity
+    nodes.unpersist()
     return functions, found
 
 
-@pytest.mark.parametrize(
-    "code, functions, rules",
-    [
-        ("def f(a=[]): pass", {"f": 1}, ["B012"]),
-        ("def f(a=[], *, b={}): pass", {"f": 1}, ["B012"]),
-        ("def f(*, b={1}): pass", {"f": 1}, ["B012"]),
-        ("def f(a=list()): pass", {"f": 1}, []),
-        ("def f(a,b,c,d,e,g,h,i): pass", {"f": 1}, ["C002"]),
-        ("def f(a,b,c,d,e,g,h): pass", {"f": 1}, []),
-        ("def f(a,b,c,d,e,g,h,i,/): pass", {"f": 1}, []),
-        ("def f(a,b,c,d,*x,e,g,h,i,**y): pass", {"f": 1}, ["C002"]),
-        ("def f():\n  if a: pass\n  def g():\n    for x in y: pass\n", {"f": 3, "g": 2}, []),
-        ("def f(): return x and y and z", {"f": 3}, []),
-        ("def f(): return [i for i in a for j in b if j]", {"f": 3}, []),
-        ("async def f():\n  async with a: pass\n  async for b in c: pass\n  assert d", {"f": 4}, []),
-        ("def f():\n  match a:\n    case 1: pass\n  try: pass\n  finally: pass\n  return 1 if b else (lambda: 2)", {"f": 1}, []),
-        ("def f():\n" + "  if a: pass\n" * 10, {"f": 11}, ["C001"]),
-        ("def f():\n" + "  if a: pass\n" * 9, {"f": 10}, []),
-        ("def (", {}, ["E001"]),
-        ("x = 1", {}, []),
-        ("if a and b: pass", {}, []),
-        ("@d(x or y)\ndef f(a=(b and c)): pass", {"f": 3}, []),
-    ],
-)
-def test_tree_cases(spark, files, code, functions, rules):
-    got, found = facts(spark, files, code)
-    assert got == functions
-    assert [f[0] for f in found] == rules
+CASES = [
+    ("def f(a=[]): pass", {"f": 1}, ["B012"]),
+    ("def f(a=[], *, b={}): pass", {"f": 1}, ["B012"]),
+    ("def f(*, b={1}): pass", {"f": 1}, ["B012"]),
+    ("def f(a=list()): pass", {"f": 1}, []),
+    ("def f(a,b,c,d,e,g,h,i): pass", {"f": 1}, ["C002"]),
+    ("def f(a,b,c,d,e,g,h): pass", {"f": 1}, []),
+    ("def f(a,b,c,d,e,g,h,i,/): pass", {"f": 1}, []),
+    ("def f(a,b,c,d,*x,e,g,h,i,**y): pass", {"f": 1}, ["C002"]),
+    ("def f():\n  if a: pass\n  def g():\n    for x in y: pass\n", {"f": 3, "g": 2}, []),
+    ("def f(): return x and y and z", {"f": 3}, []),
+    ("def f(): return [i for i in a for j in b if j]", {"f": 3}, []),
+    ("async def f():\n  async with a: pass\n  async for b in c: pass\n  assert d", {"f": 4}, []),
+    ("def f():\n  match a:\n    case 1: pass\n  try: pass\n  finally: pass\n  return 1 if b else (lambda: 2)", {"f": 1}, []),
+    ("def f():\n" + "  if a: pass\n" * 10, {"f": 11}, ["C001"]),
+    ("def f():\n" + "  if a: pass\n" * 9, {"f": 10}, []),
+    ("def (", {}, ["E001"]),
+    ("x = 1", {}, []),
+    ("if a and b: pass", {}, []),
+    ("@d(x or y)\ndef f(a=(b and c)): pass", {"f": 3}, []),
+]
+
+
+def test_tree_cases(spark, files):
+    functions, found = facts(spark, files, [code for code, *_ in CASES])
+    for (code, want, rules), got, hits in zip(CASES, functions, found):
+        assert got == want, code
+        assert [f[0] for f in hits] == rules, code
 
 
 def test_messages_and_breadth_first_order(spark, files):
     code = "class A:\n  def m(s, a=[]): pass\ndef f(b={}):\n  pass\n"
-    _, found = facts(spark, files, code)
+    _, (found,) = facts(spark, files, [code])
     assert found == [
         ("B012", 3, 0, 'Mutable default argument in function "f"'),
         ("B012", 2, 2, 'Mutable default argument in function "m"'),
