@@ -8,6 +8,7 @@ contents pass through the driver.
 """
 
 import math
+import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,13 @@ READ_BYTES_PER_TASK = 128 * 1024 * 1024
 READ_BYTES_PER_BATCH = 32 * 1024 * 1024
 
 
+def _address(path: str) -> str:
+    """A path as Arrow's file systems take it."""
+    if "://" in path:
+        return path.rstrip("/")
+    return os.path.abspath(path.removeprefix("file:"))
+
+
 def _lister(root: str):
     """List the directories of a batch, one level deep; self-contained for the executors."""
 
@@ -56,7 +64,7 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
     found = None
     while True:
         listed = level.repartition(spark.sparkContext.defaultParallelism, "path").mapInPandas(
-            _lister(root.rstrip("/")), "path string, is_dir boolean, size bigint"
+            _lister(_address(root)), "path string, is_dir boolean, size bigint"
         ).checkpoint()
         files = listed.filter(~F.col("is_dir")).select("path", "size")
         found = files if found is None else found.unionByName(files)
@@ -103,7 +111,7 @@ def read_paths(listed: DataFrame, root: str, project: str) -> DataFrame:
     total = listed.agg(F.sum("size")).first()[0] or 0
     tasks = max(spark.sparkContext.defaultParallelism, math.ceil(total / READ_BYTES_PER_TASK))
     raw = listed.select("path").repartition(tasks, "path").mapInPandas(
-        _reader(root.rstrip("/"), READ_BYTES_PER_BATCH), "path string, content binary"
+        _reader(_address(root), READ_BYTES_PER_BATCH), "path string, content binary"
     )
     return raw.select(F.lit(project).alias("project"), "path", decode_text(F.col("content")).alias("content"))
 
@@ -117,7 +125,7 @@ def read_tree(spark: SparkSession, root: str, project: str | None = None) -> Dat
 
 def read_file(spark: SparkSession, path: str, project: str | None = None) -> DataFrame:
     """A single review target, taken whatever its name."""
-    root, name = path.rsplit("/", 1)
+    root, name = _address(path).rsplit("/", 1)
     one = spark.createDataFrame([(name, 0)], "path string, size bigint")
     return read_paths(one, root, project or path)
 
