@@ -13,10 +13,11 @@ from lineglass.functions.text import base_name, extension, strip
 from lineglass.operators import answers as a
 from lineglass.operators import corpus, findings, lines, metrics, rollups, scan, syntax
 from lineglass.operators.corpus import with_language
-from lineglass.plans.review import Review, review, store_review
+from lineglass.plans.review import Review, StoredReview, store_review
 from lineglass.session import fresh_path
 from lineglass.sources import answers as answer_source
 from lineglass.sources import linters
+from lineglass.sources.sinks import write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,10 +43,10 @@ def rounded(*names: str) -> list[Column]:
 
 
 def reviewed(spark: SparkSession, sf: str) -> Review:
-    return review(c.review_files(spark, sf))
+    return Review(c.review_files(spark, sf))
 
 
-def stored(spark: SparkSession, sf: str) -> Review:
+def stored(spark: SparkSession, sf: str) -> StoredReview:
     """The same review with its tables stored, as a job would run it."""
     return store_review(c.review_files(spark, sf), fresh_path(spark, "review"))
 
@@ -542,7 +543,8 @@ def total_findings(spark, sf):
 @query("finding_ordinal", s.review(
     f"SELECT {FIELDS}, row_number() OVER (PARTITION BY project ORDER BY file, ord) AS ordinal FROM findings"))
 def finding_ordinal(spark, sf):
-    return findings.finding_ordinal(stored(spark, sf).findings).select(*FIELD_COLUMNS, *bigint("ordinal"))
+    found = write_table(reviewed(spark, sf).findings, fresh_path(spark, "findings"))
+    return findings.finding_ordinal(found).select(*FIELD_COLUMNS, *bigint("ordinal"))
 
 
 @query("categories_ranked", s.review(

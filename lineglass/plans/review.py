@@ -2,6 +2,7 @@
 
 from dataclasses import dataclass
 from datetime import datetime
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,19 +18,8 @@ from lineglass.plans import report
 from lineglass.sources.sinks import write_json_fragments, write_reports, write_table
 
 
-@dataclass
-class Review:
-    """The tables of one review run."""
-
-    findings: DataFrame
-    metrics: DataFrame
-    answers: DataFrame | None = None
-    counts: DataFrame | None = None
-
-    @property
-    def totals(self) -> DataFrame:
-        """From line counts where they are at hand, which need no Python; else from the metrics."""
-        return rollups.project_totals(self.metrics if self.counts is None else self.counts)
+class Reports:
+    """The reports of anything that has totals, findings, metrics and answers."""
 
     def markdown(self, timestamp: str) -> DataFrame:
         return report.markdown_reports(self.totals, self.findings, self.metrics, timestamp, self.answers)
@@ -41,41 +31,74 @@ class Review:
         return report.json_fragments(self.totals, self.findings, self.metrics, timestamp, self.answers)
 
 
-def now() -> str:
-    return datetime.now().strftime("%Y-%m-%d %H:%M:%S")
-
-
-def review(files: DataFrame, linters: tuple = (), answers: DataFrame | None = None, keep_nodes=None) -> Review:
-    """``(project, path, content)`` -> findings and metrics.
+class Review(Reports):
+    """The tables of a review of ``(project, path, content)``, each described on first use.
 
     ``linters`` are further finding tables; ``answers`` is one row per project.
     ``keep_nodes`` may store the syntax rows so both users of them read one copy.
     """
-    tagged = with_language(files)
-    python = tagged.filter(F.col("family") == "python")
-    nodes = counted_nodes(line_counts(python, keep=("content",)))
-    if keep_nodes:
-        nodes = keep_nodes(nodes)
-    findings = union_findings(scan_rules(explode_lines(tagged)), tree_findings(nodes), *linters)
-    texts = text_file_metrics(line_counts(tagged.filter(F.col("family") != "python"), keep=("content",)))
-    metrics = python_metrics(nodes).unionByName(texts).select(*METRIC_COLUMNS)
-    return Review(findings, metrics, answers, line_counts(tagged))
-
-
-def store_review(files: DataFrame, out: str, linters: tuple = (), answers: DataFrame | None = None) -> Review:
+
+    def __init__(self, files: DataFrame, linters: tuple = (), answers: DataFrame | None = None, keep_nodes=None):
+        self.files = with_language(files)
+        self.linters = linters
+        self.answers = answers
+        self.keep_nodes = keep_nodes
+
+    def _family(self, python: bool) -> DataFrame:
+        mine = F.col("family") == "python"
+        return line_counts(self.files.filter(mine if python else ~mine), keep=("content",))
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        nodes = counted_nodes(self._family(python=True))
+        return self.keep_nodes(nodes) if self.keep_nodes else nodes
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        return union_findings(scan_rules(explode_lines(self.files)), tree_findings(self.nodes), *self.linters)
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        texts = text_file_metrics(self._family(python=False))
+        return python_metrics(self.nodes).unionByName(texts).select(*METRIC_COLUMNS)
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        """From line counts alone, which need no Python."""
+        return rollups.project_totals(line_counts(self.files))
+
+
+@dataclass
+class StoredReview(Reports):
+    """A review whose tables are stored."""
+
+    findings: DataFrame
+    metrics: DataFrame
+    answers: DataFrame | None = None
+
+    @property
+    def totals(self) -> DataFrame:
+        return rollups.project_totals(self.metrics)
+
+
+def now() -> str:
+    return datetime.now().strftime("%Y-%m-%d %H:%M:%S")
+
+
+def store_review(files: DataFrame, out: str, linters: tuple = (), answers: DataFrame | None = None) -> StoredReview:
     """Review and store syntax rows, findings and metrics under ``out``.
 
     Everything later reads the stored tables: no text is scanned or parsed twice,
     and a lost executor costs at most the tasks of one stage.
     """
-    lazy = review(files, linters, answers, keep_nodes=lambda n: write_table(n, f"{out}/nodes"))
-    return Review(
+    lazy = Review(files, linters, answers, keep_nodes=lambda n: write_table(n, f"{out}/nodes"))
+    return StoredReview(
         write_table(lazy.findings, f"{out}/findings"), write_table(lazy.metrics, f"{out}/metrics"), answers
     )
 
 
 def run_review(files: DataFrame, out: str, timestamp: str | None = None, linters: tuple = (),
-               answers: DataFrame | None = None) -> Review:
+               answers: DataFrame | None = None) -> StoredReview:
     """A stored review with its Markdown, HTML and JSON reports."""
     timestamp = timestamp or now()
     stored = store_review(files, out, linters, answers)

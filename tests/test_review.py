@@ -2,7 +2,7 @@ import json
 import os
 
 from lineglass.plans import followup
-from lineglass.plans.review import review, run_review
+from lineglass.plans.review import Review, run_review
 from lineglass.sources.files import read_file, read_tree, store_corpus, stream_tree
 from lineglass.sources.linters import read_linter_text
 from lineglass.streaming.arrivals import drain, stream_findings
@@ -46,7 +46,7 @@ def test_a_named_file_is_taken_whatever_it_is(spark, tmp_path):
 
 def test_an_unreadable_file_counts_with_no_lines(spark):
     df = spark.createDataFrame([("p", x, None) for x in ("a.py", "b.js", "c.go")], "project string, path string, content string")
-    done = review(df)
+    done = Review(df)
     assert done.findings.count() == 0
     assert {tuple(m)[2:] for m in done.metrics.collect()} == {(0, 0, 0, 0, 0, 0, 0.0, 0.0)}
     assert done.totals.first().files_analyzed == 3
@@ -61,7 +61,7 @@ def test_symlinked_directories_are_not_entered(spark, tmp_path):
 def test_run_review_stores_tables_and_reports(spark, tmp_path):
     files = read_tree(spark, make_tree(tmp_path), "demo")
     out = str(tmp_path / "out")
-    done = run_review(files, out, "2026-01-01 00:00:00")
+    done = run_Review(files, out, "2026-01-01 00:00:00")
     rules = sorted((r.file, r.rule, r.line) for r in done.findings.collect())
     assert rules == [("Page.JS", "W005", 1), ("lib.go", "W001", 1), ("main.py", "B012", 1), ("main.py", "S001", 2), ("main.py", "SEC001", 3)]
     assert done.metrics.count() == 7
@@ -78,7 +78,7 @@ def test_run_review_stores_tables_and_reports(spark, tmp_path):
 
 def test_markdown_text(spark, tmp_path):
     files = read_tree(spark, make_tree(tmp_path), "demo")
-    text = review(files).markdown("NOW").first().report
+    text = Review(files).markdown("NOW").first().report
     assert text == "\n".join([
         "# Code Review Report", "", "**Project:** `demo`", "**Date:** NOW", "**Files Analyzed:** 7", "**Total Lines:** 17", "", "---", "",
         "## Summary", "", "| Severity | Count |", "|----------|-------|", "| 🔴 Critical | 2 |", "| 🟠 Error | 1 |", "| 🟡 Warning | 0 |", "| 🔵 Info | 2 |", "",
@@ -95,29 +95,29 @@ def test_markdown_text(spark, tmp_path):
 
 
 def test_html_escapes_reviewed_text(spark, files):
-    html = review(files([("p", "a.py", "x = eval('<script>&')")])).html("NOW").first().report
+    html = Review(files([("p", "a.py", "x = eval('<script>&')")])).html("NOW").first().report
     assert "<script>" not in html and "&lt;script>&amp;" in html
     assert "<h1>Code Review Report</h1>" in html and "<strong>Project:</strong> <code>p</code>" in html
 
 
 def test_answers_appear_in_the_report(spark, files):
     answers = spark.createDataFrame([("p", "All good.", ["a", "b"])], "project string, ai_summary string, ai_suggestions array<string>")
-    text = review(files([("p", "a.go", ""), ("q", "b.go", "")]), answers=answers).markdown("NOW")
+    text = Review(files([("p", "a.go", ""), ("q", "b.go", "")]), answers=answers).markdown("NOW")
     got = {r.project: r.report for r in text.collect()}
     assert "## AI Review\n\nAll good.\n\n### Suggestions\n- a\n- b\n" in got["p"]
     assert "AI Review" not in got["q"]
 
 
 def test_report_plan_has_no_cross_join(spark, files):
-    plan = review(files([("p", "a.py", "x")])).markdown("NOW")._jdf.queryExecution().executedPlan().toString()
+    plan = Review(files([("p", "a.py", "x")])).markdown("NOW")._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
 def test_packed_corpus_gives_the_same_review_and_prunes(spark, tmp_path):
     files = read_tree(spark, make_tree(tmp_path), "demo")
     packed = store_corpus(files, str(tmp_path / "packed"))
-    assert sorted(map(tuple, review(packed).findings.collect())) == sorted(map(tuple, review(files).findings.collect()))
-    assert sorted(map(tuple, review(packed).metrics.collect())) == sorted(map(tuple, review(files).metrics.collect()))
+    assert sorted(map(tuple, Review(packed).findings.collect())) == sorted(map(tuple, Review(files).findings.collect()))
+    assert sorted(map(tuple, Review(packed).metrics.collect())) == sorted(map(tuple, Review(files).metrics.collect()))
     plan = packed.filter("family = 'python'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(family" in plan
 
@@ -132,7 +132,7 @@ def test_changed_files_and_gate(spark, files):
     old, new = files([("p", "a", "1"), ("p", "b", "2")]), files([("p", "a", "1"), ("p", "b", "3"), ("p", "c", "4")])
     changed = followup.changed_files(new, followup.content_hashes(old))
     assert sorted(r.path for r in changed.collect()) == ["b", "c"]
-    x = review(files([("p", "a.py", "eval(x)"), ("q", "b.py", "x = 1")]))
+    x = Review(files([("p", "a.py", "eval(x)"), ("q", "b.py", "x = 1")]))
     assert {r.project: r.gate for r in followup.release_gate(x.totals, x.findings).collect()} == {"p": "blocked", "q": "passed"}
 
 
