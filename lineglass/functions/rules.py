@@ -99,35 +99,40 @@ SECRET_SUGGESTION = "Move to environment variables or secrets manager"
 # per line and shared by all rules that need them.
 NEEDS = {
     "python": {
-        "S001": ("(", "eval"), "S002": ("(", "exec"), "S003": ("(", "__import__"),
-        "S004": ("(", "=", "subprocess.call"), "S005": ("(", "os.system"), "S006": ("(", "pickle.load"),
-        "S007a": ("(", "=", "yaml.load"), "S007b": ("(", "yaml.load"), "S009": ("#", "assert"),
-        "S010": ("(", "hashlib.md5"), "S011": ("(", "hashlib.sha1"), "S012": ("(", "random."),
+        "S001": ("(", "val"), "S002": ("(", "xec"), "S003": ("(", "__import__"),
+        "S004": ("(", "=", ".call"), "S005": ("(", ".system"), "S006": ("(", ".load"),
+        "S007a": ("(", "=", ".load"), "S007b": ("(", ".load"), "S009": ("#", "assert"),
+        "S010": ("(", ".md5"), "S011": ("(", ".sha1"), "S012": ("(", "random."),
         "SEC001": ("=", "password|passwd|pwd"), "SEC002": ("=", "api_key|apikey|api-key"),
         "SEC003": ("=", "secret|token"), "SEC004": ("=", "aws_access_key_id"),
         "SEC005": ("-", "-----BEGIN"), "SEC006": ("ghp_",), "SEC007": ("-", "sk-"), "SEC008": ("-", "xox"),
         "W001": ("(", "print"), "W002": ("#", "TODO"), "W003": ("#", "FIXME"), "W004": ("#", "HACK"),
-        "W005": ("#", "XXX"), "W006": (":", "except"), "W007": ("*", "import"), "W008": (),
-        "B001": ("=", "if"), "B002": (",", "except"), "B003": ("=", "None"), "B004": ("=", "None"),
+        "W005": ("#", "XXX"), "W006": (":", "xcept"), "W007": ("*", "import"), "W008": (),
+        "B001": ("=", "if"), "B002": (",", "xcept"), "B003": ("=", "None"), "B004": ("=", "None"),
         "B005": ("=", "True"), "B006": ("=", "False"), "B007": ("(", "=", "type"), "B008": ("(", "=", "len"),
         "B009": ("BaseException",), "B010": ("(", ".append"), "B011": ("[", ".append"),
     },
     "javascript": {
         "S001": ("(", "eval"), "S002": ("=", "innerhtml"), "S003": ("(", "document.write"),
-        "S004": ("(", ".html"), "S005": ("dangerouslysetinnerhtml",), "S006": ("(", "function"),
+        "S004": ("(", ".html"), "S005": ("ysetinnerhtml",), "S006": ("(", "function"),
         "S007": ("(", "settimeout"), "S008": ("(", "setinterval"),
         "SEC001": ("=|:", "password|passwd|pwd"), "SEC002": ("=|:", "api"), "SEC003": ("=|:", "secret|token"),
-        "W001": ("(", "console.log"), "W002": ("debugger",), "W003": ("/", "TODO"), "W004": ("/", "FIXME"),
+        "W001": ("(", "console.log"), "W002": ("bugger",), "W003": ("/", "TODO"), "W004": ("/", "FIXME"),
         "W005": ("var",),
         "B001": ("(", "=", "if"), "B002": ("=", "null"), "B003": ("=", "null"), "B004": ("=", "typeof"),
     },
     "generic": {
         "SEC001": ("=|:", "password|passwd|pwd"), "SEC002": ("=|:", "api"), "SEC003": ("=|:", "secret|token"),
-        "SEC004": ("-", "-----begin"), "W001": ("todo",), "W002": ("fixme",), "W003": ("hack",),
+        "SEC004": ("-", "-----begin"), "W001": ("todo",), "W002": ("xme",), "W003": ("hack",),
     },
 }
 
 
+# Cheap necessary conditions that are not literals: a line that starts with a blank
+# starts below "!" or outside ASCII.
+PRECHECKS = {"python": {"W008": "(line < '!' OR line >= '\\u0080')"}}
+
+
 @dataclass(frozen=True)
 class Rule:
     """One line rule.  ``number`` is its place in the family's evaluation order."""
@@ -145,6 +150,7 @@ class Rule:
     snippet_len: int
     needs: tuple = ()
     number: int = 0
+    precheck: str = ""
 
 
 def _family(name, security, secret, style, bug, *, secret_hint, secret_ic, style_ic, cuts):
@@ -159,7 +165,7 @@ def _family(name, security, secret, style, bug, *, secret_hint, secret_ic, style
         rows.append(Rule(name, "style", key, key, pattern, style_ic, "info", "style", message, "", cuts[1]))
     for key, pattern, message in bug:
         rows.append(Rule(name, "bug", key, key, pattern, False, "warning", "bug", message, "", cuts[1]))
-    return [replace(r, needs=NEEDS[name][r.key], number=i) for i, r in enumerate(rows, 1)]
+    return [replace(r, needs=NEEDS[name][r.key], number=i, precheck=PRECHECKS.get(name, {}).get(r.key, "")) for i, r in enumerate(rows, 1)]
 
 
 PYTHON_RULES = _family(

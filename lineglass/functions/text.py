@@ -45,12 +45,13 @@ def strip(col: Column) -> Column:
 def fold_case(col: Column) -> Column:
     """Lower-case text so that any case-insensitive ASCII match survives a ``contains``.
 
-    Four letters outside ASCII match an ASCII letter case-insensitively; they are
-    mapped first.  Pure ASCII text skips that step.
+    Four letters outside ASCII match an ASCII letter case-insensitively.  The rare
+    text that has one of them gets them replaced.
     """
-    return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(
-        F.lower(F.translate(col, "\u017f\u212a\u0131\u0130", "skii"))
-    )
+    odd = "\u017f\u212a\u0131\u0130"
+    has_odd = reduce(lambda a, b: a | b, [F.contains(col, F.lit(c)) for c in odd])
+    ascii_only = F.octet_length(col) == F.length(col)
+    return F.when(~ascii_only & has_odd, F.lower(F.translate(col, odd, "skii"))).otherwise(F.lower(col))
 
 
 def count_substring(col: Column, needle: str) -> Column:

@@ -58,18 +58,18 @@ def rule_condition(rule: Rule, gates: dict[str, str]) -> str:
 
     needed = ["(" + " OR ".join(has(x) for x in need.split("|")) + ")" for need in rule.needs]
     pattern = sql_text(java_regex(rule.pattern, rule.ignore_case))
-    return " AND ".join([*needed, f"line RLIKE {pattern}"])
+    return " AND ".join([*filter(None, [rule.precheck]), *needed, f"line RLIKE {pattern}"])
 
 
-def _rule_hits(rules: list[Rule], gates: dict[str, str]) -> str:
-    """The slots (places in ``rules``) of the rules that hold on a line of their family."""
-    families = []
+def _rule_hits(rules: list[Rule], gates: dict[str, str]) -> dict[str, str]:
+    """Per family the slots (places in ``rules``) of the rules that hold on a line."""
+    hits = {}
     for family in dict.fromkeys(r.family for r in rules):
         slots = [
             f"IF({rule_condition(r, gates)}, {slot}, 0)" for slot, r in enumerate(rules, 1) if r.family == family
         ]
-        families.append(f"WHEN {sql_text(family)} THEN array_remove(array({', '.join(slots)}), 0)")
-    return f"CASE family {' '.join(families)} END"
+        hits[family] = f"array_remove(array({', '.join(slots)}), 0)"
+    return hits
 
 
 def _rule_rows(rules: list[Rule]) -> str:
@@ -118,8 +118,16 @@ def scan_rules(lines: DataFrame, rules: list[Rule] = ALL_RULES, keep: tuple = ()
         fold_case(F.col("line")).alias("_folded"),
         *[F.contains(F.col("line"), F.lit(c)).alias(name) for c, name in gates.items()],
     )
-    hits = F.expr(_rule_hits(rules, gates))
-    matched = prepared.select("project", "path", "line_no", "line", *keep, F.explode(hits).alias("slot"))
+    hits = _rule_hits(rules, gates)
+    # The largest family is evaluated one operator earlier than the others: together
+    # they would make a method too large for the JVM to compile.
+    largest = max(hits, key=lambda x: len(hits[x]))
+    tried = prepared.select(
+        "*", F.expr(f"IF(family = {sql_text(largest)}, {hits[largest]}, NULL)").alias("_first_hits")
+    )
+    others = "".join(f" WHEN {sql_text(f)} THEN {h}" for f, h in hits.items() if f != largest)
+    slots = F.expr(f"CASE family WHEN {sql_text(largest)} THEN _first_hits{others} END")
+    matched = tried.select("project", "path", "line_no", "line", *keep, F.explode(slots).alias("slot"))
     return _rendered(matched.withColumn("r", F.expr(f"element_at({_rule_rows(rules)}, slot)")), keep)
 
 
