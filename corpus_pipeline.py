@@ -8,21 +8,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineglass.llm import packing, simhash_links
+from lineglass.llm import decontamination, packing, simhash_links, toxicity
 from lineglass.llm.common import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash_links.one_of_each(docs)
 
 
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("near_duplicates", near_duplicates), ("packing", packed)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxic),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", leaks),
+    ("packing", packed),
+]
 
 # Fingerprints, tokenizers and learned weights have no SQL form; the tests use brute force.
 ORACLE_SQL = None

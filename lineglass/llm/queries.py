@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineglass.llm import packing, simhash_links
+from lineglass.llm import decontamination, packing, simhash_links, toxicity
 from lineglass.llm.common import table
 
 
@@ -11,10 +11,24 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, and the places that its clauses matched."""
+    scored = toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", toxicity.spans("found").alias("spans"))
+
+
 def op7_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash_links.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op7_simhash_pigeonring)}
+def op9_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with score and overlaps."""
+    return decontamination.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_best_fit_packing, op6_toxicity_grammar, op7_simhash_pigeonring, op9_bm25_decontamination)
+}
 ORACLES: dict[str, str] = {}
