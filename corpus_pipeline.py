@@ -7,8 +7,9 @@ benchmark leaks go, and what is left is packed into training sequences.
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lineglass.llm import decontamination, packing, simhash_links, toxicity
+from lineglass.llm import decontamination, lines, packing, simhash_links, toxicity
 from lineglass.llm.common import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -18,6 +19,11 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
 
 
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = lines.without_repeats(docs).drop("removed_lines")
+    return kept.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash_links.one_of_each(docs)
 
@@ -32,6 +38,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", toxic),
+    ("line_dedup", repeated_lines),
     ("near_duplicates", near_duplicates),
     ("decontamination", leaks),
     ("packing", packed),

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineglass.llm import decontamination, packing, simhash_links, toxicity
+from lineglass.llm import decontamination, lines, packing, simhash_links, toxicity
 from lineglass.llm.common import table
 
 
@@ -11,6 +11,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the runs of lines that an earlier one has."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.without_repeats(docs)
+
+
 def op6_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, and the places that its clauses matched."""
     scored = toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -29,6 +35,12 @@ def op9_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op6_toxicity_grammar, op7_simhash_pigeonring, op9_bm25_decontamination)
+    for f in (
+        op1_best_fit_packing,
+        op5_line_winnowing,
+        op6_toxicity_grammar,
+        op7_simhash_pigeonring,
+        op9_bm25_decontamination,
+    )
 }
 ORACLES: dict[str, str] = {}
