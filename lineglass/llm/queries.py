@@ -1,8 +1,9 @@
 """The registered queries of this subpackage, each over its whole table, and their SQL."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lineglass.llm import decontamination, lines, packing, simhash_links, toxicity
+from lineglass.llm import decontamination, lines, packing, secrets, sharding, simhash_links, toxicity
 from lineglass.llm.common import table
 
 
@@ -11,6 +12,25 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document; sizes are near equal, equal texts stay together."""
+    placed = sharding.sharded(table(spark, sf_dir, "documents"))
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret counts and span digests of every document."""
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the runs of lines that an earlier one has."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -37,6 +57,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op3_label_propagation_shards,
+        op4_secret_ownership,
         op5_line_winnowing,
         op6_toxicity_grammar,
         op7_simhash_pigeonring,
