@@ -1,8 +1,8 @@
 """Line dedup by winnowing over line hashes.
 
-A line ends at a line break or after a mark that ends a sentence or a clause; one without
-such marks for long is cut after common word ends, so that equal passages are cut alike
-wherever they stand. Grams of lines are hashed, window minima are the fingerprints, and
+A line ends at a line break or after a single mark that ends a sentence or a clause; one
+without such marks for long is cut after common word ends, so that equal passages are cut
+alike wherever they stand. Grams of lines are hashed, window minima are the fingerprints, and
 each is joined with the first place that has it. Matches on one diagonal, that is with the
 same first document and distance, are extended both ways line by line. What repeats for
 long enough is deleted; the first copy stays.
@@ -24,16 +24,16 @@ REACH = 8
 # most, where these are parts of longer lines.
 MIN_WORDS = 30
 
-ENDS = r"(?<=\n)|(?<=[.!?;:,|] )"
+ENDS = r"(?<=\n)|(?<=[^!?][.!?;:,] )"
 LONG = 200
-LONG_ENDS = "(?<=[aeiou][nrst] )"
+LONG_ENDS = r"(?<=(?i:[aeiou][nrst])[^\p{L}\s]{0,4} )"
 
 
 def lines_sql(text: str) -> str:
     """The lines of a text with all their characters: put together they are the text."""
     return (
         f"flatten(transform(split(coalesce({text}, ''), '{_quoted(ENDS)}', -1), u -> "
-        f"if(length(u) > {LONG}, split(u, '{_quoted(LONG_ENDS)}', -1), array(u))))"
+        f"if(octet_length(u) > {LONG}, split(u, '{_quoted(LONG_ENDS)}', -1), array(u))))"
     )
 
 
