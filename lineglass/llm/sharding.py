@@ -3,8 +3,8 @@
 Rows with the same link value hang on one hub and are dealt into at most 64 cells of it; a
 cell, a single row mostly, is what moves. In each round every hub counts its cells' rows by
 shard, and cells want to where most of their hub is. Wishes are granted best gain first,
-and only as far as the shards' capacities allow. Last, shards above their share give away
-cells, unlinked ones first, until sizes are near equal.
+as far as the linked rows of a shard stay within its share. After each round shards above
+their share give away unlinked cells and whole small hubs until sizes are near equal.
 
 The driver sees sums by shard and bucket, a fixed number of rows whatever the corpus.
 """
@@ -16,13 +16,17 @@ from lineglass.llm.common import numbered, stored
 
 SHARDS = 8
 CELLS = 64
-ROUNDS = 4
-# How far a shard may exceed its even share while labels spread.
-SPARE = 0.05
+ROUNDS = 6
+# Flows may miss a limit by this share of it.
+NEAR = 1e-4
+# How far linked rows may exceed a shard's share while labels spread, and the share of it
+# from which large hubs look for another shard.
+SPARE, FULL = 0.05, 0.85
 BUCKETS = 1024
 BALANCING = 6
-# Sizes within this share of each other are even; linked cells only move for more than COARSE.
-EVEN, COARSE = 0.0005, 0.005
+# Sizes within this share of each other are even; a hub above SMALL of a share moves by
+# cells, and only for more than COARSE.
+EVEN, SMALL, COARSE = 0.0005, 0.002, 0.005
 SLICES = 1024
 
 HUB = ["hub", "hub_check"]
@@ -32,11 +36,17 @@ def _pick(numbers: list, index: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, numbers)), (index + 1).cast("int"))
 
 
-def _loads(cells: DataFrame, shards: int) -> list[int]:
-    found = {r["shard"]: r["b"] for r in cells.groupBy("shard").agg(F.sum("bytes").alias("b")).collect()}
+def _loads(cells: DataFrame, shards: int, counted: Column | bool = True) -> list[int]:
+    sums = cells.where(F.lit(True) if counted is True else counted).groupBy("shard").agg(F.sum("bytes").alias("b"))
+    found = {r["shard"]: r["b"] for r in sums.collect()}
     return [int(found.get(s, 0)) for s in range(shards)]
 
 
+def _large(share: float) -> Column:
+    """Cells of a hub that may be more than a shard should take at once."""
+    return F.col("linked") & (F.col("hub_rows") > CELLS) & (F.col("hub_bytes") > SMALL * share)
+
+
 def granted(wishes: list[list[int]], loads: list[int], limit: float) -> list[list[float]]:
     """How much of the wishes from shard to shard keeps every shard within its limit.
 
@@ -45,12 +55,12 @@ def granted(wishes: list[list[int]], loads: list[int], limit: float) -> list[lis
     """
     n = len(loads)
     flow = [[float(x) for x in row] for row in wishes]
-    for _ in range(100):
+    for _ in range(2000):
         over = False
         for j in range(n):
             arriving = sum(flow[i][j] for i in range(n))
             after = loads[j] + arriving - sum(flow[j])
-            if arriving and after > limit * (1 + 1e-9):
+            if arriving and after > limit * (1 + NEAR):
                 keep = max(0.0, arriving - (after - limit)) / arriving
                 for i in range(n):
                     flow[i][j] *= keep
@@ -62,13 +72,16 @@ def granted(wishes: list[list[int]], loads: list[int], limit: float) -> list[lis
     return flow
 
 
-def _propagate(cells: DataFrame, shards: int, limit: float, turn: int) -> DataFrame | None:
+def _propagate(cells: DataFrame, shards: int, share: float, turn: int) -> DataFrame | None:
     """One round: cells move to the shard of most of their hub's rows, as far as there is room.
 
     None when no cell wants to move or none may.
     """
-    loads = _loads(cells, shards)
-    open_to = [load < limit for load in loads]
+    large = _large(share)
+    loads, heavy = _loads(cells, shards, F.col("linked")), _loads(cells, shards, F.col("linked") & large)
+    limit = share * (1 + SPARE)
+    small_open = [load < share * (1 + SPARE / 2) for load in loads]
+    large_open = [load < share * FULL for load in heavy]
     sums = [F.sum(F.when(F.col("shard") == s, F.col("rows")).otherwise(0)) for s in range(shards)]
     hubs = cells.where("linked").groupBy(*HUB).agg(F.array(*sums).alias("here"))
     joined = cells.join(hubs, HUB, "left")
@@ -78,7 +91,9 @@ def _propagate(cells: DataFrame, shards: int, limit: float, turn: int) -> DataFr
     drawn = F.array(
         *[
             F.struct(
-                F.when(F.lit(open_to[s]) | (F.col("shard") == s), F.col("here")[s]).otherwise(F.lit(-1)).alias("rows"),
+                F.when(
+                    F.when(large, F.lit(large_open[s])).otherwise(F.lit(small_open[s])) | (F.col("shard") == s), F.col("here")[s]
+                ).otherwise(F.lit(-1)).alias("rows"),
                 F.xxhash64(*HUB, F.lit(s)).alias("tie"),
                 F.lit(s).alias("shard"),
             )
@@ -90,7 +105,7 @@ def _propagate(cells: DataFrame, shards: int, limit: float, turn: int) -> DataFr
     gain = best["rows"] - mine
     better = F.col("linked") & (wish != F.col("shard"))
     level = F.lit(15) - F.least(F.lit(15), F.floor(F.log2(gain + 1)))
-    bucket = level * (BUCKETS // 16) + F.pmod(F.xxhash64(*HUB, F.lit(turn)), F.lit(BUCKETS // 16))
+    bucket = level * (BUCKETS // 16) + F.pmod(F.xxhash64(*HUB, "cell", F.lit(turn)), F.lit(BUCKETS // 16))
     wishes = joined.withColumns({"wish": F.when(better, wish), "bucket": F.when(better, bucket.cast("int"))})
     sums = (
         wishes.where("wish IS NOT NULL").groupBy("shard", "wish", "bucket").agg(F.sum("bytes").alias("b")).collect()
@@ -123,8 +138,10 @@ def _even(cells: DataFrame, shards: int, loads: list[int], turn: int) -> DataFra
         return None
     # So many of a shard's cells are looked at that its buckets are small against its excess.
     looked = [min(1.0, 4 * max(e, 0) / load) if load else 0.0 for e, load in zip(excess, loads)]
-    chance = F.pmod(F.xxhash64(*HUB, "cell", F.lit(turn)), F.lit(1 << 40)) / float(1 << 40)
-    bucket = F.col("linked").cast("int") * BUCKETS + F.pmod(F.xxhash64(*HUB, "cell", F.lit(-1 - turn)), F.lit(BUCKETS)).cast("int")
+    large = _large(share)
+    together = F.when(F.col("linked") & ~large, F.lit(-1)).otherwise(F.col("cell"))
+    chance = F.pmod(F.xxhash64(*HUB, together, F.lit(turn)), F.lit(1 << 40)) / float(1 << 40)
+    bucket = large.cast("int") * BUCKETS + F.pmod(F.xxhash64(*HUB, together, F.lit(-1 - turn)), F.lit(BUCKETS)).cast("int")
     looked_at = chance < _pick(looked, F.col("shard"))
     marked = cells.withColumn("bucket", F.when(looked_at, bucket))
     sums = marked.where("bucket IS NOT NULL").groupBy("shard", "bucket").agg(F.sum("bytes").alias("b")).collect()
@@ -174,13 +191,13 @@ def sharded(
         "rows",
     )
     cells = rows.groupBy(*HUB, "cell").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"))
-    linked = cells.groupBy(*HUB).agg((F.sum("rows") > 1).alias("linked"))
-    cells = cells.join(linked, HUB).withColumn("shard", F.pmod(F.xxhash64(*HUB, "cell"), F.lit(shards)).cast("int"))
+    hubs = cells.groupBy(*HUB).agg(F.sum("rows").alias("hub_rows"), F.sum("bytes").alias("hub_bytes"))
+    cells = cells.join(hubs, HUB).withColumn("linked", F.col("hub_rows") > 1).withColumn("shard", F.pmod(F.xxhash64(*HUB, "cell"), F.lit(shards)).cast("int"))
     cells = stored(cells, "cells")
-    limit = sum(_loads(cells, shards)) / shards * (1 + SPARE)
+    share = sum(_loads(cells, shards)) / shards
     # Evening out between the rounds gives shards room again that long texts have filled.
     for turn in range(rounds + BALANCING):
-        spread = _propagate(cells, shards, limit, turn) if turn < rounds else None
+        spread = _propagate(cells, shards, share, turn) if turn < rounds else None
         if spread is not None:
             cells = stored(spread, "cells")
         evened = _even(cells, shards, _loads(cells, shards), turn)
