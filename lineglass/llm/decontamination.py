@@ -154,11 +154,14 @@ class Index:
                 passages[item].add(window)
         rows = []
         for item, x in best.items():
-            there = set()
-            for window in passages[item]:
-                a = window * STRIDE
-                there.update(shingles(w[max(0, a - SHINGLE) : a + WINDOW + SHINGLE]))
-            every, question, answer = (len(s & there) / len(s) if s else 0.0 for s in self.checks[item])
+            near = [w[max(0, k * STRIDE - SHINGLE) : k * STRIDE + WINDOW + SHINGLE] for k in passages[item]]
+            there = {s for own in near for s in shingles(own)}
+            # What has less than five words is looked for as a whole.
+            short = [f" {' '.join(own)} " for own in near]
+            every, question, answer = (
+                sum(g in there or g.count(" ") < SHINGLE - 1 and any(f" {g} " in t for t in short) for g in s) / len(s) if s else 0.0
+                for s in self.checks[item]
+            )
             if every >= OVERLAP:
                 rows.append((self.items[item], x, every, question, answer))
         return rows
