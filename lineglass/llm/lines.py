@@ -105,9 +105,12 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     here = diagonals.join(lines.select("doc", "text_hash", "marks"), "doc").select(
         "doc", "text_hash", "source", "apart", "low", "high", F.expr("slice(marks, low + 1, high - low + 1)").alias("here")
     )
-    there = here.join(lines.select(F.col("doc").alias("source"), "marks"), "source").select(
-        "doc", "text_hash", "low", "here", F.expr("slice(marks, low - apart + 1, high - low + 1)").alias("there")
-    )
+    # The same columns as above, so that both joins read one shuffle of the lines.
+    sources = lines.select("doc", "text_hash", "marks").alias("s")
+    there = here.alias("h").join(sources, F.col("h.source") == F.col("s.doc")).select(
+        "h.doc", "h.text_hash", "h.low", "h.here",
+        F.expr("slice(s.marks, h.low - h.apart + 1, h.high - h.low + 1)").alias("there"),
+    )
     runs = there.withColumn(
         "same", F.expr("concat(zip_with(here, there, (x, y) -> if(x <=> y, x & 255, -1)), array(-1))")
     ).select(
