@@ -60,7 +60,8 @@ def _met(queries: DataFrame, index: DataFrame, words: list[str], radius: int) ->
     first = F.lit(True)
     for i, bits in enumerate(apart):
         first = first & ((F.col("seg") == i) | (bits > radius) | ((bits == radius) & (F.col("seg") < i)))
-    met = probes.join(index, (probes.key == index.at) & (total <= F.col("bound")) & first)
+    # Spark takes the probes to be as few as the queries; they must never be broadcast.
+    met = probes.join(index.hint("merge"), (probes.key == index.at) & (total <= F.col("bound")) & first)
     return met.select(*q_words, *words, total.alias("distance"))
 
 
