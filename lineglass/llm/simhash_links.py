@@ -112,7 +112,8 @@ def links(fps: DataFrame) -> DataFrame:
     a, b = keyed.alias("a"), keyed.alias("b")
     start = F.floor(F.shiftright(F.col("a.key"), 32) / len(CHOICES)).cast("int")
     near = _chain_holds(F.col("a.fp").bitwiseXOR(F.col("b.fp")), start)
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & near)
+    # Spark takes the keys to be as few as the fingerprints; they must never be broadcast.
+    met = a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & near)
     return met.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
 
 
