@@ -48,10 +48,10 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     ``prints`` the place and hash of each fingerprint. Rows without an id count as one
     document, as rows with one id do.
     """
-    bare = "btrim(u, ' \\n\\r\\t')"
+    bare = f"transform({lines_sql('text')}, u -> btrim(u, ' \\n\\r\\t'))"
     hashed = (
-        f"transform({lines_sql('text')}, u -> named_struct('h', xxhash64({bare}), 'n', "
-        f"if({bare} = '', 0, length({bare}) - length(replace({bare}, ' ', '')) + 1)))"
+        f"transform({bare}, t -> named_struct('h', xxhash64(t), 'n', "
+        "if(t = '', 0, octet_length(t) - octet_length(replace(t, ' ', '')) + 1)))"
     )
     gram = (
         f"case when l[i].n >= {GRAM_WORDS} then l[i].h "
@@ -113,7 +113,11 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
     runs = there.withColumn(
         "same", F.expr("concat(zip_with(here, there, (x, y) -> if(x <=> y, x & 255, -1)), array(-1))")
-    ).select(
+    ).where(
+        # Most diagonals are chance: few words agree. A sum tells so far sooner than runs do.
+        F.expr(f"aggregate(same, 0, (s, x) -> s + greatest(x, 0)) >= {min_words}")
+    )
+    runs = runs.select(
         "doc",
         "text_hash",
         F.explode(
@@ -126,7 +130,15 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             )
         ).alias("run"),
     )
-    return runs.groupBy("doc", "text_hash").agg(F.collect_set("run").alias("runs"))
+    own = runs.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set("run")).alias("runs"))
+    # Runs of several diagonals overlap; as one list they do not, and one step reads them.
+    merged = (
+        "aggregate(runs, cast(array() as array<struct<a:int,b:int>>), (m, r) -> case "
+        "when size(m) = 0 or r.a > element_at(m, -1).b + 1 then array_append(m, r) "
+        "when r.b <= element_at(m, -1).b then m "
+        "else array_append(slice(m, 1, size(m) - 1), named_struct('a', element_at(m, -1).a, 'b', r.b)) end)"
+    )
+    return own.select("doc", "text_hash", F.expr(merged).alias("runs"))
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -145,10 +157,18 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         }
     )
     met = keyed.join(runs.select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("runs").alias("_runs")), ["_doc", "_hash"], "left")
-    kept = f"filter({lines_sql('text')}, (u, i) -> not exists(_runs, r -> i between r.a and r.b))"
-    inside = f"filter({lines_sql('text')}, (u, i) -> exists(_runs, r -> i between r.a and r.b))"
+    # What is kept lies between the runs: from each one's end to the next one's start.
+    between = (
+        "transform(sequence(0, size(_runs)), k -> named_struct('from', if(k = 0, 0, get(_runs, k - 1).b + 1), "
+        "'to', if(k = size(_runs), 1000000000, get(_runs, k).a)))"
+    )
+    kept = (
+        f"aggregate(array({lines_sql('text')}), '', (s, l) -> concat(s, array_join(flatten("
+        f"transform({between}, g -> slice(l, g.from + 1, g.to - g.from))), '')))"
+    )
+    gone = "aggregate(_runs, 0, (s, r) -> s + r.b - r.a + 1)"
     columns = [
-        F.expr(f"if(_runs is null, text, array_join({kept}, ''))").alias("text") if c == "text" else F.col(f"`{c}`")
+        F.expr(f"if(_runs is null, text, {kept})").alias("text") if c == "text" else F.col(f"`{c}`")
         for c in docs.columns
     ]
-    return met.select(*columns, F.expr(f"if(_runs is null, 0, size({inside}))").alias("removed_lines"))
+    return met.select(*columns, F.expr(f"if(_runs is null, 0, {gone})").alias("removed_lines"))
