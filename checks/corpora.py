@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from checks.probes import snippets
 from lineglass.functions.vocabulary import LANGUAGES
-from lineglass.operators.scan import sql_text
+from lineglass.functions.text import sql_text
 from lineglass.session import spread
 
 # Extensions dealt out by document number: all supported ones, two in capitals.

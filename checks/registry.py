@@ -380,6 +380,20 @@ def scan_rule_table(spark, sf):
     return scan.scan_rule_table(lines.explode_lines(c.review_files(spark, sf)), rule_table(spark)).select(*FIELD_COLUMNS)
 
 
+COPIES = 31
+
+
+@query("scan_rule_table_large", s.with_(
+    f"SELECT rule, severity, category, count(*) * {COPIES} AS n FROM findings GROUP BY ALL",
+    files=s.review_files(), lines=s.lines(), findings=s.rule_findings(r.LINE_RULES)))
+def scan_rule_table_large(spark, sf):
+    """A table of over 2,000 rules, the catalogue many times over with numbers of its own each."""
+    copies = spark.range(COPIES).select((F.col("id") * 1000).cast("int").alias("_more"))
+    rules = rule_table(spark).join(F.broadcast(copies)).withColumn("number", F.col("number") + F.col("_more")).drop("_more")
+    found = scan.scan_rule_table(lines.explode_lines(c.review_files(spark, sf)), rules)
+    return found.groupBy("rule", "severity", "category").agg(F.count("*").alias("n"))
+
+
 @query("rule_severity", s.with_(
     "SELECT rule, severity, category, count(*) AS n FROM findings GROUP BY ALL",
     files=s.family_files("python"), lines=s.lines(), findings=s.rule_findings(r.PYTHON_RULES)))

@@ -173,7 +173,7 @@ def rule_findings(rules: list[r.Rule]) -> str:
         parts.append(
             f"""SELECT project, path AS file, CAST(line_no AS INTEGER) AS line, {120 if x.key == 'E501' else 0} AS "column",
       '{x.severity}' AS severity, '{x.category}' AS category, '{x.rule}' AS rule, {message} AS message,
-      {q(x.suggestion)} AS suggestion, {snippet} AS code_snippet, CAST(line_no AS BIGINT) * 1000 + {x.number} AS ord
+      {q(x.suggestion)} AS suggestion, {snippet} AS code_snippet, CAST(line_no AS BIGINT) * 1000000000 + {x.number} AS ord
       FROM lines WHERE family = '{x.family}' AND NOT skipped AND {matches(x)}"""
         )
     return "\nUNION ALL\n".join(parts)
@@ -209,7 +209,7 @@ def functions(files: str = "files") -> str:
 
 def tree_findings() -> str:
     head = "SELECT project, path AS file, CAST(line AS INTEGER) AS line, CAST(col AS INTEGER) AS \"column\""
-    order = f"CAST({10**15} AS BIGINT) + place * 1000"
+    order = "CAST(2000000000000000000 AS BIGINT) + place * 1000000000"
     last = f"length(content) - length(replace(content, {NL}, ''))"
     return f"""{head}, 'warning' AS severity, 'complexity' AS category, 'C001' AS rule,
         'Function "' || name || '" has high complexity (' || complexity || ')' AS message,
@@ -220,7 +220,7 @@ def tree_findings() -> str:
       UNION ALL {head}, 'error', 'bug', 'B012', 'Mutable default argument in function "' || name || '"',
         'Use None as default and initialize inside function', '', {order} + 3 FROM functions WHERE mutable_default
       UNION ALL SELECT project, path, CAST({last} AS INTEGER), 5, 'critical', 'syntax', 'E001', 'Syntax error: invalid syntax', '', '',
-        CAST({10**15} AS BIGINT) FROM files WHERE family = 'python' AND n % 17 = 0"""
+        CAST(2000000000000000000 AS BIGINT) FROM files WHERE family = 'python' AND n % 17 = 0"""
 
 
 def maintainability(code: str, cc: str) -> str:

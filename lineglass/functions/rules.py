@@ -2,6 +2,7 @@
 
 from dataclasses import dataclass, replace
 
+from lineglass.functions.text import java_regex, sql_text
 from lineglass.functions.vocabulary import REDACTED
 
 # Rule ids, patterns, severities and messages of each pack.
@@ -96,7 +97,8 @@ SECRET_SUGGESTION = "Move to environment variables or secrets manager"
 # Literals a line must contain for a pattern to match at all ('|' separates
 # alternatives, every entry of the tuple is needed).  They let the scan skip the
 # regular expression on nearly every line.  Single characters are tested once
-# per line and shared by all rules that need them.
+# per line and shared by all rules that need them.  Some literals are cut short
+# ("xec", "bugger"): the rest of the word adds little to the test.
 NEEDS = {
     "python": {
         "S001": ("(", "val"), "S002": ("(", "xec"), "S003": ("(", "__import__"),
@@ -128,6 +130,77 @@ NEEDS = {
 }
 
 
+# The line cut at its closing brackets, and the parts that one or two of them follow.
+_PARTS = "split(line, '[)]', -1)"
+_CLOSED, _CLOSED_TWICE = (f"slice({_PARTS}, 1, greatest(0, size({_PARTS}) - {n}))" for n in (1, 2))
+
+
+def _like(text: str, pattern: str, ignore_case: bool = True) -> str:
+    return f"{text} RLIKE {sql_text(java_regex(pattern, ignore_case))}"
+
+
+def _last(parts: str, test: str) -> str:
+    """The place of the last part that passes, or -1."""
+    return f"coalesce(array_max(transform({parts}, (part, n) -> if({test}, n, -1))), -1)"
+
+
+def _in_call(start: str, inside: str) -> str:
+    """``start``, then ``inside`` before the first closing bracket, in linear time.
+
+    As one pattern this tries every start against every end. Cut at the brackets, each
+    part is searched from its first start only, since what follows a later start also
+    follows the first.
+    """
+    first = f"regexp_instr(part, {sql_text(java_regex(start, True))})"
+    return f"exists({_PARTS}, part -> {first} > 0 AND {_like(f'substring(part, {first})', inside)})"
+
+
+IF_OPEN = r"if\s*\("
+
+
+def _assigning_call() -> str:
+    """A condition with a single equals sign; right before its bracket, only if another follows."""
+    first = f"regexp_instr(part, {sql_text(java_regex(IF_OPEN))})"
+    rest = f"substring(part, {first})"
+    within = f"exists({_CLOSED}, part -> {first} > 0 AND {_like(rest, '=[^=]', False)})"
+    return f"{within} OR exists({_CLOSED_TWICE}, part -> {first} > 0 AND endswith({rest}, '='))"
+
+
+def _closed_call_without(start: str, word: str) -> str:
+    """A closed call after whose bracket the word does not come; the last call decides."""
+    opened = _last(_CLOSED, _like("part", start))
+    return f"{opened} >= 0 AND {_last(_PARTS, _like('part', word))} <= {opened}"
+
+
+def _random_without_secrets() -> str:
+    """The same for calls whose name may hold closing brackets: cut at the opening ones."""
+    head = "left(line, length(line) - length(substring_index(line, ')', -1)))"
+    opening = f"split({head}, '[(]', -1)"
+    opened = _last(f"slice({opening}, 1, greatest(0, size({opening}) - 1))", _like("part", r"random\.[^(]"))
+    tail = f"array_join(slice(split(line, '[(]', -1), {opened} + 2, 1000000000), '(')"
+    return f"{opened} >= 0 AND NOT {_like(f'substring({tail}, locate({sql_text(chr(41))}, {tail}) + 1)', 'secrets')}"
+
+
+def _security_comment() -> str:
+    """An assertion, then a comment that names security, searched from the first of each."""
+    start = sql_text(java_regex(r"assert\s+\w", True))
+    rest = f"substring(line, regexp_instr(line, {start}) + length(regexp_substr(line, {start})))"
+    named = sql_text(java_regex("security", True))
+    return f"locate('#', {rest}) > 0 AND substring({rest}, locate('#', {rest}) + 1) RLIKE {named}"
+
+
+# Patterns that would take quadratic or cubic time on long lines, taken apart.
+TESTS = {
+    ("python", "S004"): _in_call(r"subprocess\.call\s*\(", r"shell\s*=\s*True"),
+    ("python", "S007a"): _in_call(r"yaml\.load\s*\(", r"Loader\s*=\s*None"),
+    ("python", "S007b"): _closed_call_without(r"yaml\.load\s*\(", "Loader"),
+    ("python", "S009"): _security_comment(),
+    ("python", "S012"): _random_without_secrets(),
+    ("javascript", "S004"): f"exists({_CLOSED}, part -> {_like('part', r'\.html\s*\([^)]')})",
+    ("javascript", "B001"): _assigning_call(),
+}
+
+
 # Cheap necessary conditions that are not literals: a line that starts with a blank
 # starts below "!" or outside ASCII.
 PRECHECKS = {"python": {"W008": "(line < '!' OR line >= '\\u0080')"}}
@@ -151,6 +224,10 @@ class Rule:
     needs: tuple = ()
     number: int = 0
     precheck: str = ""
+    # SQL on ``line`` in place of the pattern, with the same hits in linear time.
+    test: str = ""
+    # The pattern is in Java syntax and is not rewritten.
+    java: bool = False
 
 
 def _family(name, security, secret, style, bug, *, secret_hint, secret_ic, style_ic, cuts):
@@ -165,7 +242,7 @@ def _family(name, security, secret, style, bug, *, secret_hint, secret_ic, style
         rows.append(Rule(name, "style", key, key, pattern, style_ic, "info", "style", message, "", cuts[1]))
     for key, pattern, message in bug:
         rows.append(Rule(name, "bug", key, key, pattern, False, "warning", "bug", message, "", cuts[1]))
-    return [replace(r, needs=NEEDS[name][r.key], number=i, precheck=PRECHECKS.get(name, {}).get(r.key, "")) for i, r in enumerate(rows, 1)]
+    return [replace(r, needs=NEEDS[name][r.key], number=i, precheck=PRECHECKS.get(name, {}).get(r.key, ""), test=TESTS.get((name, r.key), "")) for i, r in enumerate(rows, 1)]
 
 
 PYTHON_RULES = _family(

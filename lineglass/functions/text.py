@@ -23,6 +23,11 @@ BLANK_CHARS = "".join(
 _WORD = r"\p{L}\p{N}_"
 
 
+def sql_text(value: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def java_regex(pattern: str, ignore_case: bool = False) -> str:
     """Rewrite a rule pattern so java.util.regex reads ``\\s \\S \\w \\b .`` as Python does.
 
@@ -31,8 +36,10 @@ def java_regex(pattern: str, ignore_case: bool = False) -> str:
     """
     out = pattern.replace(r":\s]", ":" + BLANKS + "]")
     out = out.replace(r"\s", f"[{BLANKS}]").replace(r"\S", f"[^{BLANKS}]")
+    # Next to a word character of the pattern one side of \b is settled.
     out = re.sub(r"\\b(?=\w)", lambda _: f"(?<![{_WORD}])", out)
-    out = out.replace(r"\b", f"(?![{_WORD}])")
+    out = re.sub(r"(?<!\\\w)(?<=\w)\\b", lambda _: f"(?![{_WORD}])", out)
+    out = out.replace(r"\b", f"(?:(?<![{_WORD}])(?=[{_WORD}])|(?<=[{_WORD}])(?![{_WORD}]))")
     out = out.replace(r"\w", f"[{_WORD}]")
     return ("(?diu)" if ignore_case else "(?d)") + out
 

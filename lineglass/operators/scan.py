@@ -6,16 +6,19 @@ collected in an array and exploded.  No join, no shuffle, and patterns compile
 once per task.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineglass.functions import vocabulary as v
 from lineglass.functions.rules import ALL_RULES, LONG_LINE, Rule
-from lineglass.functions.text import fold_case, java_regex, strip
+from lineglass.functions.text import fold_case, java_regex, sql_text, strip
 
 # Findings of one file are ordered by stage, then position, then rule.
-STAGE = 10**15
-SLOT = 1000
+# A rule's number and a line's have nine digits each at least.
+STAGE = 2 * 10**18
+SLOT = 10**9
 STAGES = {"lines": 0, "tree": 1, "flake8": 2, "bandit": 3}
 
 FINDING_COLUMNS = [
@@ -30,11 +33,6 @@ def finding_order(stage: str, position: Column, slot) -> Column:
     return F.lit(STAGES[stage] * STAGE) + position.cast("bigint") * SLOT + slot.cast("bigint")
 
 
-def sql_text(value: str) -> str:
-    """A Spark SQL string literal."""
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def _gates(rules: list[Rule]) -> dict[str, str]:
     """Single characters shared by many rules -> name of the column that holds the test."""
     singles = sorted({alt for r in rules for need in r.needs for alt in need.split("|") if len(alt) == 1})
@@ -57,8 +55,12 @@ def rule_condition(rule: Rule, gates: dict[str, str]) -> str:
         return f"contains({text}, {sql_text(needle)})"
 
     needed = ["(" + " OR ".join(has(x) for x in need.split("|")) + ")" for need in rule.needs]
-    pattern = sql_text(java_regex(rule.pattern, rule.ignore_case))
-    return " AND ".join([*filter(None, [rule.precheck]), *needed, f"line RLIKE {pattern}"])
+    if rule.java:
+        pattern = ("(?diu)" if rule.ignore_case else "(?d)") + rule.pattern
+    else:
+        pattern = java_regex(rule.pattern, rule.ignore_case)
+    test = f"({rule.test})" if rule.test else f"line RLIKE {sql_text(pattern)}"
+    return " AND ".join([*filter(None, [rule.precheck]), *needed, test])
 
 
 def _rule_hits(rules: list[Rule], gates: dict[str, str]) -> dict[str, str]:
@@ -131,35 +133,26 @@ def scan_rules(lines: DataFrame, rules: list[Rule] = ALL_RULES, keep: tuple = ()
     return _rendered(matched.withColumn("r", F.expr(f"element_at({_rule_rows(rules)}, slot)")), keep)
 
 
-# A rule table up to this many rows becomes literal predicates of the scan.
-LITERAL_RULE_LIMIT = 500
-RULE_SALTS = 64
+# Rules of a table that one pass over the lines tries.
+RULES_PER_PASS = 100
 
 
-def scan_rule_table(lines: DataFrame, rules: DataFrame, salts: int = RULE_SALTS) -> DataFrame:
+def scan_rule_table(lines: DataFrame, rules: DataFrame, per_pass: int = RULES_PER_PASS) -> DataFrame:
     """Findings for a rule table ``(family, number, rule, pattern, ignore_case, severity,
-    category, message, suggestion, snippet_len)``; patterns are in Java syntax.
+    category, message, suggestion, snippet_len)``.
 
-    A table of ordinary size is turned into literals.  A larger one is joined on
-    the family, with the few family keys salted so no task gets all the lines.
+    Patterns are in Java syntax and taken as they are. The table is configuration: its
+    rows become literal predicates, so many for each pass over the lines, and a pass has
+    no join and no shuffle. A table of any size is read alike. Rows without a family,
+    number or pattern are left out; an empty table gives no rows.
     """
-    head = rules.limit(LITERAL_RULE_LIMIT + 1).collect()
-    if len(head) <= LITERAL_RULE_LIMIT:
-        made = [
-            Rule(r.family, "custom", r.rule, r.rule, r.pattern, r.ignore_case, r.severity, r.category,
-                 r.message, r.suggestion, r.snippet_len, (), r.number)
-            for r in sorted(head, key=lambda r: (r.family, r.number))
-        ]
-        return scan_rules(lines, made)
-    flags = F.when(F.col("ignore_case"), "(?diu)").otherwise("(?d)")
-    copies = rules.withColumn("pattern", F.concat(flags, "pattern")).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    row = F.struct("number", "severity", "category", "rule", "message", "suggestion", "snippet_len").alias("r")
-    salted = lines.filter(~F.col("skipped")).withColumn(
-        "salt", F.pmod(F.xxhash64("path", "line_no"), F.lit(salts)).cast("int")
-    )
-    joined = salted.join(
-        copies.select("family", "salt", "pattern", row), ["family", "salt"]
-    ).filter(F.expr("line RLIKE pattern"))
-    return _rendered(joined)
+    rows = rules.where("family IS NOT NULL AND number IS NOT NULL AND pattern IS NOT NULL").collect()
+    made = [
+        Rule(r.family, "custom", r.rule or "", r.rule or "", r.pattern, bool(r.ignore_case), r.severity or "", r.category or "",
+             r.message or "", r.suggestion or "", r.snippet_len or 0, (), r.number, java=True)
+        for r in sorted(rows, key=lambda r: (r.family, r.number, r.rule or "", r.pattern))
+    ]
+    if not made:
+        return scan_rules(lines, [LONG_LINE]).where(F.lit(False))
+    passes = [scan_rules(lines, made[k : k + per_pass]) for k in range(0, len(made), per_pass)]
+    return reduce(DataFrame.unionByName, passes)

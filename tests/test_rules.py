@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from checks.probes import PROBES, expand, snippets
 from lineglass.functions import rules as r
@@ -85,18 +86,74 @@ def test_long_lines_count_code_points(spark, files):
     assert [(f.line, f.column, f.message) for f in found] == [(1, 120, "Line too long (121 > 120 characters)")]
 
 
-def test_a_large_rule_table_is_joined_and_gives_the_same(spark, files, monkeypatch):
-    rows = [(x.family, x.number, x.rule, java_regex(x.pattern).removeprefix("(?d)"), x.ignore_case, x.severity, x.category,
-             x.message, x.suggestion, x.snippet_len) for x in r.LINE_RULES]
-    table = spark.createDataFrame(rows, "family string, number int, rule string, pattern string, ignore_case boolean, "
-                                  "severity string, category string, message string, suggestion string, snippet_len int")
-    df = explode_lines(files([("p", f"a.{e}", "\n".join(snippets(f))) for f, e in EXTENSION.items()]))
-    literal = sorted(map(tuple, scan.scan_rule_table(df, table).collect()))
-    monkeypatch.setattr(scan, "LITERAL_RULE_LIMIT", 10)
-    joined = scan.scan_rule_table(df, table, salts=8)
-    assert sorted(map(tuple, joined.collect())) == literal
-    assert "NestedLoop" not in joined._jdf.queryExecution().executedPlan().toString()
-    assert sorted(map(tuple, scan.scan_rules(df, r.LINE_RULES).collect())) == literal
+RULES = ("family string, number int, rule string, pattern string, ignore_case boolean, "
+         "severity string, category string, message string, suggestion string, snippet_len int")
+
+
+def rule_rows(patterns, start=0):
+    return [("python", start + k, f"X{k}", p, False, "info", "style", "m", "", 0) for k, p in enumerate(patterns, 1)]
+
+
+@pytest.mark.parametrize("more", [0, 400, 600, 5000])
+def test_rule_tables_of_any_size_mean_the_same(spark, files, more):
+    patterns = [r"\b(?:eval|exec)\s*\(", r"na\sb", r"^\wx=1", r"\bend\b", "é", "="]
+    filler = [(f, n, "F", "never\u0001", False, "info", "style", "m", "", 0) for f, n in (("python", k) for k in range(more))]
+    table = spark.createDataFrame(rule_rows(patterns, 2000) + filler, RULES)
+    df = explode_lines(files([("p", "a.py", "eval (1)\nna\u00a0b\néx=1\nax=1\nthe end.\nna b")]))
+    found = scan.scan_rule_table(df, table)
+    if more == 600:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
+    got = [(f.line, f.rule) for f in found.orderBy("ord").collect()]
+    # Java's own reading: \\s and \\w are ASCII without a flag.
+    assert got == [(1, "X1"), (3, "X5"), (3, "X6"), (4, "X3"), (4, "X6"), (5, "X4"), (6, "X2")]
+
+
+def test_an_empty_rule_table_finds_nothing(spark, files):
+    df = explode_lines(files([("p", "a.py", "eval(1)")]))
+    assert scan.scan_rule_table(df, spark.createDataFrame([], RULES)).collect() == []
+
+
+def test_word_edges_are_read_as_python_reads_them(spark):
+    lines = ["a (b)", "x.y", "(end)", " é", "é(", "end", "_(", "", "  "]
+    for pattern in [r"\b\(", r"\(\b", r"\b\w+\b", r"x\b.", r"\s\b", r".\bend", r"\w\b\W"]:
+        got = spark.createDataFrame([(x,) for x in lines], "line string").select(
+            F.col("line").rlike(java_regex(pattern)).alias("hit")
+        )
+        assert [r.hit for r in got.collect()] == [bool(re.search(pattern, x)) for x in lines], pattern
+
+
+PROVOKING = {
+    "python": ["assert x # ", "subprocess.call(", "yaml.load( Loader ", "if x = ", "random.x(", "print (", "password = '", "type ( x ",
+               "yaml.load(a) ", "random.x(a) ", "random.x secrets "],
+    "javascript": ["if (a = b ", "if (a ", ".html (a ", "if ( =", "new Function ", "api_key = '", "if (a) ", "a.html(b) "],
+}
+
+
+@pytest.mark.parametrize("family", PROVOKING)
+def test_long_lines_do_not_hold_up_a_task(spark, files, family):
+    import time
+
+    # Every line is tried by all rules of its family; the provoked one may not take long.
+    for text in PROVOKING[family]:
+        df = explode_lines(files([("p", f"a.{EXTENSION[family]}", text * (200_000 // len(text)))]))
+        start = time.monotonic()
+        scan.scan_rules(df).collect()
+        assert time.monotonic() - start < 20, text
+
+
+def test_taken_apart_patterns_hit_what_python_hits(spark, files):
+    rng = random.Random(11)
+    parts = {
+        "javascript": ["if", " ", "(", ")", "=", "==", "a", "if (", ") ", ".html("],
+        "python": ["assert ", "x", "#", "security", " ", "subprocess.call", "(", ")", "shell", "=", "True", "yaml.load", "Loader", "None", "random.", "secrets"],
+    }
+    for family, words in parts.items():
+        lines = ["".join(rng.choice(words) for _ in range(rng.randrange(1, 16))) for _ in range(3000)]
+        lines = [x for x in lines if x.strip() and "//" not in x]
+        got = spark_hits(spark, files, family, lines)
+        for i, line in enumerate(lines):
+            assert got[i] == python_hits(family, line), repr(line)
 
 
 def test_scan_has_no_shuffle(spark, files):
