@@ -16,7 +16,7 @@ from lineglass.llm.common import stored
 # A gram is one, two or three lines, the first that has so many words.
 GRAM_WORDS = 8
 # Every run of grams as long as this has a fingerprint.
-WINDOW = 3
+WINDOW = 4
 # Lines that a match is extended by beyond its outermost fingerprints: more than a window
 # and a gram, after which a longer run would have had another fingerprint.
 REACH = 8
