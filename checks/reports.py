@@ -78,7 +78,10 @@ PARTS = {
 for _name, _section in PARTS.items():
     def _part(spark, sf, section=_section):
         x = with_answers(reviewed(spark, sf))
-        parts = report.overview_sections(report.project_summary(x.totals, x.findings, x.answers), STAMP)
+        about_findings = section in (report.SEVERITIES, report.CATEGORIES, report.CRITICAL, report.WARNINGS)
+        answers = x.answers if section == report.ANSWER else None
+        summary = report.project_summary(x.totals, x.findings if about_findings else None, answers)
+        parts = report.overview_sections(summary, STAMP, section)
         if section in (report.CRITICAL, report.WARNINGS):
             parts = parts.unionByName(report.finding_lists(x.findings))
         if section == report.METRICS:
@@ -116,9 +119,10 @@ def report_html(spark, sf):
 def report_json(spark, sf):
     """The JSON fragments, parsed again: one row per finding and per file."""
     rows = stored(spark, sf).json(STAMP).filter(F.col("section").isin(2, 4))
-    schema = ("file string, filepath string, line int, `column` int, severity string, category string, rule string, message string, "
-              "suggestion string, code_snippet string, lines_code int, complexity double")
-    x = rows.select("project", F.from_json(F.regexp_replace("text", "^,", ""), schema).alias("x")).select("project", "x.*")
+    schema = ("file:string,filepath:string,line:int,`column`:int,severity:string,category:string,rule:string,message:string,"
+              "suggestion:string,code_snippet:string,lines_code:int,complexity:double")
+    x = rows.select("project", F.from_json(F.concat(F.lit("["), F.regexp_replace("text", "^,", ""), F.lit("]")), f"array<struct<{schema}>>").alias("x"))
+    x = x.select("project", F.inline("x"))
     text = [F.coalesce(k, F.lit("")).alias(k) for k in ("severity", "category", "rule", "message", "suggestion", "code_snippet")]
     number = [F.coalesce(k, F.lit(-1)).alias(k) for k in ("line", "column", "lines_code")]
     return x.select("project", F.coalesce("file", "filepath").alias("file"), *text, *number,

@@ -12,18 +12,21 @@ from pyspark.sql import functions as F
 from lineglass.functions import vocabulary as v
 from lineglass.functions.text import base_name, fixed_decimals, thousands
 from lineglass.operators import rollups
-from lineglass.session import broadcast_if_small
 
 HEADER, SEVERITIES, CATEGORIES, ANSWER, CRITICAL, WARNINGS, METRICS, FOOTER = range(1, 9)
 LAST = 1000
 
 
-def project_summary(totals: DataFrame, findings: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+def project_summary(totals: DataFrame, findings: DataFrame | None, answers: DataFrame | None = None) -> DataFrame:
     """One row per project with everything a report says outside its lists.
 
     Findings are read once: counted per category first, then folded per project,
-    so the second step only sees a handful of rows for each.
+    so the second step only sees a handful of rows for each.  Without findings their
+    counts are zero: enough for the sections that do not speak of them.
     """
+    if findings is None:
+        joined = totals.selectExpr("*", *[f"0L AS {s}" for s in v.SEVERITIES], "array() AS categories")
+        return _with_answers(joined, answers)
     by_category = findings.groupBy("project", "category").agg(
         F.count("*").alias("n"),
         F.min(F.struct("file", "ord")).alias("first"),
@@ -33,12 +36,13 @@ def project_summary(totals: DataFrame, findings: DataFrame, answers: DataFrame |
     counts = by_category.groupBy("project").agg(
         *[F.sum(s).alias(s) for s in v.SEVERITIES], ranked.alias("categories")
     )
-    joined = totals.join(counts, "project", "left")
+    return _with_answers(totals.join(counts, "project", "left"), answers).fillna(0, v.SEVERITIES)
+
+
+def _with_answers(summary: DataFrame, answers: DataFrame | None) -> DataFrame:
     if answers is not None:
-        joined = joined.join(answers.select("project", "ai_summary", "ai_suggestions"), "project", "left")
-    else:
-        joined = joined.selectExpr("*", "'' AS ai_summary", "cast(array() AS array<string>) AS ai_suggestions")
-    return joined.fillna(0, v.SEVERITIES)
+        return summary.join(answers.select("project", "ai_summary", "ai_suggestions"), "project", "left")
+    return summary.selectExpr("*", "'' AS ai_summary", "cast(array() AS array<string>) AS ai_suggestions")
 
 
 def _text(*lines) -> Column:
@@ -88,8 +92,8 @@ def warning_tail() -> Column:
     return F.when(F.col("warning") > 0, _text(F.when(F.col("warning") > v.TOP_WARNINGS, more), ""))
 
 
-def overview_sections(summary: DataFrame, timestamp: str) -> DataFrame:
-    """Everything but the lists, from one pass over the project rows."""
+def overview_sections(summary: DataFrame, timestamp: str, only: int | None = None) -> DataFrame:
+    """Everything but the lists, from one pass over the project rows; ``only`` asks for one section."""
     pieces = [
         (HEADER, 0, header_text(timestamp)),
         (SEVERITIES, 0, severity_text()),
@@ -105,7 +109,7 @@ def overview_sections(summary: DataFrame, timestamp: str) -> DataFrame:
         (FOOTER, 0, _text("---", "*Generated by lineglass*")),
     ]
     rows = F.array(
-        *[F.struct(F.lit(n).alias("section"), F.lit(at).alias("position"), t.alias("text")) for n, at, t in pieces]
+        *[F.struct(F.lit(n).alias("section"), F.lit(at).alias("position"), t.alias("text")) for n, at, t in pieces if only in (None, n)]
     )
     return summary.select("project", F.inline(rows)).filter(F.col("text").isNotNull())
 
@@ -217,13 +221,20 @@ def _json(*columns) -> Column:
 
 
 def _elements(rows: DataFrame, section: int, key: list[str], fields: list[str]) -> DataFrame:
-    """Array elements of one project; every one but the first starts with a comma."""
-    first = broadcast_if_small(rows.groupBy("project").agg(F.min(F.struct(*key)).alias("_first")))
-    comma = F.when(F.struct(*key) == F.col("_first"), "").otherwise(",")
-    order = key[1] if len(key) > 1 else F.lit(0).cast("bigint").alias("ord")
-    return rows.join(first, "project").select(
-        "project", F.lit(section).alias("section"), F.col(key[0]).alias("file"), order,
-        F.concat(comma, _json(*fields)).alias("text"),
+    """Array elements of one project; every one but the first starts with a comma.
+
+    Elements that are equal in all their text are one row that repeats them, so that only
+    one element of a project can be the first.
+    """
+    order = F.col(key[1]) if len(key) > 1 else F.lit(0)
+    place = ["project", "file", "ord", "text"]
+    same = rows.select("project", F.col(key[0]).alias("file"), order.cast("bigint").alias("ord"), _json(*fields).alias("text"))
+    once = same.groupBy(*place).agg(F.count("*").cast("int").alias("n"))
+    first = once.groupBy("project").agg(F.min(F.struct("file", "ord", "text")).alias("first"))
+    text = F.array_join(F.array_repeat("text", F.col("n")), ",")
+    comma = F.when(F.struct("file", "ord", "text") == F.col("first"), "").otherwise(",")
+    return once.join(first, "project").select(
+        "project", F.lit(section).alias("section"), "file", "ord", F.concat(comma, text).alias("text")
     )
 
 

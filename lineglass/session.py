@@ -4,7 +4,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Settings a cluster deployment should carry; sizes are left to the cluster.
 RECOMMENDED = {
@@ -64,17 +63,3 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     splits = df.rdd.getNumPartitions()
     return df.repartition(cores) if splits < min(cores, SPREAD_MAX_SPLITS) else df
-
-
-# Rows of a few short columns; up to this many, a table is tens of megabytes.
-BROADCAST_ROWS = 200_000
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a narrow table for broadcasting once it has been counted.
-
-    A larger one is returned unmarked and joined by shuffling.  For tables that are
-    cheap to compute: counting runs them.
-    """
-    kept = df.persist()
-    return F.broadcast(kept) if kept.count() <= rows else kept

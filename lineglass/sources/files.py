@@ -19,6 +19,8 @@ from lineglass.session import shared_dir
 
 READ_BYTES_PER_TASK = 128 * 1024 * 1024
 READ_BYTES_PER_BATCH = 32 * 1024 * 1024
+# Entries of a listing handed on at once.
+LISTED_PER_BATCH = 10_000
 
 
 def _address(path: str) -> str:
@@ -29,7 +31,10 @@ def _address(path: str) -> str:
 
 
 def _lister(root: str):
-    """List the directories of a batch, one level deep; self-contained for the executors."""
+    """List the directories of a batch, one level deep; self-contained for the executors.
+
+    A directory below the root that cannot be listed is passed over, as a walk would.
+    """
 
     def entries(batches):
         import os
@@ -39,15 +44,25 @@ def _lister(root: str):
 
         system, base = fs.FileSystem.from_uri(root)
         local = isinstance(system, fs.LocalFileSystem)
+        def listing(directory):
+            try:
+                return system.get_file_info(fs.FileSelector(f"{base}/{directory}" if directory else base))
+            except OSError:
+                if not directory:
+                    raise
+                return []
+
         for batch in batches:
             rows = []
             for directory in batch["path"]:
-                where = f"{base}/{directory}" if directory else base
-                for e in system.get_file_info(fs.FileSelector(where)):
+                for e in listing(directory):
                     is_dir = e.type == fs.FileType.Directory
                     if is_dir and local and os.path.islink(e.path):
                         continue
                     rows.append((f"{directory}/{e.base_name}" if directory else e.base_name, is_dir, e.size or 0))
+                    if len(rows) >= LISTED_PER_BATCH:
+                        yield pd.DataFrame(rows, columns=["path", "is_dir", "size"])
+                        rows = []
             yield pd.DataFrame(rows, columns=["path", "is_dir", "size"])
 
     return entries
@@ -126,6 +141,7 @@ def read_tree(spark: SparkSession, root: str, project: str | None = None) -> Dat
 def read_file(spark: SparkSession, path: str, project: str | None = None) -> DataFrame:
     """A single review target, taken whatever its name."""
     root, name = _address(path).rsplit("/", 1)
+    root = root or "/"
     one = spark.createDataFrame([(name, 0)], "path string, size bigint")
     return read_paths(one, root, project or path)
 

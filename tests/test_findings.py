@@ -33,25 +33,6 @@ def test_numbering_is_exact_with_a_hot_project(spark):
         assert [x[1:] for x in found] == sorted(x[1:] for x in found)
 
 
-def test_numbering_does_not_need_the_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(f, "broadcast_if_small", lambda df: df)
-    rows = [finding("hot" if i % 3 else "cold", f"f{i % 7}.py", i) for i in range(300)]
-    got = f.finding_ordinal(table(spark, rows)).groupBy("project").agg(F.max("ordinal").alias("n"), F.countDistinct("ordinal").alias("d"))
-    assert {(r.project, r.n, r.d) for r in got.collect()} == {("hot", 200, 200), ("cold", 100, 100)}
-
-
-def test_small_tables_are_marked_and_large_ones_are_not(spark):
-    from lineglass.session import broadcast_if_small
-
-    big = spark.range(1000).withColumnRenamed("id", "k")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = lambda rows: big.join(broadcast_if_small(spark.range(50).withColumnRenamed("id", "k"), rows), "k")._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" in plan(50) and "BroadcastHashJoin" not in plan(49)
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
 def test_a_hot_project_is_numbered_on_several_tasks(spark):
     rows = spark.range(20000).select(F.lit("hot").alias("project"), F.col("id").cast("string").alias("file"), F.lit(1).alias("ord"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
@@ -97,7 +78,7 @@ def test_top_lists_only_send_their_limit_per_task(spark):
 
 
 def test_linter_text(spark):
-    rows = ["3:7:E501: line too long ", "4:1:W291:trailing", "note", " 5:1:E1:x", "6:1:F401:unused: os", "7:1::x", "8:1:E2:"]
+    rows = ["3:7:E501: line too long ", "4:1:W291:trailing", "note", " 5:1:E1:x", "6:1:F401:unused: os", "7:1::x", "8:1:E2:", "99999999999:1:E1: x", "9:99999999999:E1: x"]
     df = spark.createDataFrame([("p", "a.py", i, v) for i, v in enumerate(rows)], "project string, path string, position int, value string")
     got = [(r.line, r.column, r.severity, r.rule, r.message) for r in linters.text_findings(df).orderBy("ord").collect()]
     assert got == [(3, 7, "error", "E501", "line too long"), (4, 1, "warning", "W291", "trailing"), (6, 1, "warning", "F401", "unused: os")]
@@ -107,11 +88,19 @@ def test_linter_reports(spark):
     results = [
         {"line_number": 3, "issue_severity": "HIGH", "test_id": "B602", "issue_text": "t", "code": "c" * 90},
         {"issue_severity": "LOW"}, {"issue_severity": "ODD", "code": None}, {},
+        {"line_number": "7"}, {"line_number": "many"},
     ]
     rows = [("p", "a.py", json.dumps({"results": results})), ("p", "b.py", "{}"), ("p", "c.py", "not json")]
     got = linters.report_findings(spark.createDataFrame(rows, "project string, path string, json string")).orderBy("ord").collect()
     assert [(r.line, r.severity, r.rule, r.message, r.code_snippet) for r in got] == [
-        (3, "error", "B602", "t", "c" * 80), (1, "info", "B000", "", ""), (1, "warning", "B000", "", ""), (1, "warning", "B000", "", "")]
+        (3, "error", "B602", "t", "c" * 80), (1, "info", "B000", "", ""), (1, "warning", "B000", "", ""), (1, "warning", "B000", "", ""),
+        (7, "warning", "B000", "", ""), (1, "warning", "B000", "", "")]
+
+
+def test_linter_files_are_read(spark, tmp_path):
+    (tmp_path / "a.py.json").write_text(json.dumps({"results": [{"line_number": 4}]}, indent=2))
+    got = linters.report_findings(linters.read_linter_reports(spark, str(tmp_path))).collect()
+    assert [(r.file, r.line) for r in got] == [("a.py", 4)]
 
 
 def test_detail_hides_redacted_snippets(spark):
