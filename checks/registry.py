@@ -380,6 +380,40 @@ def scan_rule_table(spark, sf):
     return scan.scan_rule_table(lines.explode_lines(c.review_files(spark, sf)), rule_table(spark)).select(*FIELD_COLUMNS)
 
 
+TOKEN = "t = " + ".".join("eyJ" + x * 5 for x in ("ab1", "cd2", "ef3"))
+EXTRA_LINES = [TOKEN, 'q = "SELECT a FROM t WHERE b = \'" + b', 'q = "DELETE FROM t WHERE a = \'" % a', 'q = "SELECT 1"']
+EXTRA_SQL = s.with_(
+    """SELECT project, file, line, rule, severity, category, message, suggestion, code_snippet FROM (
+      SELECT project, path AS file, CAST(line_no AS INTEGER) AS line, 'X001' AS rule, 'critical' AS severity, 'secret' AS category,
+        'JSON web token in source code' AS message, 'Move to environment variables or secrets manager' AS suggestion, '[REDACTED]' AS code_snippet
+      FROM lines WHERE NOT skipped AND regexp_matches(line, 'eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}')
+      UNION ALL SELECT project, path, CAST(line_no AS INTEGER), 'X002', 'error', 'security', 'SQL statement put together from text',
+        'Use query parameters', left(stripped, 100)
+      FROM lines WHERE NOT skipped AND regexp_matches(line, '(SELECT|INSERT|UPDATE|DELETE)\\s[^"'']*["'']\\s*([+]|%)\\s*[\\pL\\pN_]'))""",
+    files=f"SELECT project, path, content || {s.NL} || {s.pick(EXTRA_LINES, 'length(content)')} AS content, family FROM ({s.plain_files('python')})",
+    lines=s.lines())
+
+
+@query("extra_rules", EXTRA_SQL)
+def extra_rules(spark, sf):
+    """Web tokens and statements from text in every document, with a probe line at its end."""
+    files = c.plain_files(spark, sf, "python")
+    files = files.withColumn("content", F.concat("content", F.lit("\n"), c.pick(EXTRA_LINES, F.length("content"))))
+    found = scan.scan_rules(lines.explode_lines(files), r.EXTRA_RULES)
+    return found.select("project", "file", "line", "rule", "severity", "category", "message", "suggestion", "code_snippet")
+
+
+@query("duplicate_lines", s.with_(
+    """SELECT project, path, CAST(sum(n) AS BIGINT) AS lines_filled, CAST(sum(CASE WHEN total > 1 THEN n ELSE 0 END) AS BIGINT) AS lines_repeated,
+      round(sum(CASE WHEN total > 1 THEN n ELSE 0 END) / sum(n), 6) AS share
+    FROM (SELECT *, sum(n) OVER (PARTITION BY project, stripped) AS total FROM (
+      SELECT project, path, stripped, count(*) AS n FROM lines WHERE stripped <> '' GROUP BY ALL)) GROUP BY ALL""",
+    files=s.review_files(), lines=s.lines()))
+def duplicate_lines(spark, sf):
+    found = lines.duplicate_lines(lines.explode_lines(c.review_files(spark, sf)))
+    return found.select("project", "path", *bigint("lines_filled", "lines_repeated"), *rounded("share"))
+
+
 COPIES = 31
 
 

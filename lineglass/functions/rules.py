@@ -266,4 +266,17 @@ LONG_LINE = Rule(
 )
 ALL_RULES = LINE_RULES + [LONG_LINE]
 
-__all__ = ["ALL_RULES", "GENERIC_RULES", "JS_RULES", "LINE_RULES", "LONG_LINE", "PYTHON_RULES", "REDACTED", "Rule"]
+# Further rules, not part of the catalogue: web tokens, and statements put together from
+# text.  To be given to the scan beside it.
+EXTRA_RULES = [
+    Rule(family, "extra", key, key, pattern, False, severity, category, message, suggestion, cut, needs, number)
+    for family in ("python", "javascript", "generic")
+    for key, pattern, severity, category, message, suggestion, cut, needs, number in [
+        ("X001", r"eyJ[A-Za-z0-9_\-]{8,}[.]eyJ[A-Za-z0-9_\-]{8,}[.][A-Za-z0-9_\-]{8,}", "critical", "secret",
+         "JSON web token in source code", SECRET_SUGGESTION, -1, ("eyJ",), 901),
+        ("X002", r"(SELECT|INSERT|UPDATE|DELETE)\s[^\"']*[\"']\s*(\+|%)\s*\w", "error", "security",
+         "SQL statement put together from text", "Use query parameters", 100, ("+|%",), 902),
+    ]
+]
+
+__all__ = ["EXTRA_RULES", "ALL_RULES", "GENERIC_RULES", "JS_RULES", "LINE_RULES", "LONG_LINE", "PYTHON_RULES", "REDACTED", "Rule"]

@@ -111,3 +111,22 @@ def line_counts(files: DataFrame, keep: tuple = ()) -> DataFrame:
         count("comment").alias("lines_comment"),
         count("blank").alias("lines_blank"),
     )
+
+
+def duplicate_lines(lines: DataFrame) -> DataFrame:
+    """Per file its lines that are not blank, those that its project repeats, and their share.
+
+    Lines are compared stripped, by hash.  They are counted per file before they are
+    compared, so a line that stands everywhere is one row for each file and not one for
+    each place.
+    """
+    text = strip(F.col("line"))
+    per_file = lines.where(text != "").groupBy("project", "path", F.xxhash64(text).alias("hash")).agg(F.count("*").alias("n"))
+    again = per_file.groupBy("project", "hash").agg((F.sum("n") > 1).alias("again"))
+    n = F.col("n")
+    return (
+        per_file.join(again, ["project", "hash"])
+        .groupBy("project", "path")
+        .agg(F.sum(n).alias("lines_filled"), F.sum(F.when(F.col("again"), n).otherwise(0)).alias("lines_repeated"))
+        .withColumn("share", F.col("lines_repeated") / F.col("lines_filled"))
+    )

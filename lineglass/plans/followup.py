@@ -18,6 +18,23 @@ def changed_files(files: DataFrame, reviewed: DataFrame) -> DataFrame:
     return content_hashes(files).join(reviewed, ["project", "path", "content_hash"], "left_anti")
 
 
+def file_changes(files: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """Every file that is ``new``, ``changed`` or ``removed`` since the last review.
+
+    A file that could not be read has no hash: it counts as changed when it could be read
+    before or can be now, and not for ever.
+    """
+    now, before = content_hashes(files).alias("now"), reviewed.alias("before")
+    same = [F.col(f"now.{k}") == F.col(f"before.{k}") for k in ("project", "path")]
+    state = (
+        F.when(F.col("before.path").isNull(), "new")
+        .when(F.col("now.path").isNull(), "removed")
+        .when(~F.col("now.content_hash").eqNullSafe(F.col("before.content_hash")), "changed")
+    )
+    keys = [F.coalesce(f"now.{k}", f"before.{k}").alias(k) for k in ("project", "path")]
+    return now.join(before, same, "full").select(*keys, state.alias("state")).where("state IS NOT NULL")
+
+
 def release_gate(projects: DataFrame, findings: DataFrame) -> DataFrame:
     """A project with a critical finding is blocked."""
     critical = findings.groupBy("project").agg(F.count_if(F.col("severity") == "critical").alias("critical"))

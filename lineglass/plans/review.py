@@ -15,6 +15,7 @@ from lineglass.operators.metrics import METRIC_COLUMNS, text_file_metrics
 from lineglass.operators.scan import scan_rules
 from lineglass.operators.syntax import counted_nodes, python_metrics, tree_findings
 from lineglass.plans import report
+from lineglass.plans.followup import content_hashes
 from lineglass.sources.sinks import write_json_fragments, write_reports, write_table
 
 
@@ -86,12 +87,15 @@ def now() -> str:
 
 
 def store_review(files: DataFrame, out: str, linters: tuple = (), answers: DataFrame | None = None) -> StoredReview:
-    """Review and store syntax rows, findings and metrics under ``out``.
+    """Review and store syntax rows, findings, metrics and content hashes under ``out``.
+
+    The hashes are what ``file_changes`` compares the next state of the files with.
 
     Everything later reads the stored tables: no text is scanned or parsed twice,
     and a lost executor costs at most the tasks of one stage.
     """
     lazy = Review(files, linters, answers, keep_nodes=lambda n: write_table(n, f"{out}/nodes"))
+    write_table(content_hashes(files), f"{out}/hashes")
     return StoredReview(
         write_table(lazy.findings, f"{out}/findings"), write_table(lazy.metrics, f"{out}/metrics"), answers
     )

@@ -144,3 +144,12 @@ def test_a_stream_picks_up_only_new_files(spark, tmp_path):
     (tmp_path / "app/new.py").write_bytes(b"exec(x)\n")
     assert run().count() == first + 1
     assert run().count() == first + 1
+
+
+def test_file_changes_tell_new_changed_and_removed(spark, files):
+    from lineglass.plans.followup import content_hashes, file_changes
+
+    before = files([("p", "same", "a"), ("p", "changed", "b"), ("p", "removed", "c"), ("p", "unreadable", None), ("p", "lost", "d")])
+    now = files([("p", "same", "a"), ("p", "changed", "B"), ("p", "new", "e"), ("p", "unreadable", None), ("p", "lost", None)])
+    got = {r.path: r.state for r in file_changes(now, content_hashes(before)).collect()}
+    assert got == {"changed": "changed", "removed": "removed", "new": "new", "lost": "changed"}
