@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from checks.probes import snippets
 from lineglass.functions.vocabulary import LANGUAGES
 from lineglass.functions.text import sql_text
-from lineglass.session import spread
 
 # Extensions dealt out by document number: all supported ones, two in capitals.
 REVIEW_EXTENSIONS = [*LANGUAGES, ".PY", ".Ts"]
@@ -21,6 +20,21 @@ TREE_NAMES = ["package-lock.json", ".gitignore", ".py"]
 FAMILY_EXTENSION = {"python": ".py", "javascript": ".js", "generic": ".go"}
 
 
+# Beyond this many splits a scan keeps enough tasks busy, and moving its text
+# would cost more than the idle cores.
+SPREAD_MAX_SPLITS = 64
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core work when a small test table has fewer splits than there are cores.
+
+    A large input is returned as it is: its text is never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores) if splits < min(cores, SPREAD_MAX_SPLITS) else df
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

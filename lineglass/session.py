@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings a cluster deployment should carry; sizes are left to the cluster.
 RECOMMENDED = {
@@ -48,18 +48,3 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unused path under the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-# Beyond this many splits a scan keeps enough tasks busy, and moving its text
-# would cost more than the idle cores.
-SPREAD_MAX_SPLITS = 64
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when a small input has fewer splits than there are cores.
-
-    A large input is returned as it is: its text is never shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    return df.repartition(cores) if splits < min(cores, SPREAD_MAX_SPLITS) else df
