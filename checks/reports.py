@@ -232,13 +232,14 @@ def stream_findings(spark, sf):
 
 
 @query("stream_severity_windows", s.with_(
-    """SELECT w * 3600 AS window_start, w * 3600 + 3600 AS window_end, severity, n FROM (
-      SELECT CAST(regexp_extract(file, 'd([0-9]+)[.]', 1) AS BIGINT) // 60 AS w, severity, count(*) AS n FROM findings GROUP BY ALL)
-    WHERE w * 3600 + 3600 <= (SELECT max(CAST(regexp_extract(file, 'd([0-9]+)[.]', 1) AS BIGINT)) * 60 - 600 FROM findings)""",
+    """SELECT w * 3600 AS window_start, w * 3600 + 3600 AS window_end, severity, n, CAST(0 AS BIGINT) AS late,
+      w * 3600 + 3600 > (SELECT max(CAST(regexp_extract(file, 'd([0-9]+)[.]', 1) AS BIGINT)) * 60 - 600 FROM findings) AS is_open
+    FROM (SELECT CAST(regexp_extract(file, 'd([0-9]+)[.]', 1) AS BIGINT) // 60 AS w, severity, count(*) AS n FROM findings GROUP BY ALL)""",
     files=s.family_files("python"), lines=s.lines(), findings=s.rule_findings(r.PYTHON_RULES + [r.LONG_LINE])))
 def stream_severity_windows(spark, sf):
+    """Every window of the arrived findings; the stream closes those that its watermark has passed."""
     found = arrivals.stream_findings(arriving(spark, sf), keep=("arrived",))
-    counts = arrivals.severity_windows(found)
-    closed = arrivals.drain(counts, fresh_path(spark, "windows"), fresh_path(spark, "windows-state"))
+    stored = arrivals.drain(found, fresh_path(spark, "found"), fresh_path(spark, "found-state"))
+    closed = arrivals.drain(arrivals.severity_windows(found), fresh_path(spark, "windows"), fresh_path(spark, "windows-state"))
     seconds = [F.unix_seconds(x).alias(x) for x in ("window_start", "window_end")]
-    return closed.select(*seconds, "severity", "n")
+    return arrivals.complete_windows(stored, closed).select(*seconds, "severity", "n", "late", "is_open")

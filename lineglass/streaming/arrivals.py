@@ -27,6 +27,27 @@ def severity_windows(findings: DataFrame, time: str = "arrived", width: str = "1
     )
 
 
+def complete_windows(findings: DataFrame, closed: DataFrame, time: str = "arrived", width: str = "1 hour") -> DataFrame:
+    """All windows of stored findings next to those that a stream has closed.
+
+    ``n`` counts every stored finding. ``late`` are those that came after the stream had
+    closed their window, ``is_open`` tells windows that it has not closed yet, so nothing
+    is left out when a stream stops.
+    """
+    every = findings.groupBy(F.window(time, width), "severity").agg(F.count("*").alias("n")).select(
+        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "severity", "n"
+    )
+    done = closed.groupBy("window_start").agg(F.lit(True).alias("done"))
+    counted = closed.select("window_start", "severity", F.col("n").alias("in_time"))
+    is_open = F.col("done").isNull()
+    late = F.when(is_open, 0).otherwise(F.col("n") - F.coalesce("in_time", F.lit(0)))
+    return (
+        every.join(done, "window_start", "left")
+        .join(counted, ["window_start", "severity"], "left")
+        .select("window_start", "window_end", "severity", "n", late.cast("bigint").alias("late"), is_open.alias("is_open"))
+    )
+
+
 def drain(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Process what has arrived, append it to a table, and return the table.
 
