@@ -575,9 +575,17 @@ def file_metrics(spark, sf):
         *rounded("complexity", "maintainability"))
 
 
-@query("warning_overflow", s.review("SELECT project, count(*) AS warnings, greatest(count(*) - 20, 0) AS unlisted FROM findings WHERE severity = 'warning' GROUP BY project"))
+MERGED_SQL = "(SELECT * REPLACE (left(project, 4) AS project) FROM findings)"
+
+
+def merged(findings: DataFrame) -> DataFrame:
+    """Findings of fewer and larger projects, so that the lists' limits are reached."""
+    return findings.withColumn("project", F.substring("project", 1, 4))
+
+
+@query("warning_overflow", s.review(f"SELECT project, count(*) AS warnings, greatest(count(*) - 20, 0) AS unlisted FROM {MERGED_SQL} WHERE severity = 'warning' GROUP BY project"))
 def warning_overflow(spark, sf):
-    return rollups.warning_overflow(reviewed(spark, sf).findings)
+    return rollups.warning_overflow(merged(reviewed(spark, sf).findings))
 
 
 @query("total_findings", s.review("SELECT project, count(*) AS n FROM findings GROUP BY project"))
@@ -607,9 +615,9 @@ for _name, _where, _limit, _top in (
     ("top_critical", "severity IN ('critical', 'error')", 30, rollups.top_critical),
     ("top_warnings", "severity = 'warning'", 20, rollups.top_warnings),
 ):
-    QUERIES[_name] = lambda spark, sf, top=_top: top(reviewed(spark, sf).findings).select(*FIELD_COLUMNS, *bigint("rank"))
+    QUERIES[_name] = lambda spark, sf, top=_top: top(merged(reviewed(spark, sf).findings)).select(*FIELD_COLUMNS, *bigint("rank"))
     ORACLES[_name] = s.review(
-        f"SELECT * FROM (SELECT {FIELDS}, row_number() OVER (PARTITION BY project ORDER BY file, ord) AS rank FROM findings WHERE {_where}) WHERE rank <= {_limit}")
+        f"SELECT * FROM (SELECT {FIELDS}, row_number() OVER (PARTITION BY project ORDER BY file, ord) AS rank FROM {MERGED_SQL} WHERE {_where}) WHERE rank <= {_limit}")
 
 
 @query("top_complex_files", s.review(

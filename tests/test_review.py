@@ -153,3 +153,11 @@ def test_file_changes_tell_new_changed_and_removed(spark, files):
     now = files([("p", "same", "a"), ("p", "changed", "B"), ("p", "new", "e"), ("p", "unreadable", None), ("p", "lost", None)])
     got = {r.path: r.state for r in file_changes(now, content_hashes(before)).collect()}
     assert got == {"changed": "changed", "removed": "removed", "new": "new", "lost": "changed"}
+
+
+def test_now_is_a_report_date():
+    import re
+
+    from lineglass.plans.review import now
+
+    assert re.fullmatch(r"\d{4}-\d\d-\d\d \d\d:\d\d:\d\d", now())
