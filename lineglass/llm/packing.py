@@ -6,6 +6,7 @@ rank within it.
 """
 
 import base64
+import re
 import zlib
 from bisect import insort
 from collections.abc import Iterator
@@ -27,6 +28,9 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 REMEMBERED = 400_000
 SLICES = 64
 
+# A space that may belong to a longer run of white space.
+RUN = re.compile(r" (?:\s|$)")
+
 _ENCODERS: dict[str, "Chunks"] = {}
 
 
@@ -34,11 +38,14 @@ class Chunks(dict):
     """Ids of a text, remembered by chunk as little-endian 32-bit numbers.
 
     A space before a character that is no white space always begins a new word of the
-    tokenizer, so a text can be cut there and its parts encoded on their own.
+    tokenizer, so a text can be cut there and its parts encoded on their own. A part is
+    remembered without its space, by ``spaced``, a table of the same kind.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, before: str = ""):
         super().__init__()
+        self.before = before
+        self.spaced = None if before else Chunks(path, " ")
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding(
@@ -46,7 +53,7 @@ class Chunks(dict):
         ).encode_ordinary
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.encode(chunk), dtype="<u4").tobytes()
+        ids = np.array(self.encode(self.before + chunk), dtype="<u4").tobytes()
         if len(self) >= REMEMBERED:
             self.clear()
         if len(chunk) < 64:
@@ -54,18 +61,13 @@ class Chunks(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
+        if not text:
+            return b""
         first, *rest = text.split(" ")
-        if not rest:
-            return self[first] if first else b""
-        chunks = [first] if first else []
-        for part in rest:
-            if part and not part[0].isspace():
-                chunks.append(" " + part)
-            elif chunks:
-                chunks[-1] += " " + part  # the space belongs to a longer run of white space
-            else:
-                chunks.append(" " + part)
-        return b"".join([self[c] for c in chunks])
+        if not first or RUN.search(text):
+            # Runs of white space stay with what is before them.
+            first, *rest = re.split(r" (?=\S)", text)
+        return (self[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
 
 
 def encoder(vocabulary: str = VOCABULARY) -> Chunks:
