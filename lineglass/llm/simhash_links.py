@@ -135,10 +135,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Keep the row with the least id of every near-duplicate group, with all its columns.
+    """Keep the rows with the least id of every near-duplicate group, with all their columns.
 
-    Rows that share the kept id stay together with it only if they are the first by text.
-    A null id is kept: it can't be told from others.
+    Rows with one id go together: if any of them is in a group with a smaller id, all do.
+    Rows that repeat the kept id stay as often as they come, and so do rows without an id,
+    which can't be told apart.
     """
     groups = near_duplicates(docs)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
