@@ -1,139 +1,86 @@
-"""Line dedup by winnowing over line hashes.
-
-A line ends at a line break or after a single mark that ends a sentence or a clause; one
-without such marks for long is cut after common word ends, so that equal passages are cut
-alike wherever they stand. Grams of lines are hashed, window minima are the fingerprints, and
-each is joined with the first place that has it. Matches on one diagonal, that is with the
-same first document and distance, are extended both ways line by line. What repeats for
-long enough is deleted; the first copy stays.
+"""Line dedup by hashed runs of lines.
+
+A line ends at a line break, after a single mark that ends a sentence or a clause and after
+common word ends. What is still long is cut by a second rule, and then at every word, so
+that equal passages are cut alike wherever they stand, but for a few words at their edges.
+Every shortest run of lines that has enough words is hashed, and goes if an earlier place
+has it; overlapping runs add up. Nothing is sampled, so it does not matter in which of the
+earlier texts the run stands. The first copy stays.
 """
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lineglass.llm.common import stored
-
-# A gram is one, two or three lines, the first that has so many words.
-GRAM_WORDS = 8
-# Every run of grams as long as this has a fingerprint.
-WINDOW = 4
-# Lines that a match is extended by beyond its outermost fingerprints: more than a window
-# and a gram, after which a longer run would have had another fingerprint.
-REACH = 8
-# Words in the whole lines of a run. A passage of 50 words loses its first and last line at
-# most, where these are parts of longer lines.
+# Words in the whole lines of a run.
 MIN_WORDS = 30
+# Words of a line at most. What of a passage shares a line with the text around it is no
+# more than that at each end, so a passage of MIN_WORDS + 2 * LONG words is always met.
+LONG = 10
 
-ENDS = r"(?<=\n)|(?<=[^!?][.!?;:,] )"
-LONG = 200
-LONG_ENDS = r"(?<=(?i:[aeiou][nrst])[^\p{L}\s]{0,4} )"
+# A line has at least one word: white space belongs to the line before it.
+NEXT = r"(?=[^\S\n]*\S)"
+ENDS = r"(?<=[\n ])(?:(?<=\n)|(?<=[^!?][.!?;:,] )|(?<=[aiAI][nsNS] ))" + NEXT
+LONG_ENDS = r"(?<= )(?<=[nrstNRST] )" + NEXT
+WORD_ENDS = r"(?<= )" + NEXT
 
 
 def lines_sql(text: str) -> str:
     """The lines of a text with all their characters: put together they are the text."""
-    return (
-        f"flatten(transform(split(coalesce({text}, ''), '{_quoted(ENDS)}', -1), u -> "
-        f"if(octet_length(u) > {LONG}, split(u, '{_quoted(LONG_ENDS)}', -1), array(u))))"
-    )
+    return _cut(_cut(f"split(coalesce({text}, ''), '{_quoted(ENDS)}', -1)", LONG_ENDS), WORD_ENDS)
+
+
+def _cut(parts: str, ends: str) -> str:
+    """Cut those parts that have too many words; nothing but a part itself decides."""
+    long = f"octet_length(u) > {2 * LONG} and octet_length(u) - octet_length(replace(u, ' ', '')) > {LONG}"
+    return f"flatten(transform({parts}, u -> if({long}, split(u, '{_quoted(ends)}', -1), array(u))))"
 
 
 def _quoted(pattern: str) -> str:
     return pattern.replace("\\", "\\\\")
 
 
-def fingerprinted(docs: DataFrame) -> DataFrame:
-    """``doc``, ``text_hash``, ``marks`` and ``prints`` for every row.
+def hashed_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``doc``, ``text_hash``, ``g`` and ``at`` for every shortest run of enough words.
 
-    ``marks`` has 23 bits of each line's hash above its number of words (255 at most);
-    ``prints`` the place and hash of each fingerprint. Rows without an id count as one
-    document, as rows with one id do.
+    ``g`` is the hash of the run's lines, ``at`` its first line above eight bits for the
+    number of its lines. A run is one that begins or ends with the line of a word and holds
+    as many words from there as are needed; so every longer run is covered by such runs.
+    Rows without an id count as one document, as rows with one id do.
     """
     bare = f"transform({lines_sql('text')}, u -> btrim(u, ' \\n\\r\\t'))"
-    hashed = (
-        f"transform({bare}, t -> named_struct('h', xxhash64(t), 'n', "
-        "if(t = '', 0, octet_length(t) - octet_length(replace(t, ' ', '')) + 1)))"
-    )
-    gram = (
-        f"case when l[i].n >= {GRAM_WORDS} then l[i].h "
-        f"when l[i].n + get(l, i + 1).n >= {GRAM_WORDS} then xxhash64(l[i].h, get(l, i + 1).h) "
-        "when get(l, i + 2) is not null then xxhash64(l[i].h, get(l, i + 1).h, get(l, i + 2).h) end"
+    words = "flatten(transform(t, (x, i) -> array_repeat(i, octet_length(x) - octet_length(replace(x, ' ', '')) + 1)))"
+    last = min_words - 1
+    at = (
+        f"array_distinct(transform(filter(sequence(0, size(w) - {min_words}), k -> k = 0 or w[k] <> w[k - 1] "
+        f"or k + {min_words} = size(w) or w[k + {last}] <> w[k + {min_words}]), "
+        f"k -> (cast(w[k] as long) << 8) + w[k + {last}] - w[k] + 1))"
     )
-    at = [f"coalesce(get(g, i {k:+d}), {2**63 - 1})" for k in range(1 - WINDOW, WINDOW)]
-    own = "g[i]"
-    windows = [
-        " and ".join(f"{own} <= {at[k + j]}" for j in range(WINDOW) if k + j != WINDOW - 1) for k in range(WINDOW)
-    ]
-    least = " or ".join(f"({w})" for w in windows)
     return (
         docs.select(
             F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"),
             F.xxhash64("text").alias("text_hash"),
-            F.expr(hashed).alias("l"),
-        )
-        .withColumn("g", F.expr(f"transform(sequence(0, size(l) - 1), i -> {gram})"))
-        .select(
-            "doc",
-            "text_hash",
-            F.expr("transform(l, x -> cast((x.h & 2147483392) | least(x.n, 255) as int))").alias("marks"),
-            F.expr(
-                f"transform(filter(sequence(0, size(g) - 1), i -> {own} is not null and ({least})), "
-                "i -> named_struct('p', i, 'g', g[i]))"
-            ).alias("prints"),
+            F.expr(bare).alias("t"),
         )
+        .select("doc", "text_hash", F.expr("transform(t, x -> xxhash64(x))").alias("h"), F.expr(words).alias("w"))
+        .where(f"size(w) >= {min_words}")
+        .select("doc", "text_hash", "h", F.explode(F.expr(at)).alias("at"))
+        .select("doc", "text_hash", F.expr("xxhash64(slice(h, cast(at >> 8 as int) + 1, cast(at & 255 as int)))").alias("g"), "at")
     )
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc``, ``text_hash`` and ``runs``, the first and last line of every later repeated run.
 
-    Fingerprints meet the first place of theirs only, never each other.
+    Runs are ranked among their equals, never paired.
     """
-    lines = stored(fingerprinted(docs), "lines")
-    prints = lines.select("doc", F.inline("prints"))
-    first = prints.groupBy("g").agg(F.min(F.struct("doc", "p")).alias("first"), F.count(F.lit(1)).alias("n"))
-    again = prints.join(first.where("n > 1").select("g", "first"), "g").where("struct(doc, p) > first")
-    diagonals = (
-        again.select("doc", F.col("first.doc").alias("source"), (F.col("p") - F.col("first.p")).alias("apart"), "p")
-        .groupBy("doc", "source", "apart")
-        .agg(F.min("p").alias("low"), F.max("p").alias("high"))
-        .select(
-            "doc", "source", "apart",
-            F.greatest(F.col("low") - REACH, F.lit(0), "apart").alias("low"),
-            (F.col("high") + REACH).alias("high"),
-        )
-    )
-    here = diagonals.join(lines.select("doc", "text_hash", "marks"), "doc").select(
-        "doc", "text_hash", "source", "apart", "low", "high", F.expr("slice(marks, low + 1, high - low + 1)").alias("here")
-    )
-    # The same columns as above, so that both joins read one shuffle of the lines.
-    sources = lines.select("doc", "text_hash", "marks").alias("s")
-    there = here.alias("h").join(sources, F.col("h.source") == F.col("s.doc")).select(
-        "h.doc", "h.text_hash", "h.low", "h.here",
-        F.expr("slice(s.marks, h.low - h.apart + 1, h.high - h.low + 1)").alias("there"),
-    )
-    runs = there.withColumn(
-        "same", F.expr("concat(zip_with(here, there, (x, y) -> if(x <=> y, x & 255, -1)), array(-1))")
-    ).where(
-        # Most diagonals are chance: few words agree. A sum tells so far sooner than runs do.
-        F.expr(f"aggregate(same, 0, (s, x) -> s + greatest(x, 0)) >= {min_words}")
-    )
-    runs = runs.select(
-        "doc",
-        "text_hash",
-        F.explode(
-            F.expr(
-                "aggregate(same, named_struct('at', low, 'from', low, 'words', 0, "
-                "'runs', cast(array() as array<struct<a:int,b:int>>)), (s, x) -> named_struct('at', s.at + 1, "
-                "'from', if(x < 0, s.at + 1, s.from), 'words', if(x < 0, 0, s.words + x), "
-                f"'runs', if(x < 0 and s.words >= {min_words}, "
-                "array_append(s.runs, named_struct('a', s.from, 'b', s.at - 1)), s.runs)), s -> s.runs)"
-            )
-        ).alias("run"),
-    )
-    own = runs.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set("run")).alias("runs"))
-    # Runs of several diagonals overlap; as one list they do not, and one step reads them.
+    order = W.partitionBy("g").orderBy("doc", "at")
+    again = hashed_runs(docs, min_words).withColumn("n", F.rank().over(order)).where("n > 1")
+    own = again.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set("at")).alias("ats"))
+    runs = "transform(ats, x -> named_struct('a', cast(x >> 8 as int), 'b', cast((x >> 8) + (x & 255) - 1 as int)))"
+    # Runs overlap; as one list they do not, and one step reads them.
     merged = (
-        "aggregate(runs, cast(array() as array<struct<a:int,b:int>>), (m, r) -> case "
+        f"aggregate({runs}, cast(array() as array<struct<a:int,b:int>>), (m, r) -> case "
         "when size(m) = 0 or r.a > element_at(m, -1).b + 1 then array_append(m, r) "
         "when r.b <= element_at(m, -1).b then m "
         "else array_append(slice(m, 1, size(m) - 1), named_struct('a', element_at(m, -1).a, 'b', r.b)) end)"

@@ -65,3 +65,42 @@ def test_odd_rows(spark):
     assert [r.text for r in rows if r.doc_id == 1] == [None]
     assert sorted(r.text for r in rows if r.doc_id == 4) == sorted([h.prose(3, 80)] * 2 + [h.prose(4, 80)])
     assert lines.without_repeats(h.odd(spark).limit(0)).collect() == []
+
+
+def sentence(seed, words):
+    return re.sub(r"[.,]", "", h.prose(seed, words)) + "."
+
+
+def pairs(passages):
+    """Two hosts for each passage, the first ones before the second ones."""
+    return [h.prose(1000 * k + n, 40 + k) + ". " + p + " " + h.prose(2000 * k + n, 40) for k in (1, 2) for n, p in enumerate(passages)]
+
+
+def words_left(spark, texts):
+    rows = lines.without_repeats(h.documents(spark, texts)).orderBy("doc_id").collect()
+    return [len(r.text.split()) for r in rows]
+
+
+def test_passages_of_few_long_sentences_go(spark):
+    passages = [" ".join(sentence(7000 + 3 * n + k, 18 + k % 2) for k in range(3)) for n in range(30)]
+    texts = pairs(passages)
+    left = words_left(spark, texts)
+    assert left[:30] == [len(t.split()) for t in texts[:30]]
+    assert max(left[30:]) <= 82 + 20
+
+
+def test_runs_equal_brute_force(spark):
+    texts = [*pairs([h.prose(300 + n, 30 + n) for n in range(12)]), h.prose(5, 100), h.prose(5, 100), "a b. " * 40]
+    docs = h.documents(spark, texts)
+    cut = [r.parts for r in docs.orderBy("doc_id").selectExpr(f"{lines.lines_sql('text')} AS parts").collect()]
+    first, want = {}, []
+    for d, parts in enumerate(cut):
+        bare = [x.strip(" \n\r\t") for x in parts]
+        gone = set()
+        for a in range(len(bare)):
+            for b in range(a, len(bare)):
+                if sum(len(x.split(" ")) for x in bare[a : b + 1]) >= lines.MIN_WORDS:
+                    if first.setdefault(tuple(bare[a : b + 1]), (d, a)) != (d, a):
+                        gone |= set(range(a, b + 1))
+        want.append("".join(x for k, x in enumerate(parts) if k not in gone))
+    assert [r.text for r in lines.without_repeats(docs).orderBy("doc_id").collect()] == want
