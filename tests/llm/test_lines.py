@@ -104,3 +104,18 @@ def test_runs_equal_brute_force(spark):
                         gone |= set(range(a, b + 1))
         want.append("".join(x for k, x in enumerate(parts) if k not in gone))
     assert [r.text for r in lines.without_repeats(docs).orderBy("doc_id").collect()] == want
+
+
+def test_passages_are_cut_alike_whatever_stands_around(spark):
+    bare = lambda seed, n: re.sub(r"[.,]", "", h.prose(seed, n))
+    passages = [f"{bare(400 + n, 27)}, {bare(450 + n, 27)}" for n in range(30)]
+    texts = [f"{bare(500 + n, 40)} {p} {bare(550 + n, 40)}." for n, p in enumerate(passages)] + [f"Short: {p} end." for p in passages]
+    left = words_left(spark, texts)
+    assert left[:30] == [len(t.split()) for t in texts[:30]]
+    assert max(left[30:]) <= 2 + 20
+
+
+def test_no_line_is_long(spark):
+    texts = [re.sub(r"[.,]", "", h.prose(9, 500)), "слово " * 300, "7 " * 100, " \n\n  x\n \n" * 50]
+    for r in h.documents(spark, texts).selectExpr(f"{lines.lines_sql('text')} AS parts").collect():
+        assert max(len(x.split()) for x in r.parts) <= 11
