@@ -119,3 +119,12 @@ def test_no_line_is_long(spark):
     texts = [re.sub(r"[.,]", "", h.prose(9, 500)), "слово " * 300, "7 " * 100, " \n\n  x\n \n" * 50]
     for r in h.documents(spark, texts).selectExpr(f"{lines.lines_sql('text')} AS parts").collect():
         assert max(len(x.split()) for x in r.parts) <= 11
+
+
+def test_sentences_that_stand_alone_earlier_do_not_hide_a_passage(spark):
+    alone = [sentence(8000 + n, 12) for n in range(2)]
+    passages = [" ".join([sentence(8100 + 2 * n, 11), alone[0], sentence(8101 + 2 * n, 9), alone[1], sentence(8500 + n, 10)]) for n in range(30)]
+    texts = [f"{h.prose(1, 20)}. {alone[0]} {h.prose(2, 20)}", f"{h.prose(3, 20)}. {alone[1]} {h.prose(4, 20)}", *pairs(passages)]
+    left = words_left(spark, texts)
+    assert left[:32] == [len(t.split()) for t in texts[:32]]
+    assert max(left[32:]) <= 82 + 20
