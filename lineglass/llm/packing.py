@@ -6,10 +6,12 @@ rank within it.
 """
 
 import base64
+import json
 import re
 import zlib
 from bisect import insort
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -51,6 +53,12 @@ class Chunks(dict):
         self.encode = tiktoken.Encoding(
             "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         ).encode_ordinary
+        # Tokens beside the merges, which stand for their text wherever it comes.
+        made = Path(path).with_suffix(".json")
+        found = json.loads(made.read_text("utf-8"))["added_tokens"] if made.exists() else []
+        self.added = {t["content"]: np.array([t["id"]], dtype="<u4").tobytes() for t in found}
+        longest = sorted(map(re.escape, self.added), key=len, reverse=True)
+        self.marks = re.compile(f"({'|'.join(longest)})") if longest else None
 
     def __missing__(self, chunk: str) -> bytes:
         ids = np.array(self.encode(self.before + chunk), dtype="<u4").tobytes()
@@ -69,6 +77,12 @@ class Chunks(dict):
             first, *rest = re.split(r" (?=\S)", text)
         return (self[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
 
+    def whole(self, text: str) -> bytes:
+        """The ids of a text with the vocabulary's added tokens, as ``tokenizers`` finds them."""
+        if not any(map(text.__contains__, self.added)):
+            return self.ids(text)
+        return b"".join(self.added[t] if n % 2 else self.ids(t) for n, t in enumerate(self.marks.split(text)))
+
 
 def encoder(vocabulary: str = VOCABULARY) -> Chunks:
     if vocabulary not in _ENCODERS:
@@ -97,7 +111,7 @@ def pieces(
         schema, names = schema + ", ids array<int>", [*names, "ids"]
 
     def cut(text: str | None) -> list[tuple[int, bytes]]:
-        ids = encoder(vocabulary).ids(text or "") + np.array([end_id], dtype="<u4").tobytes()
+        ids = encoder(vocabulary).whole(text or "") + np.array([end_id], dtype="<u4").tobytes()
         head = len(ids) // 4 % capacity or capacity
         bounds = [0, *range(head * 4, len(ids) + 1, capacity * 4)]
         return [(a // 4, ids[a:b]) for a, b in zip(bounds, bounds[1:])]

@@ -29,7 +29,7 @@ def tokens(text: Column, vocabulary: str) -> Column:
 
     def run(texts: pa.Array) -> pa.Array:
         own = encoder(vocabulary)
-        return pa.array([len(own.ids(t.as_py() or "")) // 4 for t in texts], pa.int64())
+        return pa.array([len(own.whole(t.as_py() or "")) // 4 for t in texts], pa.int64())
 
     return F.arrow_udf(run, "bigint")(text)
 

@@ -94,3 +94,17 @@ def test_odd_rows(spark):
     assert sum(r.doc_id == 4 and r.piece == 0 for r in rows) == 3
     assert {r.length for r in rows if r.doc_id in (1, 2)} == {1}
     assert packing.pack(h.odd(spark).limit(0)).collect() == []
+
+
+MARKED = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "<|endoftext| > y", "a  <|endoftext|>\n\n é <|endoftext|>"]
+
+
+def test_added_tokens_are_found_as_the_tokenizer_as_loaded_does(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    loaded = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = dict(enumerate([*TEXTS, *MARKED, "<|endoftext|> " * 800]))
+    for text in texts.values():
+        assert np.frombuffer(packing.encoder().whole(text), dtype="<u4").tolist() == ids_of(loaded, text)[:-1]
+    check(packing.pack(h.documents(spark, list(texts.values()))).collect(), texts, loaded)

@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from lineglass.llm import token_rollup
 from lineglass.llm.packing import encoder
 from tests.llm import helpers as h
@@ -57,3 +59,8 @@ def test_odd_rows(spark):
     rows = token_rollup.maintained(h.odd(spark)).collect()
     assert sum(r.documents for r in rows) == 2 * 8
     assert token_rollup.maintained(h.odd(spark).limit(0)).collect() == []
+
+
+def test_added_tokens_count_as_one(spark):
+    row = h.documents(spark, ["a <|endoftext|> b"]).select(token_rollup.tokens(F.col("text"), "byte_bpe_50k.tiktoken").alias("n")).first()
+    assert row.n == 4
