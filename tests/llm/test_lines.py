@@ -73,7 +73,7 @@ def sentence(seed, words):
 
 def pairs(passages):
     """Two hosts for each passage, the first ones before the second ones."""
-    return [h.prose(1000 * k + n, 40 + k) + ". " + p + " " + h.prose(2000 * k + n, 40) for k in (1, 2) for n, p in enumerate(passages)]
+    return [h.prose(10_000 * k + n, 40 + k) + ". " + p + " " + h.prose(50_000 * k + n, 40) for k in (1, 2) for n, p in enumerate(passages)]
 
 
 def words_left(spark, texts):
