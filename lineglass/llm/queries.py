@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lineglass.llm import (
     chat,
     decontamination,
+    fim,
     hamming,
     lines,
     packing,
@@ -95,6 +96,11 @@ def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op11_fim_skip_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rearranged for fill-in-the-middle, as digests of the result and its parse back."""
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -108,10 +114,12 @@ QUERIES = {
         op8_token_rollup,
         op9_bm25_decontamination,
         op10_perspective_rotation,
+        op11_fim_skip_list,
     )
 }
 # Tokenizers, learned weights, fingerprints, shards and packing have no SQL form here.
 ORACLES = {
     "op2_multi_index_hashing": MULTI_INDEX_SQL,
     "op10_perspective_rotation": chat.PERSPECTIVES_SQL,
+    "op11_fim_skip_list": fim.DIGESTS_SQL,
 }
