@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lineglass.llm import (
     chat,
     decontamination,
+    filter_audit,
     fim,
     hamming,
     lines,
@@ -101,6 +102,11 @@ def op11_fim_skip_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order of five filters, step by step, per source, over all documents and labels."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -115,6 +121,7 @@ QUERIES = {
         op9_bm25_decontamination,
         op10_perspective_rotation,
         op11_fim_skip_list,
+        op13_filter_audit,
     )
 }
 # Tokenizers, learned weights, fingerprints, shards and packing have no SQL form here.
@@ -122,4 +129,5 @@ ORACLES = {
     "op2_multi_index_hashing": MULTI_INDEX_SQL,
     "op10_perspective_rotation": chat.PERSPECTIVES_SQL,
     "op11_fim_skip_list": fim.DIGESTS_SQL,
+    "op13_filter_audit": filter_audit.AUDIT_SQL,
 }
