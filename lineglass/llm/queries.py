@@ -9,6 +9,7 @@ from lineglass.llm import (
     filter_audit,
     fim,
     hamming,
+    jaccard_join,
     lines,
     packing,
     secrets,
@@ -102,6 +103,11 @@ def op11_fim_skip_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_jaccard_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its five-word shingle count and the least id linked to it at Jaccard 0.8."""
+    return jaccard_join.joined(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order of five filters, step by step, per source, over all documents and labels."""
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -121,10 +127,11 @@ QUERIES = {
         op9_bm25_decontamination,
         op10_perspective_rotation,
         op11_fim_skip_list,
+        op12_jaccard_pigeonhole,
         op13_filter_audit,
     )
 }
-# Tokenizers, learned weights, fingerprints, shards and packing have no SQL form here.
+# Tokenizers, learned weights, fingerprints, shards, packing and components have no SQL form here.
 ORACLES = {
     "op2_multi_index_hashing": MULTI_INDEX_SQL,
     "op10_perspective_rotation": chat.PERSPECTIVES_SQL,
