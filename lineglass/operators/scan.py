@@ -6,12 +6,15 @@ collected in an array and exploded.  No join, no shuffle, and patterns compile
 once per task.
 """
 
-from functools import reduce
-
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from lineglass.functions import vocabulary as v
+from lineglass.functions import anchors
+from lineglass.functions.anchors import Waker
 from lineglass.functions.rules import ALL_RULES, LONG_LINE, Rule
 from lineglass.functions.text import fold_case, java_regex, sql_text, strip
 
@@ -133,18 +136,36 @@ def scan_rules(lines: DataFrame, rules: list[Rule] = ALL_RULES, keep: tuple = ()
     return _rendered(matched.withColumn("r", F.expr(f"element_at({_rule_rows(rules)}, slot)")), keep)
 
 
-# Rules of a table that one pass over the lines tries.
-RULES_PER_PASS = 100
+# The automata travel with the function; executors need not import them.
+cloudpickle.register_pickle_by_value(anchors)
+
+
+def _woken(wakers: dict):
+    """Slots of the rules of a line's family whose anchors the line holds."""
+
+    @pandas_udf("array<int>")
+    def woken(family: pd.Series, line: pd.Series) -> pd.Series:
+        out = []
+        for f, text in zip(family, line):
+            waker = wakers.get(f)
+            out.append(waker.woken(text or "") if waker is not None else [])
+        return pd.Series(out)
 
+    return woken
 
-def scan_rule_table(lines: DataFrame, rules: DataFrame, per_pass: int = RULES_PER_PASS) -> DataFrame:
+
+def scan_rule_table(lines: DataFrame, rules: DataFrame, wake: bool = True) -> DataFrame:
     """Findings for a rule table ``(family, number, rule, pattern, ignore_case, severity,
     category, message, suggestion, snippet_len)``.
 
-    Patterns are in Java syntax and taken as they are. The table is configuration: its
-    rows become literal predicates, so many for each pass over the lines, and a pass has
-    no join and no shuffle. A table of any size is read alike. Rows without a family,
-    number or pattern are left out; an empty table gives no rows.
+    Patterns are in Java syntax and taken as they are. The table is configuration. Each
+    pattern is read for literals that all its matches hold, and one Aho-Corasick
+    automaton a family over all of them wakes, for each line, the rules that it may
+    match; only those are tried, by Java's own matcher. Patterns without such literals
+    are tried on every line. A table of any size is one pass over the lines, with no join
+    and no shuffle. ``wake=False`` tries every rule on every line, the plain path with the
+    same findings. Rows without a family, number or pattern are left out; an empty table
+    gives no rows.
     """
     rows = rules.where("family IS NOT NULL AND number IS NOT NULL AND pattern IS NOT NULL").collect()
     made = [
@@ -154,5 +175,21 @@ def scan_rule_table(lines: DataFrame, rules: DataFrame, per_pass: int = RULES_PE
     ]
     if not made:
         return scan_rules(lines, [LONG_LINE]).where(F.lit(False))
-    passes = [scan_rules(lines, made[k : k + per_pass]) for k in range(0, len(made), per_pass)]
-    return reduce(DataFrame.unionByName, passes)
+    java = [("(?diu)" if r.ignore_case else "(?d)") + r.pattern for r in made]
+    patterns = f"array({', '.join(sql_text(p) for p in java)})"
+    families = f"array({', '.join(sql_text(r.family) for r in made)})"
+    prepared = lines.filter(~F.col("skipped")).select("project", "path", "family", "line_no", "line")
+    if wake:
+        by_family: dict[str, dict[int, str]] = {}
+        for slot, r in enumerate(made, 1):
+            by_family.setdefault(r.family, {})[slot] = r.pattern
+        wakers = {family: Waker(p) for family, p in by_family.items()}
+        candidates = _woken(wakers)(F.col("family"), F.col("line"))
+    else:
+        candidates = F.sequence(F.lit(1), F.lit(len(made)))
+    tried = prepared.withColumn("_woken", candidates).withColumn(
+        "_hits",
+        F.expr(f"filter(_woken, s -> element_at({families}, s) = family AND line RLIKE element_at({patterns}, s))"),
+    )
+    matched = tried.select("project", "path", "line_no", "line", F.explode("_hits").alias("slot"))
+    return _rendered(matched.withColumn("r", F.expr(f"element_at({_rule_rows(made)}, slot)")))
