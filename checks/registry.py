@@ -11,7 +11,7 @@ from lineglass.functions import rules as r
 from lineglass.functions import vocabulary as v
 from lineglass.functions.text import base_name, extension, strip
 from lineglass.operators import answers as a
-from lineglass.operators import corpus, findings, lines, metrics, rollups, scan, syntax
+from lineglass.operators import blocks, corpus, findings, lines, metrics, rollups, scan, syntax
 from lineglass.operators.corpus import with_language
 from lineglass.plans.review import Review, StoredReview, store_review
 from lineglass.session import fresh_path
@@ -414,6 +414,31 @@ def duplicate_lines(spark, sf):
     return found.select("project", "path", *bigint("lines_filled", "lines_repeated"), *rounded("share"))
 
 
+BLOCK_SQL = s.with_(
+    f"""SELECT project, path, CAST(first_line AS INTEGER) AS first_line, CAST(last_line AS INTEGER) AS last_line,
+      CAST(lines AS BIGINT) AS lines, class_path, CAST(class_line AS INTEGER) AS class_line, CAST(members AS BIGINT) AS members
+    FROM (SELECT *, count(*) OVER c AS members, first_value(path) OVER c AS class_path, first_value(first_line) OVER c AS class_line
+      FROM blocks WINDOW c AS (PARTITION BY project, content, lines ORDER BY path, first_line
+        ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))""",
+    files=s.review_files(), lines=s.lines(),
+    filled="SELECT project, path, line_no, stripped, row_number() OVER (PARTITION BY project, path ORDER BY line_no) - 1 AS idx "
+           "FROM lines WHERE stripped <> ''",
+    runs=f"""SELECT * FROM (SELECT project, path, idx, line_no AS first_line, last_value(line_no) OVER w AS last_line,
+        list(stripped) OVER w AS run, count(*) OVER w AS n FROM filled
+        WINDOW w AS (PARTITION BY project, path ORDER BY idx ROWS BETWEEN CURRENT ROW AND {blocks.BLOCK_LINES - 1} FOLLOWING))
+      WHERE n = {blocks.BLOCK_LINES}""",
+    again="SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY project, run) AS places FROM runs) WHERE places > 1",
+    islands="SELECT *, idx - row_number() OVER (PARTITION BY project, path ORDER BY idx) AS island FROM again",
+    blocks=f"""SELECT project, path, min(first_line) AS first_line, max(last_line) AS last_line,
+      max(idx) - min(idx) + {blocks.BLOCK_LINES} AS lines, list(run ORDER BY idx) AS content FROM islands GROUP BY project, path, island""")
+
+
+@query("repeated_blocks", BLOCK_SQL)
+def repeated_blocks(spark, sf):
+    """Maximal blocks of four or more lines that a project repeats, with their clone classes."""
+    return blocks.repeated_blocks(c.review_files(spark, sf))
+
+
 COPIES = 31
 
 
