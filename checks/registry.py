@@ -17,6 +17,7 @@ from lineglass.plans.review import Review, StoredReview, store_review
 from lineglass.session import fresh_path
 from lineglass.sources import answers as answer_source
 from lineglass.sources import linters
+from lineglass.sources import tree_source as tree_files
 from lineglass.sources.sinks import write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +94,27 @@ def scan_tree(spark, sf):
     return corpus.select_tree(c.tree_files(spark, sf))
 
 
+TREE_SOURCE_SQL = s.with_(
+    f"""SELECT project, path, CASE WHEN contains(content, chr(13))
+        THEN replace(replace(content, chr(13) || {s.NL}, {s.NL}), chr(13), {s.NL}) ELSE content END AS content, how
+      FROM files, (VALUES ('batch'), ('stream')) t(how)
+      WHERE project IS NOT NULL AND path IS NOT NULL AND {SUPPORTED_SQL} AND NOT {IGNORED_NAME_SQL} AND NOT {IGNORED_DIR_SQL}""",
+    files=f"SELECT project, path, coalesce(content, '') AS content FROM ({s.tree_files()})")
+
+
+@query("tree_source", TREE_SOURCE_SQL)
+def tree_source(spark, sf):
+    """The tree written as files, then read by the tree source in batch and as a stream."""
+    root = fresh_path(spark, "tree")
+    tree_files.write_tree(c.tree_files(spark, sf), root)
+    batch = tree_files.read_tree_source(spark, root).withColumn("how", F.lit("batch"))
+    out, marks = fresh_path(spark, "tree_stream"), fresh_path(spark, "tree_marks")
+    stream = tree_files.read_tree_source(spark, root, stream=True).writeStream.format("parquet")
+    stream.option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    arrived = spark.read.schema("project string, path string, content string").parquet(out)
+    return batch.unionByName(arrived.withColumn("how", F.lit("stream")))
+
+
 @query("scan_single", s.with_(
     f"SELECT project, path, content, {s.language()} AS language FROM files WHERE path = (SELECT min(path) FROM files)",
     files=s.tree_files()))
