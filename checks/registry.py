@@ -18,6 +18,8 @@ from lineglass.session import fresh_path
 from lineglass.sources import answers as answer_source
 from lineglass.sources import linters
 from lineglass.sources import tree_source as tree_files
+from lineglass.streaming import arrivals
+from lineglass.streaming import revisions as revision
 from lineglass.sources.sinks import write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,6 +117,37 @@ def tree_source(spark, sf):
     return batch.unionByName(arrived.withColumn("how", F.lit("stream")))
 
 
+REVISED = "CASE WHEN k % 7 = 0 THEN '' WHEN k % 3 = 0 THEN content || {nl} || 'password = ''revised-' || k || '''' ELSE content END"
+
+
+def revisions(files: DataFrame) -> list[DataFrame]:
+    """Three arrivals of the files: all of them, a seventh emptied, a third changed."""
+    k = F.regexp_extract("path", "/d([0-9]+)[^/]*$", 1).cast("long")
+    first = files.withColumn("version", F.lit(1))
+    changed = files.where(k % 3 == 0).withColumn(
+        "content", F.concat("content", F.lit("\npassword = 'revised-"), k.cast("string"), F.lit("'"))
+    ).withColumn("version", F.lit(2))
+    emptied = files.where(k % 7 == 0).withColumn("content", F.lit("")).withColumn("version", F.lit(3))
+    return [first, emptied, changed]
+
+
+@query("stream_revisions", s.with_(
+    f"SELECT {FIELDS} FROM findings",
+    files=f"SELECT project, path, {REVISED.format(nl=s.NL)} AS content, family FROM "
+          f"(SELECT *, CAST(regexp_extract(path, '/d([0-9]+)[^/]*$', 1) AS BIGINT) AS k FROM ({s.review_files()}))",
+    lines=s.lines(), findings=s.rule_findings(r.ALL_RULES)))
+def stream_revisions(spark, sf):
+    """Files arrive three times out of order on a stream; the signed findings add up to the last versions' review."""
+    schema = "project string, path string, content string, version long"
+    inbox, out, marks = fresh_path(spark, "inbox"), fresh_path(spark, "revised"), fresh_path(spark, "revised_marks")
+    for k, arrival in enumerate(revisions(c.review_files(spark, sf))):
+        arrival.select("project", "path", "content", "version").write.parquet(f"{inbox}/{k}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(inbox)
+        arrivals.drain(revision.revised_findings(stream), out, marks)
+    signed = spark.read.schema(revision.SIGNED).parquet(out)
+    return revision.current_findings(signed).select(*FIELD_COLUMNS)
+
+
 @query("scan_single", s.with_(
     f"SELECT project, path, content, {s.language()} AS language FROM files WHERE path = (SELECT min(path) FROM files)",
     files=s.tree_files()))
