@@ -52,10 +52,10 @@ def test_query_has_its_columns(spark, name):
         assert df.count() == table(spark, SF, "documents").count()
 
 
-def test_all_eleven_are_registered():
+def test_all_fourteen_are_registered():
     names = [n for n in entry.queries() if OWN.match(n)]
-    assert {n.split("_")[0] for n in names} == {*(f"op{k}" for k in range(1, 11)), "pipeline"}
-    assert len(names) == 11
+    assert {n.split("_")[0] for n in names} == {*(f"op{k}" for k in range(1, 14)), "pipeline"}
+    assert len(names) == 14
 
 
 def test_stages_work_on_what_came_before(spark):
