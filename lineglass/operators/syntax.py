@@ -18,6 +18,9 @@ NODE_SCHEMA = (
 )
 
 
+PART_ROWS = 2_000  # node rows that a parser gathers before it hands them out
+
+
 def _parser(keep: tuple):
     """Build the batch function; it only uses what it imports itself, so executors need no package."""
 
@@ -73,19 +76,34 @@ def _parser(keep: tuple):
                 stack.append((child, owners, False))
         return rows
 
-    names = ["kind", "pre", "post", "bfs", "owners", "name", "line", "col", "weight", "n_args",
-             "mutable_default", "parse_error_msg"]
-
     def parse(batches):
-        import pandas as pd
-
+        import pyarrow as pa
+
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.string(), pa.int32(),
+                 pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string()]
+        names = ["project", "path", *keep, "kind", "pre", "post", "bfs", "owners", "name", "line", "col", "weight",
+                 "n_args", "mutable_default", "parse_error_msg"]
+
+        def made(batch, files, rows):
+            files = pa.array(files, pa.int64())
+            held = [batch.column(c).take(files).cast(t) for c, t in (("project", pa.string()), ("path", pa.string()))]
+            held += [batch.column(c).take(files).cast(pa.int32()) for c in keep]
+            cells = zip(*rows)
+            return pa.RecordBatch.from_arrays([*held, *(pa.array(list(c), t) for c, t in zip(cells, kinds))], names)
+
+        # Texts become Python objects one at a time and rows leave by the part, so memory
+        # holds a part's rows however many files a batch has.
         for batch in batches:
-            parsed = [node_rows(t) for t in batch["content"]]
-            counts = [len(p) for p in parsed]
-            out = pd.DataFrame([r for p in parsed for r in p], columns=names)
-            for column in ("project", "path", *keep):
-                out[column] = batch[column].repeat(counts).to_numpy()
-            yield out
+            content, files, rows = batch.column("content"), [], []
+            for k in range(batch.num_rows):
+                parsed = node_rows(content[k].as_py())
+                rows += parsed
+                files += [k] * len(parsed)
+                if len(rows) >= PART_ROWS:
+                    yield made(batch, files, rows)
+                    files, rows = [], []
+            if rows:
+                yield made(batch, files, rows)
 
     return parse
 
@@ -98,7 +116,7 @@ def python_nodes(files: DataFrame, keep: tuple = ()) -> DataFrame:
     ``keep`` names integer input columns repeated on every row of the file.
     """
     schema = NODE_SCHEMA.format(keep="".join(f"{k} int, " for k in keep))
-    return files.select("project", "path", *keep, "content").mapInPandas(_parser(keep), schema)
+    return files.select("project", "path", *keep, "content").mapInArrow(_parser(keep), schema)
 
 
 def _owned(nodes: DataFrame, *kinds: str) -> DataFrame:

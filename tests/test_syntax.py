@@ -124,3 +124,18 @@ def test_maintainability_bounds(spark, files):
 
     one = round((171 - 21.4 * math.log(2) - 0.23) * 100 / 171, 1)
     assert got == {"empty.py": (0.0, 100.0), "bad.py": (0.0, 0.0), "one.py": (0.0, one), "big.py": (0.0, 0.0)}
+
+
+def test_node_rows_leave_by_the_part():
+    """A batch of many files is not gathered whole before its rows leave."""
+    pa = pytest.importorskip("pyarrow")
+    code = "def f(a=[]):\n    if a: pass\n"
+    texts = [code] * 3000 + [None, "def (\n"]
+    batch = pa.RecordBatch.from_pydict(
+        {"project": ["p"] * len(texts), "path": [str(k) for k in range(len(texts))], "n": list(range(len(texts))), "content": texts}
+    )
+    parts = list(syntax._parser(("n",))(iter([batch])))
+    assert len(parts) > 3 and max(p.num_rows for p in parts) <= syntax.PART_ROWS + 3
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert [r["kind"] for r in rows if r["path"] in ("7", "3000", "3001")] == ["module", "function", "decision", "skipped", "error"]
+    assert all(str(r["n"]) == r["path"] for r in rows) and len(rows) == 9002
