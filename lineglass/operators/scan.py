@@ -141,14 +141,14 @@ cloudpickle.register_pickle_by_value(anchors)
 
 
 def _woken(wakers: dict):
-    """Slots of the rules of a line's family whose anchors the line holds."""
+    """Numbers of the patterns of a line's family whose literals the line holds."""
 
     @pandas_udf("array<int>")
     def woken(family: pd.Series, line: pd.Series) -> pd.Series:
         out = []
         for f, text in zip(family, line):
             waker = wakers.get(f)
-            out.append(waker.woken(text or "") if waker is not None else [])
+            out.append(waker.met(text or "") if waker is not None else [])
         return pd.Series(out)
 
     return woken
@@ -161,8 +161,8 @@ def scan_rule_table(lines: DataFrame, rules: DataFrame, wake: bool = True) -> Da
     Patterns are in Java syntax and taken as they are. The table is configuration. Each
     pattern is read for literals that all its matches hold, and one Aho-Corasick
     automaton a family over all of them wakes, for each line, the rules that it may
-    match; only those are tried, by Java's own matcher. Patterns without such literals
-    are tried on every line. A table of any size is one pass over the lines, with no join
+    match; only those are tried, by Java's own matcher, a pattern that several rules share
+    once. Patterns without such literals are tried on every line. A table of any size is one pass over the lines, with no join
     and no shuffle. ``wake=False`` tries every rule on every line, the plain path with the
     same findings. Rows without a family, number or pattern are left out; an empty table
     gives no rows.
@@ -175,21 +175,37 @@ def scan_rule_table(lines: DataFrame, rules: DataFrame, wake: bool = True) -> Da
     ]
     if not made:
         return scan_rules(lines, [LONG_LINE]).where(F.lit(False))
-    java = [("(?diu)" if r.ignore_case else "(?d)") + r.pattern for r in made]
-    patterns = f"array({', '.join(sql_text(p) for p in java)})"
-    families = f"array({', '.join(sql_text(r.family) for r in made)})"
+    # Rules of one family and pattern are tried together, once a line.
+    same: dict[tuple, list[int]] = {}
+    for slot, r in enumerate(made, 1):
+        same.setdefault((r.family, ("(?diu)" if r.ignore_case else "(?d)") + r.pattern, r.pattern), []).append(slot)
+    by_family: dict[str, dict[int, str]] = {}
+    for number, (family, _, pattern) in enumerate(same, 1):
+        by_family.setdefault(family, {})[number] = pattern
+    java = [p for _, p, _ in same]
+    patterns = f"array({', '.join(map(sql_text, java))})"
+    slots = f"array({', '.join(f"array({', '.join(map(str, x))})" for x in same.values())})"
+    per_family = lambda of: "CASE family " + " ".join(
+        f"WHEN {sql_text(f)} THEN {of(numbers)}" for f, numbers in by_family.items()
+    ) + " ELSE CAST(array() AS array<int>) END"
     prepared = lines.filter(~F.col("skipped")).select("project", "path", "family", "line_no", "line")
+    always: dict[str, list[int]] = {}
     if wake:
-        by_family: dict[str, dict[int, str]] = {}
-        for slot, r in enumerate(made, 1):
-            by_family.setdefault(r.family, {})[slot] = r.pattern
         wakers = {family: Waker(p) for family, p in by_family.items()}
+        always = {family: w.always for family, w in wakers.items() if w.always}
         candidates = _woken(wakers)(F.col("family"), F.col("line"))
     else:
-        candidates = F.sequence(F.lit(1), F.lit(len(made)))
+        candidates = F.expr(per_family(lambda numbers: f"array({', '.join(map(str, numbers))})"))
+    # Patterns that no literal wakes are constants of the plan, compiled once a task.
+    tested = " ".join(
+        f"WHEN {sql_text(f)} THEN array_remove(array({', '.join(f'IF(line RLIKE {sql_text(java[n - 1])}, {n}, 0)' for n in numbers)}), 0)"
+        for f, numbers in always.items()
+    )
+    found = f"filter(_woken, n -> line RLIKE element_at({patterns}, n))"
+    if tested:
+        found = f"concat({found}, CASE family {tested} ELSE CAST(array() AS array<int>) END)"
     tried = prepared.withColumn("_woken", candidates).withColumn(
-        "_hits",
-        F.expr(f"filter(_woken, s -> element_at({families}, s) = family AND line RLIKE element_at({patterns}, s))"),
+        "_hits", F.expr(f"flatten(transform({found}, n -> element_at({slots}, n)))")
     )
     matched = tried.select("project", "path", "line_no", "line", F.explode("_hits").alias("slot"))
     return _rendered(matched.withColumn("r", F.expr(f"element_at({_rule_rows(made)}, slot)")))

@@ -76,3 +76,14 @@ def test_waker_alone():
     assert w.woken("ABC") == [1, 2]
     assert w.woken("zz yz") == [2, 3]
     assert Waker({}).woken("abc") == []
+
+
+def test_the_catalogue_in_java_syntax_wakes_by_literals():
+    """Classes written as numbered characters must not put a pattern on every line."""
+    from lineglass.functions.rules import LINE_RULES
+    from lineglass.functions.text import java_regex
+
+    patterns = [java_regex(r.pattern).removeprefix("(?d)") for r in LINE_RULES]
+    assert [r.key for r, p in zip(LINE_RULES, patterns) if anchors(p) is None] == ["W008"]
+    assert anchors(r"\x41bcd[\p{L}]x") == {"bcd"} and anchors(r"[\x{61}-\x{7a}][\p{L}]+") is None
+    assert Waker({1: r"if\s*\(.*="}).woken("if so, gift") == [] and Waker({1: r"if\s*\(.*="}).woken("IF (a=") == [1]
