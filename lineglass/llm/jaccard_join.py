@@ -1,39 +1,40 @@
-"""Similarity join of word-shingle sets by Jaccard, exact, by universe-partition pigeonhole.
+"""Similarity join of word-shingle sets by Jaccard, exact, by the pigeonhole on rare shingles.
 
 A document's set is its distinct shingles of ``width`` words (A-Z lower-cased, words are
 runs of characters other than space and tab to carriage return); with fewer words the
 whole sequence is one shingle, without words the set is empty and linked with nothing.
 Two sets link when ``100 * |r & s| >= percent * |r | s|``. The result gives every row its
-set size and the least doc_id of its component.
-
-Method. Equal sets are one node (the least doc_id), so copies are never paired. Nodes are
-dealt into size bands whose ends grow by ``100 / percent``; a pair whose smaller set lies in
-band k is searched in scheme k, which holds bands k and k + 1. For sets r <= s that link,
-``|r ^ s| <= |r| * (100 - percent) / percent``, so at most ``tau_k`` for band k; scheme k hashes
-the universe of shingles into ``tau_k + 1`` segments, and by pigeonhole a linked pair agrees
-exactly in some segment. A segment's key is the XOR of its shingles' mixed hashes, so the
-key of the segment with one shingle deleted is one XOR away: every node is indexed by all
-its segment keys and all one-deletion neighbours.
-
-Cost-based allocation: a probe may skip a segment (threshold -1) when it pays with a
-deletion neighbourhood (threshold 1) in another, since ``sum(threshold + 1) >= tau + 1`` keeps
-the pigeonhole. Costs are key frequencies: keys held by more than ``1 / HEAVY_ROWS`` of all
-entries are known by name (a broadcast of at most ``HEAVY_ROWS`` rows), all others count 1.
-Each probe swaps its hottest segments for the cheapest upgrades while that lowers cost.
-
-Candidates are met in two rounds and always verified exactly on the 64-bit shingle hashes:
-first every probe meets the least node of each key it probes (a star); then, after
-components are formed, only pairs of different components that share a probed key are
-verified, and a key's largest component is never paired with itself. Heavy keys are salted
-over ``SALTS`` tasks. Shingles are compared by 64-bit hashes, which no two real shingles of a
-corpus share.
-
-Odd rows: a null text is empty; a null doc_id gets its set size and a null component and is
-never linked; repeated rows and equal texts share a node and a component; rows of one
-doc_id and different texts are separate nodes; an empty table gives an empty table; other
-input columns are ignored, whatever their names.
+set size, the least doc_id of its component and the number of other sets it links with.
+
+Method. Equal sets are one node, named by the set's signature, so copies are never paired.
+Linked sets share at least ``ceil(percent * n / 100)`` shingles of either, so by pigeonhole
+any ``n - that + 1`` shingles of one hold a shingle of the other; taken first in one order
+of all shingles, those of both sets share one. Only these are keys, a fifth of the set at 80
+percent. Any order is exact; hashes are the order, but shingles that fall in a slot with one
+that a sample of about ``SAMPLE`` shingles shows often (``FREQUENT`` at most, a constant of
+``SLOTS`` bytes) come last, so that a passage of many documents is no key.
+
+Links are met in three steps and always verified exactly on the 64-bit shingle hashes.
+First every node meets the least node of each of its keys (a star). Then, after components
+are formed, nodes of different components that share enough keys are met; a key's largest
+component is never paired with itself. That settles the components. Since every link lies in
+a component, last all sets of a component that has more than two are compared: its nodes are
+dealt by size band (whose ends grow by ``100 / percent``, so that linked sets are at most
+one band apart) into blocks of about ``BLOCK`` shingles, a task compares two blocks, and only
+counts leave it. So no link is left out, and a group of near copies makes no table of pairs.
+
+The sets are stored once and never shuffled as a whole: a bitmap of a fixed size picks the
+sets of the nodes that a step needs, and only these move. Shingles are compared by 64-bit
+hashes, which no two real shingles of a corpus share.
+
+Odd rows: a null text is empty; a null doc_id links like others, but never names a component
+(null if no other doc_id does); repeated rows and equal texts share a node and a component;
+rows of one doc_id and different texts are separate nodes; an empty table gives an empty
+table; other input columns are ignored, whatever their names.
 """
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,7 +45,10 @@ from lineglass.llm.components import components
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HEAVY_ROWS = 100_000  # bound of every broadcast table of hot keys
-SALTS = 32  # tasks a heavy key is dealt over
+SAMPLE = 3_000_000  # shingles counted to order the frequent ones
+FREQUENT, SLOTS = 25_000, 1 << 18  # frequent shingles that come last, and the slots that tell them
+BLOCK = 1_000_000  # shingles of a block of sets that one task compares with another
+BITS, WORD_BITS = 1 << 26, 1 << 15  # bits of the map of needed sets, and of one of its rows
 
 
 def words_of(text: Column) -> Column:
@@ -53,14 +57,14 @@ def words_of(text: Column) -> Column:
 
 
 def shingle_set(words: Column, width: int) -> Column:
-    """Distinct 64-bit hashes of the ``width``-word shingles of a column of words.
+    """Distinct 64-bit hashes of the ``width``-word shingles of an array of words' hashes, sorted.
 
     ``words`` should be a column, not an expression: the lambda reads it once a shingle.
     """
     n = F.size(words)
-    windows = F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.array_join(F.slice(words, i, width), " "))
-    shingles = F.when(n == 0, F.array().cast("array<string>")).when(n < width, F.array(F.array_join(words, " ")))
-    return F.array_distinct(F.transform(shingles.otherwise(windows), lambda s: F.xxhash64(s)))
+    windows = F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.xxhash64(F.slice(words, i, width)))
+    whole = F.when(n == 0, F.array().cast("array<bigint>")).when(n < width, F.array(F.xxhash64(words)))
+    return F.sort_array(F.array_distinct(whole.otherwise(windows)))
 
 
 def bands(percent: int, largest: int) -> list[tuple[int, int, int, int]]:
@@ -89,186 +93,214 @@ def _lookup(left: DataFrame, right: DataFrame, keys: list[str], count: str) -> D
     return hot.unionByName(cold)
 
 
-def _nodes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with their set's signature, and one node a distinct non-empty set."""
-    worded = docs.select("doc_id", words_of(F.col("text")).alias("_words"))
+def _rows(docs: DataFrame, width: int) -> DataFrame:
+    """Every row with its set, its size and the set's signature, stored."""
+    words = F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w))
+    worded = docs.select("doc_id", words.alias("_words"))
     rows = worded.select("doc_id", shingle_set(F.col("_words"), width).alias("set"))
-    rows = stored(rows.withColumn("size", F.size("set").cast("long")), "jaccard_sets")
-    signed = rows.withColumn("sig", F.xxhash64(F.array_sort("set")))
-    nodes = (
-        signed.where("size > 0 AND doc_id IS NOT NULL")
-        .groupBy("sig", "size")
-        .agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows"), F.first("set").alias("set"))
-    )
-    return signed.drop("set"), stored(nodes, "jaccard_nodes")
+    sized = rows.withColumn("size", F.size("set").cast("long")).withColumn("sig", F.xxhash64("set"))
+    return stored(sized, "jaccard_sets")
 
 
-def _entries(nodes: DataFrame, band_table: DataFrame) -> DataFrame:
-    """Segment keys and one-deletion keys of every node in the two schemes it belongs to.
-
-    Rows ``node, size, scheme, seg, key, kind`` with kind 'E' (a segment, empty ones
-    included, whose key is 0) or 'D' (a segment less one shingle).
-    """
-    placed = nodes.join(
-        F.broadcast(band_table.select("band", "low", "high")), (F.col("size") >= F.col("low")) & (F.col("size") < F.col("high"))
-    )
-    schemes = placed.select(
-        "node", "size", F.explode(F.array_distinct(F.array("band", F.greatest(F.col("band") - 1, F.lit(0))))).alias("scheme"), "set"
-    )
-    sized = schemes.join(F.broadcast(band_table.select(F.col("band").alias("scheme"), "segments")), "scheme")
-    segment = lambda h: F.pmod(F.xxhash64(h, F.col("scheme")), F.col("segments")).cast("int")
-    tokens = sized.select("node", "size", "scheme", "segments", F.explode("set").alias("h"))
-    tokens = tokens.select("node", "size", "scheme", segment(F.col("h")).alias("seg"), F.xxhash64("h", F.lit("mix")).alias("mix"))
-    segs = tokens.groupBy("node", "size", "scheme", "seg").agg(F.bit_xor("mix").alias("key"), F.collect_list("mix").alias("mixes"))
-    full = segs.select("node", "size", "scheme", "seg", "key", F.lit("E").alias("kind"))
-    less = segs.select("node", "size", "scheme", "seg", "key", F.explode("mixes").alias("gone")).select(
-        "node", "size", "scheme", "seg", F.col("key").bitwiseXOR(F.col("gone")).alias("key"), F.lit("D").alias("kind")
-    )
-    held = F.array_distinct(F.transform("set", segment))
-    empty = sized.select(
-        "node", "size", "scheme", F.explode(F.array_except(F.sequence(F.lit(0), F.col("segments") - 1), held)).alias("seg")
-    ).select("node", "size", "scheme", "seg", F.lit(0).cast("long").alias("key"), F.lit("E").alias("kind"))
-    return full.unionByName(less).unionByName(empty)
+def _nodes(rows: DataFrame) -> DataFrame:
+    """One node a distinct set that is not empty: ``sig, size``, its least doc_id and its rows."""
+    sets = rows.where("size > 0").groupBy("sig", "size")
+    return stored(sets.agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows")), "jaccard_nodes")
 
 
-def _allocated(entries: DataFrame, band_of: DataFrame) -> DataFrame:
-    """The probe entries of every node in its own band's scheme, after cost-based allocation.
+def _sets_of(rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """``sig, set`` of the needed signatures, stored; sets of others are not shuffled.
 
-    Rows ``node, size, scheme, seg, key, probe`` where probe 'E' matches index 'E' (and index
-    'D' when the segment is upgraded, ``upgraded``), and probe 'D' matches index 'E'.
+    A bitmap of ``BITS`` bits, a broadcast of that size at most, lets few others through.
     """
-    own = entries.join(band_of, "node").where(F.col("scheme") == F.col("band")).drop("band")
-    freq = entries.groupBy("scheme", "seg", "key", "kind").agg(F.count(F.lit(1)).alias("n"))
-    total = freq.agg(F.sum("n")).first()[0] or 0
-    heavy = F.broadcast(freq.where(F.col("n") > max(1, total // HEAVY_ROWS)))
-    hot_e = heavy.where("kind = 'E'").select("scheme", "seg", "key", F.col("n").alias("ce"))
-    hot_d = heavy.where("kind = 'D'").select("scheme", "seg", "key", F.col("n").alias("cd"))
-    costed = own.join(hot_e, ["scheme", "seg", "key"], "left").join(hot_d, ["scheme", "seg", "key"], "left")
-    costed = costed.withColumn("ce", F.coalesce("ce", F.lit(1))).withColumn("cd", F.coalesce("cd", F.lit(0)))
-    exact = F.sum(F.when(F.col("kind") == "E", F.col("ce")).otherwise(0))
-    wider = F.sum(F.when(F.col("kind") == "E", F.col("ce") + F.col("cd")).otherwise(F.col("ce")))
-    cost = costed.groupBy("node", "scheme", "seg").agg(exact.alias("c0"), wider.alias("c1"))
-    per = W.partitionBy("node", "scheme")
-    ranked = cost.withColumn("m", F.count(F.lit(1)).over(per)).withColumn(
-        "hot_rank", F.row_number().over(per.orderBy(F.desc("c0"), "seg"))
-    )
-    hot = ranked.where(F.col("hot_rank") <= F.floor(F.col("m") / 2))
-    rest = ranked.where(F.col("hot_rank") > F.floor(F.col("m") / 2))
-    rest = rest.withColumn("cheap_rank", F.row_number().over(per.orderBy(F.col("c1") - F.col("c0"), "seg")))
-    pairs = hot.select("node", "scheme", F.col("hot_rank").alias("j"), F.col("seg").alias("skip"), F.col("c0").alias("saved")).join(
-        rest.select("node", "scheme", F.col("cheap_rank").alias("j"), F.col("seg").alias("up"), (F.col("c1") - F.col("c0")).alias("paid")),
-        ["node", "scheme", "j"],
+    place = F.pmod(F.col("sig"), F.lit(BITS))
+    bucket, bit = F.floor(place / WORD_BITS).cast("int"), (place % WORD_BITS).cast("int")
+    maps = needed.select(bucket.alias("_bucket"), bit.cast("long").alias("_bit")).groupBy("_bucket")
+    maps = maps.agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    byte = F.conv(F.hex(F.expr("substring(_map, _bit div 8 + 1, 1)")), 16, 10).cast("int")
+    held = byte.bitwiseAND(F.expr("shiftleft(1, _bit % 8)")) != 0
+    marked = rows.select("sig", "set", bucket.alias("_bucket"), bit.alias("_bit"))
+    kept = marked.join(F.broadcast(maps), "_bucket").where(held)
+    once = kept.groupBy("sig").agg(F.first("set").alias("set"))
+    return stored(once.join(needed.select("sig").distinct(), "sig", "left_semi"), "jaccard_needed")
+
+
+def _frequent(rows: DataFrame) -> bytearray:
+    """A byte for every slot of shingles: 1 if several sampled sets hold a shingle of the slot."""
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    one_in = max(1, -(-total // SAMPLE))
+    sampled = rows.where(F.pmod(F.xxhash64("sig", F.lit("sample")), F.lit(one_in)) == 0)
+    counts = sampled.dropDuplicates(["sig"]).select(F.explode("set").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.where("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).select(F.pmod("h", F.lit(SLOTS)).alias("slot"))
+    slots = bytearray(SLOTS)
+    for r in top.collect():
+        slots[r["slot"]] = 1
+    return slots
+
+
+def _keys(frequent: bytearray, percent: int) -> Column:
+    """The first shingles of a set, so many that linked sets share one: those of frequent slots last."""
+    wanted = F.col("size") - F.floor((percent * F.col("size") + 99) / 100) + 1
+    if not any(frequent):
+        return F.slice("set", F.lit(1), wanted.cast("int"))
+    late = lambda h: F.substring(F.lit(bytes(frequent)), (F.pmod(h, F.lit(SLOTS)) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01")
+    return F.slice(F.concat(F.filter("set", lambda h: ~late(h)), F.filter("set", late)), F.lit(1), wanted.cast("int"))
+
+
+def _index(rows: DataFrame, percent: int) -> DataFrame:
+    """``key, sig, size`` for every key that two nodes or more hold, with the key's least node."""
+    keyed = rows.where("size > 0").select("sig", "size", _keys(_frequent(rows), percent).alias("keys"))
+    once = keyed.groupBy("sig", "size").agg(F.first("keys").alias("keys"))
+    entries = once.select("sig", "size", F.explode("keys").alias("key"))
+    of_key = W.partitionBy("key")
+    met = entries.withColumn("low", F.min(F.struct("sig", "size")).over(of_key)).withColumn("high", F.max("sig").over(of_key))
+    kept = met.where(F.col("low.sig") != F.col("high")).select(
+        "key", "sig", "size", F.col("low.sig").alias("low"), F.col("low.size").alias("low_size")
     )
-    swaps = pairs.where(F.col("saved") > F.col("paid"))
-    skipped = swaps.select("node", "scheme", F.col("skip").alias("seg"), F.lit(-1).alias("threshold"))
-    upgraded = swaps.select("node", "scheme", F.col("up").alias("seg"), F.lit(1).alias("threshold"))
-    plan = skipped.unionByName(upgraded)
-    allotted = own.join(plan, ["node", "scheme", "seg"], "left").withColumn("threshold", F.coalesce("threshold", F.lit(0)))
-    return allotted.where(
-        (F.col("threshold") >= 0) & ((F.col("kind") == "E") | (F.col("threshold") == 1))
-    ).select("node", "size", "scheme", "seg", "key", F.col("kind").alias("probe"), (F.col("threshold") == 1).alias("upgraded"))
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` whose sets link."""
-    sets = nodes.select("node", "set", "size")
-    left = pairs.join(sets.withColumnRenamed("node", "a").withColumnRenamed("set", "sa").withColumnRenamed("size", "na"), "a")
-    both = left.join(sets.withColumnRenamed("node", "b").withColumnRenamed("set", "sb").withColumnRenamed("size", "nb"), "b")
-    inter = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * inter >= percent * (F.col("na") + F.col("nb") - inter)).select("a", "b")
-
-
-def _sized(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes allow the threshold, each once."""
-    small, large = F.least("na", "nb"), F.greatest("na", "nb")
-    return pairs.where((F.col("a") != F.col("b")) & (100 * small >= percent * large)).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    ).distinct()
-
+    return stored(kept, "jaccard_index")
 
-def _matches(probes: DataFrame, index: DataFrame) -> DataFrame:
-    """Probe and index entries that the pigeonhole pairs, joined on (scheme, seg, key)."""
-    rule = (F.col("probe") == "D") & (F.col("kind") == "E") | (F.col("probe") == "E") & (
-        (F.col("kind") == "E") | F.col("upgraded") & (F.col("kind") == "D")
-    )
-    return probes.join(index, ["scheme", "seg", "key", "_salt"]).where(rule)
 
+def _sized(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` whose sizes and common keys allow the threshold; ``met`` has a row a common key.
 
-def _salted(probes: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Deal heavy keys over ``SALTS`` tasks: index rows by a hash, probe rows to every salt."""
-    keys = ["scheme", "seg", "key"]
-    freq = index.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    total = freq.agg(F.sum("n")).first()[0] or 0
-    heavy = F.broadcast(freq.where(F.col("n") > max(SALTS, total // HEAVY_ROWS)).select(*keys, F.lit(True).alias("_heavy")))
-    index = index.join(heavy, keys, "left").withColumn(
-        "_salt", F.when(F.col("_heavy"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0)
+    What two sets share beyond the keys of the one whose keys end first is at most what
+    that one has left, so pairs of like size need many common keys.
+    """
+    small, large = F.least("na", "nb"), F.greatest("na", "nb")
+    fit = met.where((F.col("a") != F.col("b")) & (100 * small >= percent * large))
+    counted = fit.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(
+        F.count(F.lit(1)).alias("keys"), F.max(F.col("na") + F.col("nb")).alias("n"), F.max(large).alias("large")
     )
-    probes = probes.join(heavy, keys, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    enough = F.expr(f"(100 + {percent}) * (keys + ({percent} * large + 99) div 100 - 1) >= {percent} * n")
+    return stored(counted.where(enough).select(F.col("x").alias("a"), F.col("y").alias("b")), "jaccard_met")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` whose sets link, stored."""
+    sigs = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig")))
+    sets = _sets_of(rows, sigs)
+    left = pairs.join(sets.select(F.col("sig").alias("a"), F.col("set").alias("sa")), "a")
+    both = left.join(sets.select(F.col("sig").alias("b"), F.col("set").alias("sb")), "b")
+    sized = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("n"))
+    return stored(sized.where(F.expr(f"100 * i >= {percent} * (n - i)")).select("a", "b"), "jaccard_links")
+
+
+def _spanning(rows: DataFrame, percent: int) -> DataFrame:
+    """Verified links that connect every component; not all links within one."""
+    index = _index(rows, percent)
+    star = index.select(F.col("sig").alias("a"), F.col("size").alias("na"), F.col("low").alias("b"), F.col("low_size").alias("nb"))
+    first = _verified(_sized(star, percent), rows, percent)
+    roots = stored(components(first).withColumnRenamed("node", "sig"), "jaccard_roots")
+
+    # Pairs across components only; a key's largest component is never paired with itself.
+    placed = index.select("key", "sig", "size").join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    counts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    major = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots"))
+    major = major.where("roots > 1").select("key", F.col("top.root").alias("major"))
+    open_keys = stored(placed.join(major, "key"), "jaccard_open")
+    side = lambda x: open_keys.select(
+        "key", F.col("sig").alias(x), F.col("size").alias(f"n{x}"), F.col("root").alias(f"r{x}"), (F.col("root") == F.col("major")).alias(f"m{x}")
     )
-    return probes.drop("_heavy"), index.drop("_heavy")
+    # Each pair is met once a key, so that its common keys can be counted.
+    across = side("a").where("NOT ma").join(side("b"), "key").where("ra <> rb AND (mb OR a < b)")
+    second = _verified(_sized(across, percent), rows, percent)
+    return first.unionByName(second)
+
+
+def _compared(percent: int, pairs: bool):
+    """Compares the sets of one or two blocks: all links, or each set's number of them."""
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        sides, sigs = group["side"].to_numpy(), group["sig"].to_numpy("int64")
+        left, right = np.flatnonzero(sides != 2), np.flatnonzero(sides != 1)
+        sets = group["set"].to_list()
+        sizes = np.array([len(s) for s in sets], "int64")
+        tokens = np.concatenate([sets[k] for k in right])
+        order = np.argsort(tokens, kind="stable")
+        tokens, owners = tokens[order], np.repeat(np.arange(len(right)), sizes[right])[order]
+        found, degree = [], np.zeros(len(sets), "int64")
+        for k in left:
+            start, end = np.searchsorted(tokens, sets[k], "left"), np.searchsorted(tokens, sets[k], "right")
+            held = end - start
+            places = np.arange(held.sum()) + np.repeat(start - np.cumsum(held) + held, held)
+            shared = np.bincount(owners[places], minlength=len(right))
+            linked = right[100 * shared >= percent * (sizes[k] + sizes[right] - shared)]
+            # Within a block (side 0) each pair is met from both ends.
+            linked = linked[(sides[linked] != 0) | (linked > k)]
+            degree[k] += len(linked)
+            degree[linked] += 1
+            found += [(sigs[k], sigs[x]) for x in linked] if pairs else []
+        if pairs:
+            return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        return pd.DataFrame({"sig": sigs[degree > 0], "n": degree[degree > 0]})
+
+    return compare
+
+
+def _within(rows: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int, pairs: bool) -> DataFrame:
+    """All links ``a, b`` of the components of three nodes or more, or ``sig, n``, their number a set."""
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    largest = nodes.agg(F.max("size")).first()[0] or 0
+    table = nodes.sparkSession.createDataFrame(bands(percent, largest), "band int, low long, high long, segments int")
+    members = _lookup(roots, sizes, ["root"], "n").select("sig", "root").join(nodes.select("sig", "size"), "sig")
+    inside = (F.col("size") >= F.col("low")) & (F.col("size") < F.col("high"))
+    members = stored(members.join(F.broadcast(table), inside).select("sig", "root", "size", "band"), "jaccard_members")
+    blocks = members.groupBy("root", "band").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"))
+    blocks = stored(blocks, "jaccard_blocks")
+    beside = lambda d, name: blocks.select("root", (F.col("band") - d).alias("band"), F.col("blocks").alias(name))
+    around = blocks.join(beside(-1, "below"), ["root", "band"], "left").join(beside(1, "above"), ["root", "band"], "left")
+    dealt = _lookup(members, around, ["root", "band"], "n").withColumn("i", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    # A task compares two blocks of one band, a block with itself, or blocks of bands side by side.
+    tasks = """concat(
+        transform(sequence(0, blocks - 1), j -> struct(band as lo, band as hi, least(i, j) as i, greatest(i, j) as j,
+            if(i = j, 0, if(i < j, 1, 2)) as side)),
+        if(above is null, array(), transform(sequence(0, above - 1), j -> struct(band as lo, band + 1 as hi, i as i, j as j, 1 as side))),
+        if(below is null, array(), transform(sequence(0, below - 1), j -> struct(band - 1 as lo, band as hi, j as i, i as j, 2 as side))))"""
+    sent = dealt.select("sig", "root", F.explode(F.expr(tasks)).alias("t")).select("sig", "root", "t.*")
+    sets = _sets_of(rows, members.select("sig"))
+    grouped = sent.join(sets, "sig").groupBy("root", "lo", "hi", "i", "j")
+    found = grouped.applyInPandas(_compared(percent, pairs), "a long, b long" if pairs else "sig long, n long")
+    return found if pairs else found.groupBy("sig").agg(F.sum("n").alias("n"))
 
 
 def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows with signature and size, the nodes, and the verified links between nodes."""
-    rows, nodes = _nodes(docs, width)
-    largest = nodes.agg(F.max("size")).first()[0] or 0
-    band_table = nodes.sparkSession.createDataFrame(bands(percent, largest), "band int, low long, high long, segments int")
-    entries = stored(_entries(nodes, band_table), "jaccard_entries")
-    band_of = nodes.join(
-        F.broadcast(band_table), (F.col("size") >= F.col("low")) & (F.col("size") < F.col("high"))
-    ).select("node", "band")
-    probes = stored(_allocated(entries, band_of), "jaccard_probes")
-    index = entries.select("node", "size", "scheme", "seg", "key", "kind")
-    probes, index = _salted(probes, index)
-    p = probes.select(F.col("node").alias("a"), F.col("size").alias("na"), "scheme", "seg", "key", "probe", "upgraded", "_salt")
-    i = index.select(F.col("node").alias("b"), F.col("size").alias("nb"), "scheme", "seg", "key", "kind", "_salt")
-
-    # Round one: every probe meets the least node of each key it probes.
-    least = i.groupBy("scheme", "seg", "key", "kind", "_salt").agg(F.min(F.struct("b", "nb")).alias("m"))
-    least = least.select("scheme", "seg", "key", "kind", "_salt", F.col("m.b").alias("b"), F.col("m.nb").alias("nb"))
-    star = _sized(_matches(p, least).select("a", "b", "na", "nb"), percent)
-    first = stored(_verified(star, nodes, percent), "jaccard_star")
-    roots = stored(components(first), "jaccard_roots")
-
-    # Round two: pairs across components only; a key's largest component is never paired with itself.
-    comp = lambda df, col: df.join(
-        roots.select(F.col("node").alias(col), F.col("root").alias(f"{col}_root")), col, "left"
-    ).withColumn(f"{col}_root", F.coalesce(f"{col}_root", col))
-    pc, ic = comp(p, "a"), comp(i, "b")
-    keys = ["scheme", "seg", "key", "_salt"]
-    sizes = ic.groupBy(*keys, "b_root").agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.groupBy(*keys).agg(F.max(F.struct("n", "b_root")).alias("t")).select(*keys, F.col("t.b_root").alias("major"))
-    pc, ic = pc.join(top, keys, "left"), ic.join(top, keys, "left")
-    minor_probes = pc.where(~F.col("a_root").eqNullSafe(F.col("major")))
-    major_probes = pc.where(F.col("a_root").eqNullSafe(F.col("major"))).drop("major")
-    minor_index = ic.where(~F.col("b_root").eqNullSafe(F.col("major"))).drop("major")
-    across = _matches(minor_probes.drop("major"), ic.drop("major")).unionByName(_matches(major_probes, minor_index))
-    across = across.where(F.col("a_root") != F.col("b_root")).select("a", "b", "na", "nb")
-    second = _verified(_sized(across, percent), nodes, percent)
-    return rows, nodes, first.unionByName(second)
+    """Rows with signature and size, the nodes, and every link between two nodes, by signature."""
+    rows = _rows(docs, width)
+    nodes = _nodes(rows)
+    found = _spanning(rows, percent)
+    roots = stored(components(found).withColumnRenamed("node", "sig"), "jaccard_roots")
+    pairs = _within(rows, nodes, roots, percent, True)
+    few = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select(F.col("root").alias("a"))
+    least = pairs.unionByName(found.join(few, "a", "left_semi")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return rows.drop("set"), nodes, least
 
 
 def joined(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Every row: ``doc_id, n_shingles, component_id, n_links``.
 
-    ``n_links`` counts the verified links of the row's node to other distinct sets that
-    this search found (all of them across components, the star's within); equal copies
-    are one node and not counted.
+    ``n_links`` counts all other distinct sets that the row's set links with; equal copies
+    are one set and not counted.
     """
-    rows, nodes, found = links(docs, width, percent)
-    found = stored(found.distinct(), "jaccard_links")
-    roots = components(found)
-    degree = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node")))
-    degree = degree.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    per_set = nodes.join(roots, "node", "left").join(degree, "node", "left").select(
-        "sig", "size", F.coalesce("root", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "rows"
+    rows = _rows(docs, width)
+    nodes = _nodes(rows)
+    roots = stored(components(_spanning(rows, percent)).withColumnRenamed("node", "sig"), "jaccard_roots")
+    degree = stored(_within(rows, nodes, roots, percent, False), "jaccard_degrees")
+    of_root = roots.join(nodes.select("sig", "node"), "sig").groupBy("root")
+    named = of_root.agg(F.min("node").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    linked = _lookup(roots, named, ["root"], "n").join(degree.withColumnRenamed("n", "met"), "sig", "left")
+    # In a component of two nodes each has one link.
+    linked = linked.select("sig", "component_id", F.coalesce("met", F.lit(1)).cast("long").alias("n_links"))
+    of_node = nodes.join(linked, "sig", "left").select(
+        "sig",
+        "size",
+        F.when(F.col("n_links").isNull(), F.col("node")).otherwise(F.col("component_id")).alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        "rows",
     )
-    named = rows.where("size > 0 AND doc_id IS NOT NULL")
-    placed = _lookup(named, per_set, ["sig", "size"], "rows").select(
+    placed = _lookup(rows.where("size > 0").drop("set"), of_node, ["sig", "size"], "rows").select(
         "doc_id", F.col("size").alias("n_shingles"), "component_id", F.col("n_links").cast("long")
     )
-    alone = rows.where("size = 0 OR doc_id IS NULL").select(
+    alone = rows.where("size = 0").select(
         "doc_id",
         F.col("size").alias("n_shingles"),
         F.col("doc_id").alias("component_id"),

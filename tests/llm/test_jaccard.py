@@ -78,3 +78,34 @@ def test_odd_rows(spark):
     assert {r.component_id for r in by[4]} == {4}
     assert by[3][0].n_shingles > 29_000
     assert jaccard_join.joined(h.documents(spark, [])).count() == 0
+
+
+def every_link(texts, percent=80):
+    sets = [shingles(t) for t in texts]
+    out = set()
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] and sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                out |= {(frozenset(sets[a]), frozenset(sets[b])), (frozenset(sets[b]), frozenset(sets[a]))}
+    return sets, out
+
+
+def test_links_within_a_component_are_all_counted(spark, monkeypatch):
+    """Near copies of one text link with one another, not only with the least of them."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 700)
+    base = h.prose(5, 120).split()
+    texts = [*near_texts(), *(" ".join([*base[:k], "else", *base[k + 1 :]]) for k in range(0, 120, 4))]
+    texts += [" ".join(base[:k]) for k in range(70, 120, 5)]
+    sets, want = every_link(texts)
+    got = {r.doc_id: r.n_links for r in jaccard_join.joined(h.documents(spark, texts)).collect()}
+    assert got == {k: sum(a == s for a, _ in want) for k, s in enumerate(sets)}
+    _, _, pairs = jaccard_join.links(h.documents(spark, texts))
+    assert pairs.count() == pairs.distinct().count() == len(want) // 2
+
+
+def test_two_texts_of_one_id_and_rows_without_id_keep_their_links(spark):
+    a, b = h.prose(11, 80).split(), h.prose(12, 80).split()
+    near = lambda words: " ".join([*words[:40], "else", *words[41:]])
+    texts = [" ".join(a), " ".join(b), near(a), near(b), " ".join([*a[:39], "other", *a[40:]])]
+    rows = jaccard_join.joined(h.documents(spark, texts, [4, 4, 7, 8, None])).collect()
+    assert sorted((r.doc_id or 0, r.component_id, r.n_links) for r in rows) == [(0, 4, 2), (4, 4, 1), (4, 4, 2), (7, 4, 2), (8, 4, 1)]
