@@ -15,7 +15,8 @@ that a sample of about ``SAMPLE`` shingles shows often (``FREQUENT`` at most, a
 ``SLOTS`` bytes) come last, so that a passage of many documents is no key.
 
 Links are met in three steps and always verified exactly on the 64-bit shingle hashes.
-First every node meets the least node of each of its keys (a star). Then, after components
+First every node meets the least node of each of its keys (a star; too few such keys are
+left to the next step). Then, after components
 are formed, nodes of different components that share enough keys are met; a key's largest
 component is never paired with itself. That settles the components. Since every link lies in
 a component, last all sets of a component that has more than two are compared: its nodes are
@@ -46,9 +47,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HEAVY_ROWS = 100_000  # bound of every broadcast table of hot keys
 SAMPLE = 3_000_000  # shingles counted to order the frequent ones
-FREQUENT, SLOTS = 25_000, 1 << 18  # frequent shingles that come last, and the slots that tell them
+FREQUENT, SLOTS = 6_000, 1 << 16  # frequent shingles that come last, and the slots that tell them
 BLOCK = 1_000_000  # shingles of a block of sets that one task compares with another
-BITS, WORD_BITS = 1 << 26, 1 << 15  # bits of the map of needed sets, and of one of its rows
+BITS, WORD_BITS = 1 << 24, 1 << 15  # bits of the map of needed sets, and of one of its rows
 
 
 def words_of(text: Column) -> Column:
@@ -147,17 +148,21 @@ def _keys(frequent: bytearray, percent: int) -> Column:
     return F.slice(F.concat(F.filter("set", lambda h: ~late(h)), F.filter("set", late)), F.lit(1), wanted.cast("int"))
 
 
-def _index(rows: DataFrame, percent: int) -> DataFrame:
-    """``key, sig, size`` for every key that two nodes or more hold, with the key's least node."""
-    keyed = rows.where("size > 0").select("sig", "size", _keys(_frequent(rows), percent).alias("keys"))
-    once = keyed.groupBy("sig", "size").agg(F.first("keys").alias("keys"))
-    entries = once.select("sig", "size", F.explode("keys").alias("key"))
+def _index(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """``key, sig, size`` for every key that two nodes or more hold, with the key's least node.
+
+    Of sets with many copies only rows of the least doc_id give keys.
+    """
+    total = nodes.agg(F.sum("rows")).first()[0] or 0
+    copied = nodes.where(F.col("rows") > max(1, total // HEAVY_ROWS)).select("sig", "node", F.lit(True).alias("_copied"))
+    given = rows.where("size > 0").join(F.broadcast(copied), "sig", "left").where("_copied IS NULL OR doc_id <=> node")
+    entries = given.select("sig", F.explode(_keys(_frequent(rows), percent)).alias("key"))
     of_key = W.partitionBy("key")
-    met = entries.withColumn("low", F.min(F.struct("sig", "size")).over(of_key)).withColumn("high", F.max("sig").over(of_key))
-    kept = met.where(F.col("low.sig") != F.col("high")).select(
-        "key", "sig", "size", F.col("low.sig").alias("low"), F.col("low.size").alias("low_size")
-    )
-    return stored(kept, "jaccard_index")
+    met = entries.withColumns({"low": F.min("sig").over(of_key), "high": F.max("sig").over(of_key)}).where("low <> high")
+    kept = stored(met.select("key", "sig", "low").distinct(), "jaccard_shared")
+    sizes = nodes.select("sig", "size")
+    sized = kept.join(sizes, "sig").join(sizes.select(F.col("sig").alias("low"), F.col("size").alias("low_size")), "low")
+    return stored(sized, "jaccard_index")
 
 
 def _sized(met: DataFrame, percent: int) -> DataFrame:
@@ -185,9 +190,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return stored(sized.where(F.expr(f"100 * i >= {percent} * (n - i)")).select("a", "b"), "jaccard_links")
 
 
-def _spanning(rows: DataFrame, percent: int) -> DataFrame:
+def _spanning(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Verified links that connect every component; not all links within one."""
-    index = _index(rows, percent)
+    index = _index(rows, nodes, percent)
     star = index.select(F.col("sig").alias("a"), F.col("size").alias("na"), F.col("low").alias("b"), F.col("low_size").alias("nb"))
     first = _verified(_sized(star, percent), rows, percent)
     roots = stored(components(first).withColumnRenamed("node", "sig"), "jaccard_roots")
@@ -267,7 +272,7 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame
     """Rows with signature and size, the nodes, and every link between two nodes, by signature."""
     rows = _rows(docs, width)
     nodes = _nodes(rows)
-    found = _spanning(rows, percent)
+    found = _spanning(rows, nodes, percent)
     roots = stored(components(found).withColumnRenamed("node", "sig"), "jaccard_roots")
     pairs = _within(rows, nodes, roots, percent, True)
     few = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select(F.col("root").alias("a"))
@@ -283,7 +288,7 @@ def joined(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """
     rows = _rows(docs, width)
     nodes = _nodes(rows)
-    roots = stored(components(_spanning(rows, percent)).withColumnRenamed("node", "sig"), "jaccard_roots")
+    roots = stored(components(_spanning(rows, nodes, percent)).withColumnRenamed("node", "sig"), "jaccard_roots")
     degree = stored(_within(rows, nodes, roots, percent, False), "jaccard_degrees")
     of_root = roots.join(nodes.select("sig", "node"), "sig").groupBy("root")
     named = of_root.agg(F.min("node").alias("component_id"), F.count(F.lit(1)).alias("n"))
