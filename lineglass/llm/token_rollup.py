@@ -6,6 +6,7 @@ it is written, and its totals count once its commit is written. Both are overwri
 name, so a batch that is written again, after a failure or by mistake, counts once.
 """
 
+from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -34,6 +35,31 @@ def tokens(text: Column, vocabulary: str) -> Column:
     return F.arrow_udf(run, "bigint")(text)
 
 
+def _revised_counts(text: str, squeezed: str, first: str, second: str) -> tuple[int, int, int]:
+    """Ids of a text, of its revision, and of that under the second vocabulary."""
+    before = len(encoder(first).whole(text)) // 4
+    after = before if squeezed == text else len(encoder(first).whole(squeezed)) // 4
+    return before, after, len(encoder(second).whole(squeezed)) // 4
+
+
+def revised_tokens(text: Column, squeezed: Column, first: str, second: str) -> Column:
+    """``old``, ``new`` and ``other``: ids of a whole text and of its revision, text by text.
+
+    The words of a revision are still remembered from its text, so they are encoded once.
+    """
+
+    @F.arrow_udf("struct<old:bigint,new:bigint,other:bigint>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, revisions in batches:
+            rows = [_revised_counts(t.as_py() or "", r.as_py() or "", first, second) for t, r in zip(texts, revisions)]
+            columns = zip(*rows) if rows else [()] * 3
+            yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], ["old", "new", "other"])
+        for vocabulary in (first, second):
+            encoder(vocabulary).forget()
+
+    return run(text, squeezed)
+
+
 class Rollup:
     """Additive totals in a folder: one Parquet table for each batch, and the commits."""
 
@@ -132,10 +158,8 @@ def maintained(docs: DataFrame, path: str | None = None) -> DataFrame:
             F.crc32(text.cast("binary")).alias("check"),
             F.octet_length(text).cast("long").alias("bytes"),
             F.octet_length(squeezed).cast("long").alias("new_bytes"),
-            tokens(text, first).alias("old"),
-            tokens(squeezed, first).alias("new"),
-            tokens(squeezed, second).alias("other"),
-        ),
+            revised_tokens(text, squeezed, first, second).alias("ids"),
+        ).select("*", "ids.*").drop("ids"),
         "counts",
     )
     # Equal texts have equal counts, so one row stands for each place of them.

@@ -3,7 +3,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from lineglass.llm import token_rollup
+from lineglass.llm import packing, token_rollup
 from lineglass.llm.packing import encoder
 from tests.llm import helpers as h
 
@@ -64,3 +64,26 @@ def test_odd_rows(spark):
 def test_added_tokens_count_as_one(spark):
     row = h.documents(spark, ["a <|endoftext|> b"]).select(token_rollup.tokens(F.col("text"), "byte_bpe_50k.tiktoken").alias("n")).first()
     assert row.n == 4
+
+
+def test_words_of_a_revision_are_not_encoded_again(spark, monkeypatch):
+    """A corpus has more words than are remembered; those of a text still are when its revision is counted."""
+    texts = [h.prose(k, 60) + "  \n x" for k in range(40)]
+    first, second = token_rollup.VERSIONS
+    own, calls = encoder(first), []
+    own.forget()
+    encode = own.encode
+    monkeypatch.setattr(packing, "REMEMBERED", 600)
+    for part in (own, own.spaced):
+        monkeypatch.setattr(part, "encode", lambda chunk: calls.append(chunk) or encode(chunk))
+    for t in texts:
+        own.whole(t)
+    once = len(calls)
+    own.forget()
+    calls.clear()
+    for t in texts:
+        token_rollup._revised_counts(t, re.sub(r"\s+", " ", t), first, second)
+    assert once <= len(calls) < 1.3 * once
+    columns = token_rollup.revised_tokens(F.col("text"), token_rollup.revised(F.col("text")), first, second)
+    rows = h.documents(spark, ["a  b \n c", "a b c", "", None]).select(columns.alias("n")).collect()
+    assert [tuple(r.n) for r in rows] == [token_rollup._revised_counts(t, re.sub(r"\s+", " ", t), first, second) for t in ("a  b \n c", "a b c", "", "")]
