@@ -26,8 +26,9 @@ CAPACITY = 1024
 END_ID = 2
 # The vocabulary of byte_bpe_50k.json as ranks.
 VOCABULARY = "byte_bpe_50k.tiktoken"
-# Chunks whose ids a task remembers at most.
+# Chunks whose ids a task remembers at most, and rows that it cuts at a time.
 REMEMBERED = 400_000
+ROWS = 500
 SLICES = 64
 
 # A space that may belong to a longer run of white space.
@@ -44,15 +45,17 @@ class Chunks(dict):
     remembered without its space, by ``spaced``, a table of the same kind.
     """
 
-    def __init__(self, path: str, before: str = ""):
+    def __init__(self, path: str):
         super().__init__()
-        self.before = before
-        self.spaced = None if before else Chunks(path, " ")
+        self.before = ""
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding(
             "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         ).encode_ordinary
+        # The same vocabulary, held once.
+        self.spaced = Chunks.__new__(Chunks)
+        self.spaced.before, self.spaced.encode = " ", self.encode
         # Tokens beside the merges, which stand for their text wherever it comes.
         made = Path(path).with_suffix(".json")
         found = json.loads(made.read_text("utf-8"))["added_tokens"] if made.exists() else []
@@ -68,6 +71,11 @@ class Chunks(dict):
             self[chunk] = ids
         return ids
 
+    def forget(self) -> None:
+        """Give back the memory of what is remembered; a worker outlives its task."""
+        self.clear()
+        self.spaced.clear()
+
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
@@ -117,7 +125,7 @@ def pieces(
         return [(a // 4, ids[a:b]) for a, b in zip(bounds, bounds[1:])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             rows = [
                 (doc.as_py(), n, start, len(ids) // 4, zlib.crc32(ids), ids)
                 for doc, text in zip(batch.column(0), batch.column(1))
@@ -131,6 +139,7 @@ def pieces(
             if with_ids:
                 columns.append(pa.array([np.frombuffer(x, dtype="<i4") for x in ids], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        encoder(vocabulary).forget()
 
     return source.mapInArrow(run, schema)
 

@@ -194,21 +194,36 @@ class Lexicon:
         return found
 
 
-BEGUN = pa.list_(pa.struct([("beginning", pa.string()), ("context", pa.int64())]))
+BEGUN = pa.schema([("label", pa.int32()), ("beginning", pa.string()), ("context", pa.int64())])
+# Rows that a task holds before it hands them on; a text's own rows stay together.
+HELD = 50_000
 
 
-def _begun(texts: pa.Array, labels: pa.Array) -> pa.Array:
-    """The beginnings of a text's words; for label 1 also the words around each, as a number."""
-    rows = []
-    for text, label in zip(texts, labels):
-        words = WORD.findall((text.as_py() or "").lower())
-        found = {(w[:n], -1) for w in set(words) for n in BEGINNINGS if n <= len(w)}
-        if label.as_py() == 1:
-            for before, w, after in zip(["", *words], words, [*words[1:], ""]):
-                context = zlib.crc32(f"{before} {after}".encode())
-                found.update((w[:n], context) for n in BEGINNINGS if n <= len(w))
-        rows.append([{"beginning": b, "context": c} for b, c in found])
-    return pa.array(rows, BEGUN)
+def _begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The beginnings of a text's words; for label 1 also the words around each, as a number.
+
+    A row for each; they leave the task by the part, so its memory does not grow with its texts.
+    """
+
+    def part() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, BEGUN.types)], schema=BEGUN)
+
+    columns = [], [], []
+    for batch in batches:
+        for label, text in zip(batch.column("label"), batch.column("text")):
+            label = label.as_py()
+            words = WORD.findall((text.as_py() or "").lower())
+            found = {(w[:n], -1) for w in set(words) for n in BEGINNINGS if n <= len(w)}
+            if label == 1:
+                for before, w, after in zip(["", *words], words, [*words[1:], ""]):
+                    context = zlib.crc32(f"{before} {after}".encode())
+                    found.update((w[:n], context) for n in BEGINNINGS if n <= len(w))
+            for column, values in zip(columns, ([label] * len(found), (b for b, _ in found), (c for _, c in found))):
+                column.extend(values)
+            if len(columns[0]) >= HELD:
+                yield part()
+                columns = [], [], []
+    yield part()
 
 
 def known_labels(labels: DataFrame) -> DataFrame:
@@ -228,8 +243,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> L
     share = min(1.0, sample / max(known.count(), 1))
     some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # the sample bounds it
-    begun = F.arrow_udf(_begun, "array<struct<beginning:string,context:bigint>>")
-    rows = texts.select("label", F.inline(begun("text", "label")))
+    rows = texts.select("label", "text").mapInArrow(_begun, "label int, beginning string, context long")
     pairs = rows.groupBy("beginning", "context").agg(
         F.sum(F.when(F.col("context") == -1, F.col("label")).otherwise(0)).alias("ones"),
         F.sum(F.when(F.col("context") == -1, 1 - F.col("label")).otherwise(0)).alias("zeros"),

@@ -108,3 +108,11 @@ def test_added_tokens_are_found_as_the_tokenizer_as_loaded_does(spark):
     for text in texts.values():
         assert np.frombuffer(packing.encoder().whole(text), dtype="<u4").tolist() == ids_of(loaded, text)[:-1]
     check(packing.pack(h.documents(spark, list(texts.values()))).collect(), texts, loaded)
+
+
+def test_a_worker_keeps_one_vocabulary_and_no_chunks_after_its_task():
+    own = packing.encoder()
+    assert own.whole("one two  three") and own and own.spaced
+    own.forget()
+    assert not own and not own.spaced
+    assert own.encode is own.spaced.encode

@@ -1,3 +1,5 @@
+import pyarrow as pa
+
 from lineglass.llm import toxicity
 from tests.llm import helpers as h
 
@@ -74,3 +76,18 @@ def test_odd_rows(spark):
     assert len(got) == 10 and all(0 <= r.score <= 1 for r in got)
     assert toxicity.scored(h.odd(spark).limit(0), odd_labels).collect() == []
     assert len(toxicity.scored(h.odd(spark), odd_labels.limit(0)).collect()) == 10
+
+
+def test_beginnings_leave_a_task_by_the_part(monkeypatch):
+    """A batch of many texts is handed on in parts, so that its rows are never held at once."""
+    monkeypatch.setattr(toxicity, "HELD", 500)
+    texts = [h.prose(k, 60) for k in range(40)] + [None, "", "abcde abcde"]
+    labels = [k % 2 for k in range(len(texts))]
+    batch = pa.RecordBatch.from_pydict({"label": pa.array(labels, pa.int32()), "text": pa.array(texts, pa.string())})
+    parts = list(toxicity._begun(iter([batch, batch.slice(0, 0)])))
+    own = [sum(p.num_rows for p in toxicity._begun(iter([batch.slice(k, 1)]))) for k in range(len(texts))]
+    assert len(parts) > 5
+    assert max(p.num_rows for p in parts) < 500 + max(own)
+    assert sum(p.num_rows for p in parts) == sum(own)
+    last = [p for p in toxicity._begun(iter([batch.slice(42, 1)]))][0].to_pylist()
+    assert sorted((r["label"], r["beginning"], r["context"]) for r in last) == [(0, "abcd", -1), (0, "abcde", -1)]
