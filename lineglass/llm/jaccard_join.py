@@ -18,7 +18,9 @@ Links are met in three steps and always verified exactly on the 64-bit shingle h
 First every node meets the least node of each of its keys (a star; too few such keys are
 left to the next step). Then, after components
 are formed, nodes of different components that share enough keys are met; a key's largest
-component is never paired with itself. That settles the components. Since every link lies in
+component is never paired with itself. Linked sets of like size share many keys, so a set
+that shares too few of its own with any other meets none, and the keys of a set that most
+others hold need not be met. That settles the components. Since every link lies in
 a component, last all sets of a component that has more than two are compared: its nodes are
 dealt by size band (whose ends grow by ``100 / percent``, so that linked sets are at most
 one band apart) into blocks of about ``BLOCK`` shingles, a task compares two blocks, and only
@@ -48,6 +50,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HEAVY_ROWS = 100_000  # bound of every broadcast table of hot keys
 SAMPLE = 3_000_000  # shingles counted to order the frequent ones
 FREQUENT, SLOTS = 6_000, 1 << 16  # frequent shingles that come last, and the slots that tell them
+MET = 4  # one in so many of the keys that a linked pair shares, the coldest, is met
 BLOCK = 1_000_000  # shingles of a block of sets that one task compares with another
 BITS, WORD_BITS = 1 << 24, 1 << 15  # bits of the map of needed sets, and of one of its rows
 
@@ -151,33 +154,40 @@ def _keys(frequent: bytearray, percent: int) -> Column:
 def _index(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """``key, sig, size`` for every key that two nodes or more hold, with the key's least node.
 
-    Of sets with many copies only rows of the least doc_id give keys.
+    ``held`` counts these keys of the set, ``later`` those of them that more rows hold. Of sets with many copies only rows of the least doc_id give keys.
     """
     total = nodes.agg(F.sum("rows")).first()[0] or 0
     copied = nodes.where(F.col("rows") > max(1, total // HEAVY_ROWS)).select("sig", "node", F.lit(True).alias("_copied"))
     given = rows.where("size > 0").join(F.broadcast(copied), "sig", "left").where("_copied IS NULL OR doc_id <=> node")
     entries = given.select("sig", F.explode(_keys(_frequent(rows), percent)).alias("key"))
     of_key = W.partitionBy("key")
-    met = entries.withColumns({"low": F.min("sig").over(of_key), "high": F.max("sig").over(of_key)}).where("low <> high")
-    kept = stored(met.select("key", "sig", "low").distinct(), "jaccard_shared")
+    spread = {"low": F.min("sig").over(of_key), "high": F.max("sig").over(of_key), "heat": F.count(F.lit(1)).over(of_key)}
+    kept = stored(entries.withColumns(spread).where("low <> high").select("key", "sig", "low", "heat").distinct(), "jaccard_shared")
+    of_set = W.partitionBy("sig")
+    kept = kept.withColumns({"held": F.count(F.lit(1)).over(of_set), "_rank": F.row_number().over(of_set.orderBy("heat", "key"))})
+    kept = kept.withColumn("later", F.col("held") - F.col("_rank")).drop("heat", "_rank")
     sizes = nodes.select("sig", "size")
     sized = kept.join(sizes, "sig").join(sizes.select(F.col("sig").alias("low"), F.col("size").alias("low_size")), "low")
     return stored(sized, "jaccard_index")
 
 
-def _sized(met: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` whose sizes and common keys allow the threshold; ``met`` has a row a common key.
+def _least_keys(percent: int) -> str:
+    """SQL for the keys that linked sets of ``na`` and ``nb`` shingles share at least.
 
     What two sets share beyond the keys of the one whose keys end first is at most what
-    that one has left, so pairs of like size need many common keys.
+    that one has left, so sets of like size share many keys.
     """
-    small, large = F.least("na", "nb"), F.greatest("na", "nb")
-    fit = met.where((F.col("a") != F.col("b")) & (100 * small >= percent * large))
+    both = f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}"
+    return f"greatest(1, {both} - ({percent} * greatest(na, nb) + 99) div 100 + 1)"
+
+
+def _sized(met: DataFrame, percent: int, wanted: str) -> DataFrame:
+    """Pairs ``a, b`` with ``wanted`` common keys; ``met`` has a row a common key, sizes ``na`` and ``nb``."""
+    fit = met.where((F.col("a") != F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
     counted = fit.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(
-        F.count(F.lit(1)).alias("keys"), F.max(F.col("na") + F.col("nb")).alias("n"), F.max(large).alias("large")
+        F.count(F.lit(1)).alias("keys"), F.max(F.expr(wanted)).alias("wanted")
     )
-    enough = F.expr(f"(100 + {percent}) * (keys + ({percent} * large + 99) div 100 - 1) >= {percent} * n")
-    return stored(counted.where(enough).select(F.col("x").alias("a"), F.col("y").alias("b")), "jaccard_met")
+    return stored(counted.where("keys >= wanted").select(F.col("x").alias("a"), F.col("y").alias("b")), "jaccard_met")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -190,26 +200,46 @@ def _verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return stored(sized.where(F.expr(f"100 * i >= {percent} * (n - i)")).select("a", "b"), "jaccard_links")
 
 
-def _spanning(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Verified links that connect every component; not all links within one."""
+def _spanning(rows: DataFrame, nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Verified links, their components, and further links; both connect every component.
+
+    They are not all links within one.
+    """
     index = _index(rows, nodes, percent)
     star = index.select(F.col("sig").alias("a"), F.col("size").alias("na"), F.col("low").alias("b"), F.col("low_size").alias("nb"))
-    first = _verified(_sized(star, percent), rows, percent)
+    least = _least_keys(percent)
+    first = _verified(_sized(star, percent, least), rows, percent)
     roots = stored(components(first).withColumnRenamed("node", "sig"), "jaccard_roots")
 
     # Pairs across components only; a key's largest component is never paired with itself.
-    placed = index.select("key", "sig", "size").join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    placed = index.select("key", "sig", "size", "held", "later").join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     counts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     major = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots"))
     major = major.where("roots > 1").select("key", F.col("top.root").alias("major"))
     open_keys = stored(placed.join(major, "key"), "jaccard_open")
     side = lambda x: open_keys.select(
-        "key", F.col("sig").alias(x), F.col("size").alias(f"n{x}"), F.col("root").alias(f"r{x}"), (F.col("root") == F.col("major")).alias(f"m{x}")
+        "key",
+        F.col("sig").alias(x),
+        F.col("size").alias(f"n{x}"),
+        F.col("held").alias(f"h{x}"),
+        F.col("later").alias(f"l{x}"),
+        F.col("root").alias(f"r{x}"),
+        (F.col("root") == F.col("major")).alias(f"m{x}"),
     )
-    # Each pair is met once a key, so that its common keys can be counted.
-    across = side("a").where("NOT ma").join(side("b"), "key").where("ra <> rb AND (mb OR a < b)")
-    second = _verified(_sized(across, percent), rows, percent)
-    return first.unionByName(second)
+    # Each pair is met once a key, so that its common keys can be counted. A linked pair has
+    # ``least`` of them or more, so the ``wanted`` coldest have ``least - wanted`` common ones
+    # after them in the order of heat: hot keys need not meet, nor sets with too few keys.
+    wanted = f"(({least}) + {MET - 1}) div {MET}"
+    able = f"least(ha, hb) >= {least} AND least(la, lb) >= {least} - {wanted}"
+    across = side("a").where("NOT ma").join(side("b"), "key").where(f"ra <> rb AND (mb OR a < b) AND {able}")
+    second = _verified(_sized(across, percent, wanted), rows, percent)
+    return first, roots, second
+
+
+def _roots(roots: DataFrame, second: DataFrame) -> DataFrame:
+    """``sig, root`` of the components, from those of the first links and the second links."""
+    tied = roots.select(F.col("sig").alias("a"), F.col("root").alias("b")).unionByName(second)
+    return stored(components(tied).withColumnRenamed("node", "sig"), "jaccard_roots")
 
 
 def _compared(percent: int, pairs: bool):
@@ -272,8 +302,8 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame
     """Rows with signature and size, the nodes, and every link between two nodes, by signature."""
     rows = _rows(docs, width)
     nodes = _nodes(rows)
-    found = _spanning(rows, nodes, percent)
-    roots = stored(components(found).withColumnRenamed("node", "sig"), "jaccard_roots")
+    first, tied, second = _spanning(rows, nodes, percent)
+    found, roots = first.unionByName(second), _roots(tied, second)
     pairs = _within(rows, nodes, roots, percent, True)
     few = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select(F.col("root").alias("a"))
     least = pairs.unionByName(found.join(few, "a", "left_semi")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -288,7 +318,8 @@ def joined(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """
     rows = _rows(docs, width)
     nodes = _nodes(rows)
-    roots = stored(components(_spanning(rows, nodes, percent)).withColumnRenamed("node", "sig"), "jaccard_roots")
+    _, tied, second = _spanning(rows, nodes, percent)
+    roots = _roots(tied, second)
     degree = stored(_within(rows, nodes, roots, percent, False), "jaccard_degrees")
     of_root = roots.join(nodes.select("sig", "node"), "sig").groupBy("root")
     named = of_root.agg(F.min("node").alias("component_id"), F.count(F.lit(1)).alias("n"))

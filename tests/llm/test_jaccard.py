@@ -109,3 +109,30 @@ def test_two_texts_of_one_id_and_rows_without_id_keep_their_links(spark):
     texts = [" ".join(a), " ".join(b), near(a), near(b), " ".join([*a[:39], "other", *a[40:]])]
     rows = jaccard_join.joined(h.documents(spark, texts, [4, 4, 7, 8, None])).collect()
     assert sorted((r.doc_id or 0, r.component_id, r.n_links) for r in rows) == [(0, 4, 2), (4, 4, 1), (4, 4, 2), (7, 4, 2), (8, 4, 1)]
+
+
+def test_sets_that_share_too_few_keys_do_not_meet(spark, monkeypatch):
+    """Texts with one passage in common but no more are not met as pairs; linked ones still are."""
+    met = []
+    sized = jaccard_join._sized
+    monkeypatch.setattr(jaccard_join, "_sized", lambda pairs, *a: met.append(pairs.count()) or sized(pairs, *a))
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 0)
+    passage = h.prose(99, 30)
+    texts = [f"{h.prose(200 + k, 60)} {passage} {h.prose(400 + k, 60)}" for k in range(60)] + near_texts()
+    ids = list(range(len(texts)))
+    sizes, roots = brute(ids, texts)
+    got = {r.doc_id: r for r in jaccard_join.joined(h.documents(spark, texts)).collect()}
+    assert [got[i].component_id for i in ids] == roots
+    assert [got[i].n_shingles for i in ids] == sizes
+    # 60 * 59 / 2 pairs for each key of the passage before.
+    assert met[1] < 1500
+
+
+def test_linked_sets_share_the_least_number_of_keys(spark):
+    """The bound, against sets of any two sizes that reach the threshold as barely as can be."""
+    sizes = [(a, b) for a in range(1, 60) for b in range(a, a * 100 // 80 + 1)]
+    rows = spark.createDataFrame(sizes, "na long, nb long").selectExpr("na", "nb", f"{jaccard_join._least_keys(80)} AS least").collect()
+    for a, b, least in rows:
+        shared = -(-80 * (a + b) // 180)
+        left = -(-80 * b // 100) - 1
+        assert least == max(1, shared - left)
