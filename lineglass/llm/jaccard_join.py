@@ -20,7 +20,8 @@ left to the next step). Then, after components
 are formed, nodes of different components that share enough keys are met; a key's largest
 component is never paired with itself. Linked sets of like size share many keys, so a set
 that shares too few of its own with any other meets none, and the keys of a set that most
-others hold need not be met. That settles the components. Since every link lies in
+others hold need not be met. Of the pairs met, each set's likeliest is verified first, and
+then only those whose sets are not in one component yet. That settles the components. Since every link lies in
 a component, last all sets of a component that has more than two are compared: its nodes are
 dealt by size band (whose ends grow by ``100 / percent``, so that linked sets are at most
 one band apart) into blocks of about ``BLOCK`` shingles, a task compares two blocks, and only
@@ -182,12 +183,12 @@ def _least_keys(percent: int) -> str:
 
 
 def _sized(met: DataFrame, percent: int, wanted: str) -> DataFrame:
-    """Pairs ``a, b`` with ``wanted`` common keys; ``met`` has a row a common key, sizes ``na`` and ``nb``."""
+    """Pairs ``a, b`` with ``wanted`` common ``keys``; ``met`` has a row a common key, sizes ``na`` and ``nb``."""
     fit = met.where((F.col("a") != F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
     counted = fit.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(
         F.count(F.lit(1)).alias("keys"), F.max(F.expr(wanted)).alias("wanted")
     )
-    return stored(counted.where("keys >= wanted").select(F.col("x").alias("a"), F.col("y").alias("b")), "jaccard_met")
+    return stored(counted.where("keys >= wanted").select(F.col("x").alias("a"), F.col("y").alias("b"), "keys"), "jaccard_met")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -232,13 +233,23 @@ def _spanning(rows: DataFrame, nodes: DataFrame, percent: int) -> tuple[DataFram
     wanted = f"(({least}) + {MET - 1}) div {MET}"
     able = f"least(ha, hb) >= {least} AND least(la, lb) >= {least} - {wanted}"
     across = side("a").where("NOT ma").join(side("b"), "key").where(f"ra <> rb AND (mb OR a < b) AND {able}")
-    second = _verified(_sized(across, percent, wanted), rows, percent)
-    return first, roots, second
-
-
-def _roots(roots: DataFrame, second: DataFrame) -> DataFrame:
-    """``sig, root`` of the components, from those of the first links and the second links."""
-    tied = roots.select(F.col("sig").alias("a"), F.col("root").alias("b")).unionByName(second)
+    pairs = _sized(across, percent, wanted)
+
+    # First each set's pair with the most common keys; then those whose sets lie apart still.
+    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("keys", "b")).alias("b"))
+    best = best.unionByName(pairs.groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a"))).distinct()
+    second = _verified(best, rows, percent)
+    now = _roots(roots, second)
+    of = lambda x: now.select(F.col("sig").alias(x), F.col("root").alias(f"r{x}"))
+    rest = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    rest = rest.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b").join(best, ["a", "b"], "left_anti")
+    third = _verified(stored(rest, "jaccard_rest"), rows, percent)
+    return first.unionByName(second), now, third
+
+
+def _roots(roots: DataFrame, further: DataFrame) -> DataFrame:
+    """``sig, root`` of the components, from those of earlier links and further links."""
+    tied = roots.select(F.col("sig").alias("a"), F.col("root").alias("b")).unionByName(further)
     return stored(components(tied).withColumnRenamed("node", "sig"), "jaccard_roots")
 
 
@@ -302,8 +313,8 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame
     """Rows with signature and size, the nodes, and every link between two nodes, by signature."""
     rows = _rows(docs, width)
     nodes = _nodes(rows)
-    first, tied, second = _spanning(rows, nodes, percent)
-    found, roots = first.unionByName(second), _roots(tied, second)
+    found, tied, further = _spanning(rows, nodes, percent)
+    found, roots = found.unionByName(further), _roots(tied, further)
     pairs = _within(rows, nodes, roots, percent, True)
     few = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select(F.col("root").alias("a"))
     least = pairs.unionByName(found.join(few, "a", "left_semi")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -318,8 +329,8 @@ def joined(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """
     rows = _rows(docs, width)
     nodes = _nodes(rows)
-    _, tied, second = _spanning(rows, nodes, percent)
-    roots = _roots(tied, second)
+    _, tied, further = _spanning(rows, nodes, percent)
+    roots = _roots(tied, further)
     degree = stored(_within(rows, nodes, roots, percent, False), "jaccard_degrees")
     of_root = roots.join(nodes.select("sig", "node"), "sig").groupBy("root")
     named = of_root.agg(F.min("node").alias("component_id"), F.count(F.lit(1)).alias("n"))
