@@ -15,17 +15,18 @@ that a sample of about ``SAMPLE`` shingles shows often (``FREQUENT`` at most, a
 ``SLOTS`` bytes) come last, so that a passage of many documents is no key.
 
 Links are met in three steps and always verified exactly on the 64-bit shingle hashes.
-First every node meets the least node of each of its keys (a star; too few such keys are
-left to the next step). Then, after components
-are formed, nodes of different components that share enough keys are met; a key's largest
-component is never paired with itself. Linked sets of like size share many keys, so a set
+First every node is tied to the least node of each of its keys, if they share enough of them
+(a star). What this ties together is a family: near copies, linked or not. All sets of a
+family that has more than two are compared: they are dealt by size band (whose ends grow by
+``100 / percent``, so that linked sets are at most one band apart) into blocks of about
+``BLOCK`` shingles, a task compares two blocks, and only links that tie sets not yet tied
+leave it. Then nodes of different families that share enough keys are met; a key's largest
+family is never paired with itself. Linked sets of like size share many keys, so a set
 that shares too few of its own with any other meets none, and the keys of a set that most
-others hold need not be met. Of the pairs met, each set's likeliest is verified first, and
-then only those whose sets are not in one component yet. That settles the components. Since every link lies in
-a component, last all sets of a component that has more than two are compared: its nodes are
-dealt by size band (whose ends grow by ``100 / percent``, so that linked sets are at most
-one band apart) into blocks of about ``BLOCK`` shingles, a task compares two blocks, and only
-counts leave it. So no link is left out, and a group of near copies makes no table of pairs.
+others hold need not be met. That settles the components. Since every link lies in a
+component, last all sets of a component that has more than two are compared likewise, and
+only counts leave a task. So no link is left out, and a group of near copies, whether they
+link or fall short of it, makes no table of pairs.
 
 The sets are stored once and never shuffled as a whole: a bitmap of a fixed size picks the
 sets of the nodes that a step needs, and only these move. Shingles are compared by 64-bit
@@ -51,6 +52,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HEAVY_ROWS = 100_000  # bound of every broadcast table of hot keys
 SAMPLE = 3_000_000  # shingles counted to order the frequent ones
 FREQUENT, SLOTS = 6_000, 1 << 16  # frequent shingles that come last, and the slots that tell them
+TIED = 2  # one in so many of the keys that a linked pair shares at least ties two sets into a family
 MET = 4  # one in so many of the keys that a linked pair shares, the coldest, is met
 BLOCK = 1_000_000  # shingles of a block of sets that one task compares with another
 BITS, WORD_BITS = 1 << 24, 1 << 15  # bits of the map of needed sets, and of one of its rows
@@ -201,19 +203,17 @@ def _verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return stored(sized.where(F.expr(f"100 * i >= {percent} * (n - i)")).select("a", "b"), "jaccard_links")
 
 
-def _spanning(rows: DataFrame, nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Verified links, their components, and further links; both connect every component.
-
-    They are not all links within one.
-    """
+def _spanning(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Verified links that connect every component; they are not all links within one."""
     index = _index(rows, nodes, percent)
     star = index.select(F.col("sig").alias("a"), F.col("size").alias("na"), F.col("low").alias("b"), F.col("low_size").alias("nb"))
     least = _least_keys(percent)
-    first = _verified(_sized(star, percent, least), rows, percent)
-    roots = stored(components(first).withColumnRenamed("node", "sig"), "jaccard_roots")
+    near = _sized(star, percent, f"(({least}) + {TIED - 1}) div {TIED}")
+    families = stored(components(near).withColumnRenamed("node", "sig"), "jaccard_families")
+    inside = _within(rows, nodes, families, percent, "forest")
 
-    # Pairs across components only; a key's largest component is never paired with itself.
-    placed = index.select("key", "sig", "size", "held", "later").join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    # Pairs across families only; a key's largest family is never paired with itself.
+    placed = index.select("key", "sig", "size", "held", "later").join(families, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     counts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     major = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots"))
     major = major.where("roots > 1").select("key", F.col("top.root").alias("major"))
@@ -233,28 +233,16 @@ def _spanning(rows: DataFrame, nodes: DataFrame, percent: int) -> tuple[DataFram
     wanted = f"(({least}) + {MET - 1}) div {MET}"
     able = f"least(ha, hb) >= {least} AND least(la, lb) >= {least} - {wanted}"
     across = side("a").where("NOT ma").join(side("b"), "key").where(f"ra <> rb AND (mb OR a < b) AND {able}")
-    pairs = _sized(across, percent, wanted)
-
-    # First each set's pair with the most common keys; then those whose sets lie apart still.
-    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("keys", "b")).alias("b"))
-    best = best.unionByName(pairs.groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a"))).distinct()
-    second = _verified(best, rows, percent)
-    now = _roots(roots, second)
-    of = lambda x: now.select(F.col("sig").alias(x), F.col("root").alias(f"r{x}"))
-    rest = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = rest.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b").join(best, ["a", "b"], "left_anti")
-    third = _verified(stored(rest, "jaccard_rest"), rows, percent)
-    return first.unionByName(second), now, third
-
-
-def _roots(roots: DataFrame, further: DataFrame) -> DataFrame:
-    """``sig, root`` of the components, from those of earlier links and further links."""
-    tied = roots.select(F.col("sig").alias("a"), F.col("root").alias("b")).unionByName(further)
-    return stored(components(tied).withColumnRenamed("node", "sig"), "jaccard_roots")
+    # A family of two nodes is its pair.
+    few = families.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select(F.col("root").alias("a"))
+    pairs = _sized(across, percent, wanted).unionByName(near.join(few, "a", "left_semi")).select("a", "b")
+    found = inside.unionByName(_verified(stored(pairs, "jaccard_pairs"), rows, percent))
+    return stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "jaccard_spanning")
 
 
-def _compared(percent: int, pairs: bool):
-    """Compares the sets of one or two blocks: all links, or each set's number of them."""
+def _compared(percent: int, what: str):
+    """Compares the sets of one or two blocks: all ``links``, a ``forest`` of them that ties
+    the same sets together, or each set's ``degrees``, the number of its links."""
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         sides, sigs = group["side"].to_numpy(), group["sig"].to_numpy("int64")
@@ -264,8 +252,10 @@ def _compared(percent: int, pairs: bool):
         tokens = np.concatenate([sets[k] for k in right])
         order = np.argsort(tokens, kind="stable")
         tokens, owners = tokens[order], np.repeat(np.arange(len(right)), sizes[right])[order]
-        found, degree = [], np.zeros(len(sets), "int64")
+        found, degree, tied = [], np.zeros(len(sets), "int64"), np.arange(len(sets))
         for k in left:
+            if what == "forest" and (tied[right] == tied[k]).all():
+                continue
             start, end = np.searchsorted(tokens, sets[k], "left"), np.searchsorted(tokens, sets[k], "right")
             held = end - start
             places = np.arange(held.sum()) + np.repeat(start - np.cumsum(held) + held, held)
@@ -273,18 +263,24 @@ def _compared(percent: int, pairs: bool):
             linked = right[100 * shared >= percent * (sizes[k] + sizes[right] - shared)]
             # Within a block (side 0) each pair is met from both ends.
             linked = linked[(sides[linked] != 0) | (linked > k)]
-            degree[k] += len(linked)
-            degree[linked] += 1
-            found += [(sigs[k], sigs[x]) for x in linked] if pairs else []
-        if pairs:
+            if what == "degrees":
+                degree[k] += len(linked)
+                degree[linked] += 1
+                continue
+            if what == "forest":
+                trees, first = np.unique(tied[linked], return_index=True)
+                linked = linked[first[trees != tied[k]]]
+                tied[np.isin(tied, tied[linked])] = tied[k]
+            found += [(sigs[k], sigs[x]) for x in linked]
+        if what != "degrees":
             return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
         return pd.DataFrame({"sig": sigs[degree > 0], "n": degree[degree > 0]})
 
     return compare
 
 
-def _within(rows: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int, pairs: bool) -> DataFrame:
-    """All links ``a, b`` of the components of three nodes or more, or ``sig, n``, their number a set."""
+def _within(rows: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int, what: str) -> DataFrame:
+    """``links`` or a ``forest`` of links ``a, b`` inside the groups of three nodes or more, or ``degrees``, ``sig, n``."""
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
     largest = nodes.agg(F.max("size")).first()[0] or 0
     table = nodes.sparkSession.createDataFrame(bands(percent, largest), "band int, low long, high long, segments int")
@@ -305,17 +301,17 @@ def _within(rows: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int, p
     sent = dealt.select("sig", "root", F.explode(F.expr(tasks)).alias("t")).select("sig", "root", "t.*")
     sets = _sets_of(rows, members.select("sig"))
     grouped = sent.join(sets, "sig").groupBy("root", "lo", "hi", "i", "j")
-    found = grouped.applyInPandas(_compared(percent, pairs), "a long, b long" if pairs else "sig long, n long")
-    return found if pairs else found.groupBy("sig").agg(F.sum("n").alias("n"))
+    found = grouped.applyInPandas(_compared(percent, what), "sig long, n long" if what == "degrees" else "a long, b long")
+    return found.groupBy("sig").agg(F.sum("n").alias("n")) if what == "degrees" else found
 
 
 def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows with signature and size, the nodes, and every link between two nodes, by signature."""
     rows = _rows(docs, width)
     nodes = _nodes(rows)
-    found, tied, further = _spanning(rows, nodes, percent)
-    found, roots = found.unionByName(further), _roots(tied, further)
-    pairs = _within(rows, nodes, roots, percent, True)
+    found = _spanning(rows, nodes, percent)
+    roots = stored(components(found).withColumnRenamed("node", "sig"), "jaccard_roots")
+    pairs = _within(rows, nodes, roots, percent, "links")
     few = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select(F.col("root").alias("a"))
     least = pairs.unionByName(found.join(few, "a", "left_semi")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return rows.drop("set"), nodes, least
@@ -329,9 +325,9 @@ def joined(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """
     rows = _rows(docs, width)
     nodes = _nodes(rows)
-    _, tied, further = _spanning(rows, nodes, percent)
-    roots = _roots(tied, further)
-    degree = stored(_within(rows, nodes, roots, percent, False), "jaccard_degrees")
+    found = _spanning(rows, nodes, percent)
+    roots = stored(components(found).withColumnRenamed("node", "sig"), "jaccard_roots")
+    degree = stored(_within(rows, nodes, roots, percent, "degrees"), "jaccard_degrees")
     of_root = roots.join(nodes.select("sig", "node"), "sig").groupBy("root")
     named = of_root.agg(F.min("node").alias("component_id"), F.count(F.lit(1)).alias("n"))
     linked = _lookup(roots, named, ["root"], "n").join(degree.withColumnRenamed("n", "met"), "sig", "left")

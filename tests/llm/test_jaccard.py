@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+import pandas as pd
+
 from lineglass.llm import jaccard_join
 from tests.llm import helpers as h
 
@@ -136,3 +139,44 @@ def test_linked_sets_share_the_least_number_of_keys(spark):
         shared = -(-80 * (a + b) // 180)
         left = -(-80 * b // 100) - 1
         assert least == max(1, shared - left)
+
+
+def test_near_copies_that_fall_short_make_no_table_of_pairs(spark, monkeypatch):
+    """Copies of one text with so many changes that few pairs link are compared within a family."""
+    met = []
+    sized = jaccard_join._sized
+    monkeypatch.setattr(jaccard_join, "_sized", lambda pairs, *a: met.append(pairs.count()) or sized(pairs, *a))
+    r, base = random.Random(3), h.prose(21, 300).split()
+    texts = []
+    for k in range(60):
+        words = list(base)
+        for n in r.sample(range(300), 8):
+            words[n] = f"other{k}"
+        texts.append(" ".join(words))
+    texts += near_texts()
+    ids = list(range(len(texts)))
+    sizes, roots = brute(ids, texts)
+    sets, want = every_link(texts)
+    got = {r.doc_id: r for r in jaccard_join.joined(h.documents(spark, texts)).collect()}
+    assert [got[i].component_id for i in ids] == roots
+    assert [got[i].n_links for i in ids] == [sum(a == s for a, _ in want) for s in sets]
+    # 60 * 59 / 2 pairs with many keys each before; now no more than the entries of the star.
+    assert met[1] < met[0]
+
+
+def test_a_forest_ties_what_all_links_tie(spark):
+    """Within one block and across two, a task's few links tie the same sets as all of its links."""
+    r = random.Random(5)
+    groups = [[sorted(r.sample(range(100 * g, 100 * g + 24), 21)) for _ in range(12)] for g in range(4)]
+    sets = [s for group in groups for s in group]
+    for sides in ([0] * len(sets), [1 + k % 2 for k in range(len(sets))]):
+        rows = pd.DataFrame({"sig": range(len(sets)), "set": [np.array(s) for s in sets], "side": sides})
+
+        def tied(what):
+            found, root = jaccard_join._compared(80, what)(rows), list(range(len(sets)))
+            for a, b in zip(found["a"], found["b"]):
+                root = [root[a] if x == root[b] else x for x in root]
+            return len(found), [min(k for k in range(len(sets)) if root[k] == x) for x in root]
+
+        forest, every = tied("forest"), tied("links")
+        assert forest[1] == every[1] and forest[0] == len(sets) - len({*every[1]}) < every[0]
