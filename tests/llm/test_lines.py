@@ -128,3 +128,49 @@ def test_sentences_that_stand_alone_earlier_do_not_hide_a_passage(spark):
     left = words_left(spark, texts)
     assert left[:32] == [len(t.split()) for t in texts[:32]]
     assert max(left[32:]) <= 82 + 20
+
+
+def brute_force(spark, texts):
+    """Every text without what stands in an earlier run of equal lines with enough words."""
+    docs = h.documents(spark, texts)
+    first, want = {}, []
+    for d, row in enumerate(docs.orderBy("doc_id").selectExpr(f"{lines.lines_sql('text')} AS parts").collect()):
+        bare = [x.strip(" \n\r\t") for x in row.parts]
+        gone = set()
+        for a in range(len(bare)):
+            words = 0
+            for b in range(a, len(bare)):
+                words += len(bare[b].split(" "))
+                if words >= lines.MIN_WORDS:
+                    if first.setdefault(tuple(bare[a : b + 1]), (d, a)) != (d, a):
+                        gone |= set(range(a, b + 1))
+        want.append("".join(x for k, x in enumerate(row.parts) if k not in gone))
+    return want
+
+
+def test_every_run_has_a_print(spark):
+    """Also runs without an anchor, of fewer lines than a gram, within one text and over its end."""
+    blanks = "left" + " " * 40 + "right. "
+    few = [" ".join(f"{'bcdfg'[n]}{'xyz'[k % 3]}{k}q" for k in range(10)) + ". " for n in range(5)]
+    texts = [*(h.prose(900 + n, 50) for n in range(40)), "word " * 90, "same line. " * 40, "".join(few[:3]), blanks + "a. " + blanks]
+    again = [f"{h.prose(7, 3 + n)}. {h.prose(900 + n, 50)} {h.prose(8, n)}" for n in range(40)]
+    texts += [*again, "x\u0001y. " + texts[3], "word " * 31, "New. " + "".join(few[:3]) + "end", "b. " + blanks, texts[0]]
+    rows = lines.without_repeats(h.documents(spark, texts)).orderBy("doc_id").collect()
+    assert [r.text for r in rows] == brute_force(spark, texts)
+
+
+def test_runs_are_hashed_at_repeated_prints_only(spark):
+    clean, holds = texts()
+    docs = lines._keyed(h.documents(spark, clean + holds))
+    runs = lines.hashed_runs(docs.join(lines.places(docs), ["_doc", "_hash"]))
+    assert runs.where(f"doc < {len(clean)}").count() == 0
+    repeated = runs.groupBy("g").count().where("count > 1").selectExpr("sum(count)").first()[0]
+    assert runs.count() < 3 * repeated
+    assert lines.prints(docs).count() < 120 * len(clean + holds) / 3
+
+
+def test_cuts_with_and_without_marks_are_equal(spark):
+    odd = [*texts()[1], "no marks " * 80, "A!! B!! C!! " * 60, "a | b | c " * 60, "\n\n\n", "x. \n y, z", " in.  as  on " * 30, "\nя. Ab\n\n c"]
+    cuts = {f: lines._cut("text", f) for f in (lines._at_marks, lines._at_ends)}
+    rows = h.documents(spark, odd).selectExpr(*(f"{c} AS c{n}" for n, c in enumerate(cuts.values()))).collect()
+    assert all(r.c0 == r.c1 for r in rows)
