@@ -143,7 +143,9 @@ def hashed_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         f"transform({at}, x -> named_struct('g', "
         "xxhash64(slice(l.h, cast(shiftright(x, 8) as int) + 1, cast(x & 255 as int))), 'at', x))"
     )
-    return docs.select(_doc().alias("doc"), F.col("_hash").alias("text_hash"), F.inline(F.expr(_with_lines(runs))))
+    # Names every column, so that this join and the last one need the same and read one shuffle.
+    row = ", ".join(f"`{c}`" for c in docs.columns if c != "_at")
+    return docs.select(_doc().alias("doc"), F.col("_hash").alias("text_hash"), F.inline(F.expr(_let("r", f"struct({row})", _with_lines(runs)))))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -174,7 +176,6 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     empty; rows with the same id are one document, so equal rows never remove each other;
     rows without an id count as the first document; an empty table gives no rows.
     """
-    # Both joins need the same columns of a table of ids and texts, so they read one shuffle.
     keyed = _keyed(docs)
     runs = repeated_runs(keyed, min_words)
     met = keyed.join(runs.select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("runs").alias("_runs")), ["_doc", "_hash"], "left")

@@ -174,3 +174,16 @@ def test_cuts_with_and_without_marks_are_equal(spark):
     cuts = {f: lines._cut("text", f) for f in (lines._at_marks, lines._at_ends)}
     rows = h.documents(spark, odd).selectExpr(*(f"{c} AS c{n}" for n, c in enumerate(cuts.values()))).collect()
     assert all(r.c0 == r.c1 for r in rows)
+
+
+def test_texts_are_shuffled_once(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = h.documents(spark, texts()[1])
+        for df in (docs, docs.select("doc_id", "text")):
+            plan = lines.without_repeats(df)._jdf.queryExecution().executedPlan().toString()
+            assert len(re.findall(r"ReusedExchange .*text", plan)) == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
