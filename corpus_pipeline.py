@@ -20,8 +20,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = lines.without_repeats(docs).drop("removed_lines")
-    return kept.withColumn("n_chars", F.length("text").cast("long"))
+    # The old n_chars is not read: a column of one join only would shuffle the texts twice.
+    kept = lines.without_repeats(docs.drop("n_chars")).drop("removed_lines")
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*dict.fromkeys([*docs.columns, "n_chars"]))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

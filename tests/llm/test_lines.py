@@ -1,5 +1,6 @@
 import re
 
+import corpus_pipeline
 from lineglass.llm import lines
 from tests.llm import helpers as h
 
@@ -181,8 +182,10 @@ def test_texts_are_shuffled_once(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         docs = h.documents(spark, texts()[1])
-        for df in (docs, docs.select("doc_id", "text")):
-            plan = lines.without_repeats(df)._jdf.queryExecution().executedPlan().toString()
+        stage = corpus_pipeline.repeated_lines(spark, docs, "")
+        assert stage.columns == docs.columns
+        for df in (lines.without_repeats(docs), lines.without_repeats(docs.select("doc_id", "text")), stage):
+            plan = df._jdf.queryExecution().executedPlan().toString()
             assert len(re.findall(r"ReusedExchange .*text", plan)) == 1
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
